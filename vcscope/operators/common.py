@@ -22,6 +22,13 @@ def r6(x) -> Column:
     return F.round(c(x).cast("double"), 6)
 
 
+def rdays(x) -> Column:
+    """Durations in days are rounded to 9 decimals: second-resolution spans
+    can be exact 7-decimal fractions of a day, where 6-decimal rounding would
+    sit on a tie."""
+    return F.round(c(x).cast("double"), 9)
+
+
 def ratio(num, den) -> Column:
     """num / den as double, NULL when den is 0 (SQL division semantics)."""
     return F.try_divide(c(num).cast("double"), c(den).cast("double"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.timeops import day
 from ..plans.catalog import register
 from ..tables import Tables
-from .common import churn, in_range, r6, ratio
+from .common import churn, in_range, ratio, rdays
 
 # dates used by the registered ranged variants (exercise R0)
 RANGE_FROM, RANGE_TO = "1996-01-01", "1997-12-31"
@@ -45,7 +45,7 @@ def report_merge_time(t: Tables, from_: str | None = None, to: str | None = None
         F.max("date").alias("_last"), F.min("date").alias("_first"), F.count("date").alias("_n"))
     days = (F.unix_micros("_last") - F.unix_micros("_first")) / F.lit(86_400_000_000.0)
     return g.where(F.col("_n") > 1).select(
-        "repo_name", r6(days / (F.col("_n") - 1)).alias("avg_time_in_days_between_merges"))
+        "repo_name", rdays(days / (F.col("_n") - 1)).alias("avg_time_in_days_between_merges"))
 
 
 def report_commit_velocity(t: Tables, from_: str | None = None, to: str | None = None) -> DataFrame:
