@@ -1,4 +1,4 @@
 """Operators over the history tables. Importing this package registers every
 named query in :mod:`vcscope.plans.catalog`."""
 
-from . import authors, bugs, changes, commits, reports  # noqa: F401
+from . import authors, bugs, changes, commits, releases, reports  # noqa: F401

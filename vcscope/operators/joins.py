@@ -76,3 +76,24 @@ def interval_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts
     gap = F.unix_seconds(F.col(right_ts)) - F.unix_seconds(F.col(left_ts))
     cond = (gap >= 0) & (gap <= max_gap_seconds) if forward_only else F.abs(gap) <= max_gap_seconds
     return joined.where(cond)
+
+
+def window_join(facts: DataFrame, fact_ts: str, windows: DataFrame, lo: str, hi: str,
+                how: str = "inner", bucket_seconds: int = 86_400) -> DataFrame:
+    """Facts with ``lo < fact_ts <= hi`` for each window (``lo`` NULL = no
+    lower bound). ``how`` is ``inner`` or ``left`` (windows kept).
+
+    Windows are exploded over the time buckets they cover and facts carry
+    their bucket, so the range join becomes an equi-join on the bucket with a
+    residual range test; release windows are disjoint, so the exploded side
+    has at most (#windows + #buckets) rows. Column names of the two sides must
+    not clash apart from being disambiguated by the caller."""
+    earliest = facts.select(F.min(fact_ts)).scalar()
+    lo_b = time_bucket(F.coalesce(F.col(lo), earliest), bucket_seconds)
+    hi_b = time_bucket(F.col(hi), bucket_seconds)
+    buckets = F.when(lo_b <= hi_b, F.sequence(lo_b, hi_b)).otherwise(F.array().cast("array<bigint>"))
+    w = windows.withColumn("_wj_b", F.explode_outer(buckets))
+    f = facts.withColumn("_wj_fb", time_bucket(fact_ts, bucket_seconds))
+    cond = ((w["_wj_b"] == f["_wj_fb"]) & (w[lo].isNull() | (f[fact_ts] > w[lo]))
+            & (f[fact_ts] <= w[hi]))
+    return w.join(f, cond, how).drop("_wj_b", "_wj_fb")
