@@ -1,4 +1,6 @@
 """Operators over the history tables. Importing this package registers every
 named query in :mod:`vcscope.plans.catalog`."""
 
-from . import authors, bugs, changes, commits, releases, reports  # noqa: F401
+from . import (  # noqa: F401
+    authors, branches, bugs, changes, collab, commits, debt, onboarding, other, productivity, releases, reports,
+)

@@ -46,3 +46,10 @@ def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     j = df.join(h, on=value, how="left")
     pr = F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise(F.col("_less") / (F.col("_n") - 1))
     return j.withColumn(out, F.coalesce(pr, F.lit(0.0))).drop("_less", "_n")
+
+
+def rank_desc(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Add ``out`` = rank() over (order by value desc): 1 + rows with a
+    larger value."""
+    h = _hist(df, value).select(value, (F.col("_n") - F.col("_cum") + 1).alias(out))
+    return df.join(h, on=value, how="left")

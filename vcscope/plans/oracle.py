@@ -20,6 +20,8 @@ def sql(name: str, body: str) -> None:
 
 def combine(views: str, body: str) -> str:
     b = body.lstrip()
+    if b[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {views[4:].lstrip()},\n{b[14:].lstrip()}"
     if b[:4].upper() == "WITH":
         return f"{views},\n{b[4:].lstrip()}"
     return f"{views}\n{b}"

@@ -273,3 +273,143 @@ SELECT f.file_path, COUNT(*) AS changes, CAST(SUM(f.additions + f.deletions) AS
   COUNT(*) FILTER (WHERE s.is_fix) AS fix_changes
 FROM file_changes f JOIN {SINCE} s ON f.commit_hash = s.commit_hash AND f.repo_name = s.repo_name
 GROUP BY f.file_path ORDER BY churn DESC, f.file_path LIMIT 20""")
+
+# ---------------------------------------------------------------- productivity M35–M41
+MAINT_RE = BUG_RE + "|refactor|optimize|enhance|update"
+MONTHLY = f"""(SELECT strftime(date, '%Y-%m') AS month, COUNT(*) AS commits, COUNT(DISTINCT author) AS active_authors,
+  COUNT(*) FILTER (WHERE COALESCE(regexp_matches(lower(message), '{MAINT_RE}'), false)) AS maintenance_commits,
+  CAST(SUM(total_additions + total_deletions) AS BIGINT) AS churn FROM commits GROUP BY 1)"""
+sql("commits_per_author_over_time", f"""
+SELECT month, commits, active_authors, round(commits / active_authors, 6) AS commits_per_author FROM {MONTHLY} m""")
+sql("most_active_months", """
+SELECT strftime(date, '%Y-%m') AS month, COUNT(*) AS commits FROM commits GROUP BY 1 ORDER BY commits DESC, month LIMIT 20""")
+sql("most_active_weeks", """
+SELECT strftime(date_trunc('week', date), '%Y-%m-%d') AS week, COUNT(*) AS commits FROM commits GROUP BY 1
+ORDER BY commits DESC, week LIMIT 20""")
+sql("productivity_comparison", """
+SELECT author, commits, churn, CAST(rank() OVER (ORDER BY commits DESC) AS BIGINT) AS commit_rank,
+  round(percent_rank() OVER (ORDER BY churn), 6) AS churn_percent_rank
+FROM (SELECT author, COUNT(*) AS commits, CAST(SUM(total_additions + total_deletions) AS BIGINT) AS churn
+      FROM commits GROUP BY author) x""")
+sql("feature_vs_maintenance", f"""
+SELECT month, commits, maintenance_commits, commits - maintenance_commits AS feature_commits,
+  round(maintenance_commits / commits, 6) AS maintenance_share FROM {MONTHLY} m""")
+sql("maintenance_vs_velocity", f"""
+SELECT COUNT(*) AS months, round(corr(maintenance_commits / commits, commits), 6) AS correlation FROM {MONTHLY} m""")
+sql("team_size_impact", f"""
+SELECT COUNT(*) AS months, round(corr(active_authors, commits / active_authors), 6) AS correlation FROM {MONTHLY} m""")
+sql("trend_forecast", f"""
+WITH m AS (SELECT *, CAST(CAST(substr(month, 1, 4) AS INTEGER) * 12 + CAST(substr(month, 6, 2) AS INTEGER) - 1 AS DOUBLE) AS x
+           FROM {MONTHLY} mm),
+r AS (SELECT 'commits' AS metric, regr_slope(commits, x) AS slope, regr_intercept(commits, x) AS intercept,
+        MAX(x) + 1 AS nx FROM m
+      UNION ALL SELECT 'churn', regr_slope(churn, x), regr_intercept(churn, x), MAX(x) + 1 FROM m)
+SELECT metric, round(slope, 6) AS slope, round(intercept, 6) AS intercept,
+  printf('%04d-%02d', CAST(floor(nx / 12) AS INTEGER), CAST(nx AS INTEGER) % 12 + 1) AS next_month,
+  round(intercept + slope * nx, 6) AS forecast FROM r""")
+
+# ---------------------------------------------------------------- branches M42–M42e
+sql("branch_counts", """
+SELECT COUNT(*) AS branches_created, COUNT(merge_date) AS branches_merged,
+  COUNT(*) FILTER (WHERE is_active = 1) AS branches_active FROM branches""")
+sql("branch_durations", f"""
+SELECT strftime(creation_date, '%Y-%m') AS month, COUNT(*) AS branches_created, COUNT(merge_date) AS branches_merged,
+  round(AVG({days('merge_date', 'creation_date')}), 9) AS avg_days_to_merge FROM branches GROUP BY 1""")
+sql("long_lived_branches", f"""
+SELECT branch_name, repo_name, is_active, round(d, 9) AS days_open FROM (
+  SELECT *, {days('COALESCE(merge_date, (SELECT MAX(date) FROM commits))', 'creation_date')} AS d FROM branches) b
+WHERE d > 30""")
+sql("merge_conflicts", f"""
+WITH m AS (SELECT commit_hash, repo_name, date FROM commits
+           WHERE is_merge = 1 AND COALESCE(regexp_matches(lower(message), 'conflict'), false)),
+p AS (SELECT cp.commit_hash, cp.repo_name, MAX(c.date) AS newest_parent, COUNT(*) AS parents
+      FROM commit_parents cp JOIN commits c ON cp.parent_hash = c.commit_hash AND cp.repo_name = c.repo_name
+      WHERE EXISTS (SELECT 1 FROM m WHERE m.commit_hash = cp.commit_hash AND m.repo_name = cp.repo_name)
+      GROUP BY cp.commit_hash, cp.repo_name)
+SELECT m.commit_hash, m.repo_name, {iso('m.date')} AS date, COALESCE(p.parents, 0) AS parents,
+  round({days('m.date', 'p.newest_parent')}, 9) AS resolution_days
+FROM m LEFT JOIN p ON m.commit_hash = p.commit_hash AND m.repo_name = p.repo_name""")
+PR = "COALESCE(regexp_matches(lower(message), 'pull request|merge request'), false)"
+sql("pull_request_usage", f"""
+SELECT strftime(date, '%Y-%m') AS month, COUNT(*) AS commits, COUNT(*) FILTER (WHERE {PR}) AS pr_commits,
+  round(COUNT(*) FILTER (WHERE {PR}) / COUNT(*), 6) AS pr_share FROM commits GROUP BY 1""")
+
+# ---------------------------------------------------------------- other M60–M68, E25
+EXT = ("CASE WHEN instr(split_part({p}, '/', -1), '.') > 0 THEN lower(split_part(split_part({p}, '/', -1), '.', -1)) "
+       "ELSE '' END")
+
+
+def ext(p="file_path"):
+    return EXT.format(p=p)
+
+
+sql("timezone_distribution",
+    "SELECT timezone, COUNT(*) AS commits, COUNT(DISTINCT author) AS authors FROM commits GROUP BY timezone")
+sql("weekend_vs_weekday", """
+SELECT day_type, COUNT(*) AS commits, round(COUNT(*) / (SELECT COUNT(*) FROM commits), 6) AS share FROM (
+  SELECT CASE WHEN dayofweek(date) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS day_type FROM commits) x
+GROUP BY day_type""")
+sql("low_review_areas", f"""
+SELECT * FROM (SELECT {module('f.file_path')} AS module, COUNT(*) AS changes, COUNT(pr.commit_hash) AS pr_changes,
+  round(COUNT(pr.commit_hash) / COUNT(*), 6) AS pr_share
+FROM file_changes f LEFT JOIN (SELECT commit_hash, repo_name FROM commits WHERE {PR}) pr
+  ON f.commit_hash = pr.commit_hash AND f.repo_name = pr.repo_name GROUP BY 1) x
+ORDER BY pr_share, module LIMIT 20""")
+sql("expertise", f"""
+WITH fc AS (SELECT {module()} AS module, author, repo_name, commit_hash, file_path FROM file_changes),
+per AS (SELECT module, author, COUNT(DISTINCT (repo_name, commit_hash)) AS commits, COUNT(DISTINCT file_path) AS files
+        FROM fc GROUP BY 1, 2),
+md AS (SELECT module, COUNT(DISTINCT (repo_name, commit_hash)) AS module_commits FROM fc GROUP BY 1)
+SELECT per.module, author, commits, files, round(commits / module_commits, 6) AS share,
+  ROW_NUMBER() OVER (PARTITION BY per.module ORDER BY commits DESC, files DESC, author) AS rank_in_module
+FROM per JOIN md ON per.module = md.module""")
+SKILL = (f"CASE WHEN {ext()} IN ('java','cs','py','rb','go','rs','cpp','c') THEN 'backend' "
+         f"WHEN {ext()} IN ('sql','ddl','dml','pks','pkb') THEN 'sql' "
+         f"WHEN {ext()} IN ('html','css','js','jsx','ts','tsx') THEN 'frontend' END")
+sql("skill_gaps", f"""
+WITH fc AS (SELECT DISTINCT author, file_path, is_test_file FROM file_changes),
+tagged AS (SELECT author, file_path, {SKILL} AS skill FROM fc
+           UNION ALL SELECT author, file_path, 'testing' FROM fc WHERE is_test_file = 1),
+per AS (SELECT author, skill, COUNT(DISTINCT file_path) AS files FROM tagged WHERE skill IS NOT NULL GROUP BY 1, 2),
+au AS (SELECT author, COUNT(DISTINCT file_path) AS author_files FROM fc GROUP BY 1),
+grid AS (SELECT author, author_files, s.skill FROM au, (VALUES ('backend'), ('sql'), ('frontend'), ('testing')) s(skill))
+SELECT g.author, g.skill, COALESCE(p.files, 0) AS files, round(COALESCE(p.files, 0) / g.author_files, 6) AS share,
+  CAST(COALESCE(COALESCE(p.files, 0) / g.author_files, 0) < 0.05 AS INTEGER) AS is_gap
+FROM grid g LEFT JOIN per p ON g.author = p.author AND g.skill = p.skill""")
+LANG = ("CASE " + " ".join(
+    f"WHEN {ext()} = '{e}' THEN '{lang}'" for e, lang in [
+        ("java", "Java"), ("py", "Python"), ("js", "JavaScript/TypeScript"), ("jsx", "JavaScript/TypeScript"),
+        ("ts", "JavaScript/TypeScript"), ("tsx", "JavaScript/TypeScript"), ("cs", "C#"), ("rb", "Ruby"),
+        ("go", "Golang"), ("sql", "SQL"), ("rs", "Rust"), ("swift", "Swift"), ("kt", "Kotlin"), ("kts", "Kotlin"),
+        ("sh", "Shell Scripts"), ("c", "C/C++"), ("cpp", "C/C++"), ("h", "C/C++"), ("hpp", "C/C++"),
+        ("html", "HTML/CSS"), ("htm", "HTML/CSS"), ("css", "HTML/CSS"), ("md", "Markdown")])
+    + " ELSE 'Other' END")
+sql("language_usage", f"SELECT {LANG} AS language, COUNT(DISTINCT file_path) AS files FROM file_changes GROUP BY 1")
+sql("tool_presence", """
+SELECT 'github_actions' AS tool, COUNT(DISTINCT file_path) AS matching_files,
+  CAST(COUNT(DISTINCT file_path) > 0 AS INTEGER) AS present
+FROM file_changes WHERE file_path GLOB '.github/workflows/*.yml' OR file_path GLOB '.github/workflows/*.yaml'""")
+CFG = "('conf','cfg','ini','yaml','yml','json','xml','properties','toml','env')"
+sql("file_class_counts", f"""
+SELECT COUNT(DISTINCT file_path) AS files,
+  COUNT(DISTINCT CASE WHEN is_test_file = 1 THEN file_path END) AS test_files,
+  COUNT(DISTINCT CASE WHEN is_build_file = 1 THEN file_path END) AS build_files,
+  COUNT(DISTINCT CASE WHEN is_dot_file = 1 THEN file_path END) AS dot_files,
+  COUNT(DISTINCT CASE WHEN is_documentation_file = 1 THEN file_path END) AS documentation_files,
+  COUNT(DISTINCT CASE WHEN {ext()} IN {CFG} THEN file_path END) AS config_files
+FROM file_changes""")
+sql("keyword_search", """
+SELECT commit_hash, repo_name FROM commits WHERE COALESCE(regexp_matches(lower(message), 'conflict|readme'), false)
+UNION
+SELECT commit_hash, repo_name FROM file_changes WHERE COALESCE(regexp_matches(lower(file_path), 'conflict|readme'), false)""")
+sql("data_quality_keys", """
+SELECT 'commits' AS table_name, COUNT(*) AS row_count, COUNT(DISTINCT (repo_name, commit_hash)) AS distinct_keys,
+  COUNT(*) - COUNT(DISTINCT (repo_name, commit_hash)) AS duplicate_rows FROM commits
+UNION ALL SELECT 'file_changes', COUNT(*), COUNT(DISTINCT (repo_name, commit_hash, file_path, change_type)),
+  COUNT(*) - COUNT(DISTINCT (repo_name, commit_hash, file_path, change_type)) FROM file_changes
+UNION ALL SELECT 'commit_parents', COUNT(*), COUNT(DISTINCT (repo_name, commit_hash, parent_hash)),
+  COUNT(*) - COUNT(DISTINCT (repo_name, commit_hash, parent_hash)) FROM commit_parents
+UNION ALL SELECT 'branches', COUNT(*), COUNT(DISTINCT (repo_name, branch_name)),
+  COUNT(*) - COUNT(DISTINCT (repo_name, branch_name)) FROM branches
+UNION ALL SELECT 'tags', COUNT(*), COUNT(DISTINCT (repo_name, tag_name)),
+  COUNT(*) - COUNT(DISTINCT (repo_name, tag_name)) FROM tags""")
