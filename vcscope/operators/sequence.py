@@ -12,7 +12,8 @@ key), so the lag here is computed in *segments*:
    ``k`` rows of the preceding segments of the same key, found through a tiny
    per-segment summary (at most ``k`` values per (key, segment)).
 
-The result is exact and equals the plain window result.
+The result is exact and equals the plain window result. The segmented rows
+are checkpointed (eagerly), so the operator runs one job when it is built.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 
 def _n_segments(df: DataFrame, n: int | None) -> int:
     if n:
@@ -52,6 +55,11 @@ def segmented_lag(df: DataFrame, partition_by: Sequence[str], order_by: Sequence
         "_vc_cnt", F.count(F.lit(1)).over(w_all))
     for k in offsets:
         x = x.withColumn(f"{prefix}{k}", F.lag(value, k).over(w))
+    # Segment ids come from a sampled range partitioner; the three branches
+    # below must see the same ids, so the segmented rows are materialised once
+    # (a reliable checkpoint in the shared folder, which also cuts lineage).
+    checkpoint_dir(df.sparkSession)
+    x = x.checkpoint(eager=True)
 
     # per (key, segment): its last kmax values, in order
     tails = (x.filter(F.col("_vc_rn") > F.col("_vc_cnt") - kmax)

@@ -413,3 +413,128 @@ UNION ALL SELECT 'branches', COUNT(*), COUNT(DISTINCT (repo_name, branch_name)),
   COUNT(*) - COUNT(DISTINCT (repo_name, branch_name)) FROM branches
 UNION ALL SELECT 'tags', COUNT(*), COUNT(DISTINCT (repo_name, tag_name)),
   COUNT(*) - COUNT(DISTINCT (repo_name, tag_name)) FROM tags""")
+
+# ---------------------------------------------------------------- onboarding S5, M52, M53
+RANKED = "(SELECT *, ROW_NUMBER() OVER (PARTITION BY author ORDER BY date, commit_hash) AS rn FROM commits)"
+sql("developer_ramp_up", f"""
+WITH ranked_commits AS {RANKED},
+commit_counts AS (SELECT author, COUNT(commit_hash) AS total_commits FROM commits GROUP BY author)
+SELECT f.author,
+  CASE WHEN cc.total_commits >= 10 THEN ROUND({days('k.date', 'f.date')}, 2) END AS ramp_up_period_days,
+  CASE WHEN cc.total_commits >= 10 THEN 'ramped up' ELSE 'still rampingup' END AS status, cc.total_commits
+FROM (SELECT author, date FROM ranked_commits WHERE rn = 1) f
+LEFT JOIN (SELECT author, date FROM ranked_commits WHERE rn = 10) k ON f.author = k.author
+LEFT JOIN commit_counts cc ON f.author = cc.author ORDER BY ramp_up_period_days NULLS LAST, f.author""")
+sql("newcomer_first_commits", f"""
+WITH fk AS (SELECT * FROM {RANKED} r WHERE rn <= 5),
+files AS (SELECT commit_hash, repo_name, COUNT(DISTINCT file_path) AS files FROM file_changes GROUP BY 1, 2)
+SELECT author, COUNT(*) AS commits, round(AVG(total_additions + total_deletions), 6) AS avg_lines,
+  round(AVG(COALESCE(files, 0)), 6) AS avg_files,
+  round(SUM(total_additions_test + total_deletions_test) / NULLIF(SUM(total_additions + total_deletions), 0), 6)
+    AS test_share
+FROM fk LEFT JOIN files f ON fk.commit_hash = f.commit_hash AND fk.repo_name = f.repo_name GROUP BY author""")
+sql("newcomer_hard_areas", f"""
+WITH nc AS (SELECT f.file_path, f.commit_hash AS c1, r.date AS t1,
+              ROW_NUMBER() OVER () AS id
+            FROM file_changes f JOIN {RANKED} r ON f.commit_hash = r.commit_hash AND f.repo_name = r.repo_name
+            WHERE r.rn <= 10),
+fx AS (SELECT DISTINCT f.file_path, f.commit_hash AS c2, x.date AS t2 FROM file_changes f JOIN {FIXC} x
+       ON f.commit_hash = x.commit_hash AND f.repo_name = x.repo_name WHERE x.is_fix),
+flag AS (SELECT nc.*, EXISTS (SELECT 1 FROM fx WHERE fx.file_path = nc.file_path AND fx.c2 <> nc.c1
+           AND fx.t2 > nc.t1 AND epoch(fx.t2) - epoch(nc.t1) <= 30 * 86400) AS refixed FROM nc)
+SELECT {module()} AS module, COUNT(*) AS newcomer_changes, COUNT(*) FILTER (WHERE refixed) AS refixed_changes,
+  round(COUNT(*) FILTER (WHERE refixed) / COUNT(*), 6) AS refix_share FROM flag GROUP BY 1""")
+
+# ---------------------------------------------------------------- debt M48–M50
+sql("low_ownership_hotspots", f"""
+WITH st AS (SELECT file_path, COUNT(*) AS changes, COUNT(DISTINCT author) AS authors FROM file_changes GROUP BY 1),
+ow AS (SELECT unit AS file_path, author AS owner, share AS owner_share FROM ({OWN_FILE}) o WHERE owner_rank = 1)
+SELECT st.file_path, changes, authors, owner, owner_share FROM st JOIN ow ON st.file_path = ow.file_path
+WHERE changes >= 10 AND owner_share < 0.5 ORDER BY changes DESC, st.file_path LIMIT 20""")
+EVENTS = f"""(SELECT f.file_path, f.commit_hash, f.repo_name, f.lines, x.date, x.is_fix, x.message
+  FROM (SELECT file_path, commit_hash, repo_name, SUM(additions + deletions) AS lines FROM file_changes GROUP BY 1, 2, 3) f
+  JOIN {FIXC} x ON f.commit_hash = x.commit_hash AND f.repo_name = x.repo_name)"""
+sql("quick_fix_areas", f"""
+WITH ev AS (SELECT *, LAG(date) OVER (PARTITION BY file_path ORDER BY date, commit_hash) AS prev FROM {EVENTS} e)
+SELECT file_path, COUNT(*) AS quick_fixes FROM ev
+WHERE is_fix AND prev IS NOT NULL AND epoch(date) - epoch(prev) <= 7 * 86400
+GROUP BY file_path ORDER BY quick_fixes DESC, file_path LIMIT 20""")
+sql("refactoring_impact", f"""
+WITH ev AS {EVENTS},
+ref AS (SELECT file_path, commit_hash AS ref_commit, date AS ref_date FROM ev
+        WHERE COALESCE(regexp_matches(lower(message), 'refactor|cleanup|restructure|optimize'), false))
+SELECT ref.file_path, ref.ref_commit AS commit_hash,
+  CAST(COALESCE(SUM(CASE WHEN o.date < ref.ref_date THEN o.lines ELSE 0 END), 0) AS BIGINT) AS churn_before,
+  CAST(COALESCE(SUM(CASE WHEN o.date > ref.ref_date THEN o.lines ELSE 0 END), 0) AS BIGINT) AS churn_after,
+  CAST(COUNT(*) FILTER (WHERE o.date < ref.ref_date AND o.is_fix) AS BIGINT) AS fixes_before,
+  CAST(COUNT(*) FILTER (WHERE o.date > ref.ref_date AND o.is_fix) AS BIGINT) AS fixes_after
+FROM ref LEFT JOIN ev o ON o.file_path = ref.file_path AND o.commit_hash <> ref.ref_commit
+  AND abs(epoch(o.date) - epoch(ref.ref_date)) <= 30 * 86400
+GROUP BY ref.file_path, ref.ref_commit""")
+
+# ---------------------------------------------------------------- collaboration M12, M22–M24, M27, M43–M47
+FA = "(SELECT DISTINCT file_path, author FROM file_changes)"
+NETWORK = f"""(SELECT a.author AS author_a, b.author AS author_b, COUNT(*) AS shared_files
+  FROM {FA} a JOIN {FA} b ON a.file_path = b.file_path AND a.author < b.author GROUP BY 1, 2)"""
+sql("collaboration_network", f"SELECT * FROM {NETWORK} n")
+sql("network_degree", f"""
+SELECT author, COUNT(*) AS degree, CAST(SUM(shared_files) AS BIGINT) AS weighted_degree FROM (
+  SELECT author_a AS author, shared_files FROM {NETWORK} n UNION ALL SELECT author_b, shared_files FROM {NETWORK} n2) x
+GROUP BY author""")
+CF = "(SELECT DISTINCT repo_name, commit_hash, file_path FROM file_changes)"
+
+
+def coupling(min_support):
+    return f"""(SELECT s.file_a, s.file_b, s.support, round(s.support / na.n, 6) AS confidence,
+  round(s.support * (SELECT COUNT(DISTINCT (repo_name, commit_hash)) FROM file_changes) / (na.n * nb.n), 6) AS lift
+  FROM (SELECT a.file_path AS file_a, b.file_path AS file_b, COUNT(*) AS support FROM {CF} a JOIN {CF} b
+        ON a.repo_name = b.repo_name AND a.commit_hash = b.commit_hash AND a.file_path < b.file_path
+        GROUP BY 1, 2 HAVING COUNT(*) >= {min_support}) s
+  JOIN (SELECT file_path, COUNT(*) AS n FROM {CF} c GROUP BY 1) na ON s.file_a = na.file_path
+  JOIN (SELECT file_path, COUNT(*) AS n FROM {CF} c GROUP BY 1) nb ON s.file_b = nb.file_path)"""
+
+
+sql("change_coupling", f"SELECT * FROM {coupling(2)} cc")
+sql("temporal_coupling", """
+WITH ev AS (SELECT DISTINCT f.repo_name, f.commit_hash, f.author, f.file_path, c.date FROM file_changes f
+            JOIN commits c ON f.commit_hash = c.commit_hash AND f.repo_name = c.repo_name)
+SELECT a.file_path AS file_a, b.file_path AS file_b, COUNT(*) AS co_changes
+FROM ev a JOIN ev b ON a.author = b.author AND (a.commit_hash <> b.commit_hash OR a.repo_name <> b.repo_name)
+  AND a.file_path < b.file_path AND abs(epoch(a.date) - epoch(b.date)) <= 24 * 3600
+GROUP BY 1, 2 HAVING COUNT(*) >= 2""")
+sql("coupling_clusters", f"""
+WITH RECURSIVE e AS (SELECT file_a AS a, file_b AS b FROM {coupling(5)} cc),
+edges AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(node, label) AS (SELECT DISTINCT a, a FROM edges
+  UNION SELECT edges.b, reach.label FROM reach JOIN edges ON reach.node = edges.a),
+lab AS (SELECT node, MIN(label) AS label FROM reach GROUP BY node)
+SELECT node AS file_path, label AS cluster_id, COUNT(*) OVER (PARTITION BY label) AS cluster_size FROM lab""")
+sql("module_coupling", f"""
+WITH p AS (SELECT {module('file_a')} AS ma, {module('file_b')} AS mb FROM {coupling(5)} cc),
+u AS (SELECT ma AS module, 1 AS i, 0 AS x FROM p WHERE ma = mb
+      UNION ALL SELECT ma, 0, 1 FROM p WHERE ma <> mb UNION ALL SELECT mb, 0, 1 FROM p WHERE ma <> mb)
+SELECT module, CAST(SUM(i) AS BIGINT) AS internal_pairs, CAST(SUM(x) AS BIGINT) AS external_pairs,
+  round(SUM(i) / (SUM(i) + SUM(x)), 6) AS cohesion FROM u GROUP BY module""")
+_BUS = """
+WITH per AS (SELECT {unit} AS {by}, author, SUM(additions + deletions) AS lines FROM file_changes GROUP BY 1, 2),
+run AS (SELECT *, SUM(lines) OVER (PARTITION BY {by} ORDER BY lines DESC, author ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+  ROW_NUMBER() OVER (PARTITION BY {by} ORDER BY lines DESC, author) AS rk, SUM(lines) OVER (PARTITION BY {by}) AS total FROM per)
+SELECT {by}, COUNT(*) AS authors, CAST(MIN(total) AS BIGINT) AS total_lines, MIN(CASE WHEN cum > 0.5 * total THEN rk END) AS bus_factor
+FROM run GROUP BY {by}"""
+sql("bus_factor_modules", _BUS.format(unit=module(), by="module"))
+sql("bus_factor_repos", _BUS.format(unit="repo_name", by="repo_name"))
+CO = "COALESCE(regexp_matches(lower(message), 'co-author|co-authors|co-authored-by|pair programming'), false)"
+sql("coauthored_commits", f"""
+SELECT COUNT(*) AS total_commits, COUNT(*) FILTER (WHERE {CO}) AS coauthored_commits,
+  round(COUNT(*) FILTER (WHERE {CO}) / COUNT(*), 6) AS coauthored_share FROM commits""")
+sql("knowledge_distribution", f"""
+SELECT {module()} AS module, COUNT(*) AS files, COUNT(*) FILTER (WHERE authors = 1) AS single_author_files,
+  round(AVG(authors), 6) AS avg_authors_per_file, round(COUNT(*) FILTER (WHERE authors = 1) / COUNT(*), 6) AS single_author_share
+FROM (SELECT file_path, COUNT(DISTINCT author) AS authors FROM file_changes GROUP BY 1) x GROUP BY 1""")
+sql("socio_technical_congruence", f"""
+WITH req AS (SELECT DISTINCT least(x.author, y.author) AS author_a, greatest(x.author, y.author) AS author_b
+  FROM {coupling(5)} cc JOIN {FA} x ON x.file_path = cc.file_a JOIN {FA} y ON y.file_path = cc.file_b
+  WHERE x.author <> y.author)
+SELECT COUNT(*) AS required_pairs, COUNT(n.author_a) AS congruent_pairs,
+  round(COUNT(n.author_a) / COUNT(*), 6) AS congruence
+FROM req LEFT JOIN {NETWORK} n ON req.author_a = n.author_a AND req.author_b = n.author_b""")
