@@ -56,7 +56,7 @@ def index_tables(spark: SparkSession, sf_dir: str, out: str | None = None) -> Ta
         path = _indexed.get(key)
         if path is None:
             path = out or f"{checkpoint_dir(spark).rstrip('/')}/vcscope-tables-{uuid.uuid4().hex}"
-            fixtures.load(spark, sf_dir).write(path)
+            fixtures.index(spark, sf_dir, path)
             _indexed[key] = path
     return Tables.read(spark, path)
 

@@ -232,3 +232,20 @@ FROM commits_base WINDOW w AS (PARTITION BY repo_name ORDER BY date, commit_hash
 commit_parents AS (
 SELECT commit_hash, repo_name, p1 AS parent_hash FROM parent_lags WHERE p1 IS NOT NULL
 UNION ALL SELECT commit_hash, repo_name, p2 FROM parent_lags WHERE is_merge = 1 AND p2 IS NOT NULL)"""
+
+
+def index(spark: SparkSession, sf_dir: str, out: str) -> Tables:
+    """Write the history tables to ``out`` in stages: file changes first (the
+    path classification runs once), then the commit rollups from the written
+    file changes, then parents, branches and tags; read everything back."""
+    base = out.rstrip("/")
+    cb = commits_base(spark, sf_dir)
+    fc = file_changes_from(spark, sf_dir, cb)
+    fc.write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/file_changes")
+    fc_w = spark.read.parquet(f"{base}/file_changes")
+    commits = commit_rollups(cb.drop("_okey", "_custkey", "_odate"), fc_w)
+    commits.write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/commits")
+    for name, df in (("commit_parents", parents_from(cb)), ("branches", branches_from(cb)),
+                     ("tags", tags_from(spark, sf_dir))):
+        df.write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/{name}")
+    return Tables.read(spark, base)
