@@ -22,6 +22,7 @@ MICROS_PER_SECOND = 1_000_000
 # Names longer than this are not matched by substring_join (git itself caps
 # ref names well below it); the length list is what is collected to the driver.
 MAX_PATTERN_LENGTH = 1024
+MAX_PREFIXES = 4096
 
 
 def substring_join(left: DataFrame, text_col: str, right: DataFrame, pattern_col: str,
@@ -42,10 +43,18 @@ def substring_join(left: DataFrame, text_col: str, right: DataFrame, pattern_col
         return left.join(right, on=list(on), how="inner").limit(0)
     lens = F.array(*[F.lit(int(n)) for n in sorted(lengths)])
     text = F.col(text_col)
+    # exact pre-filter: a match can only start where the text's next two
+    # characters begin some pattern (the prefix set is small and bounded)
+    pref = [r[0] for r in (right.select(F.substring(pattern_col, 1, 2).alias("p"))
+                           .where(F.length("p") == 2).distinct().limit(MAX_PREFIXES + 1).collect())]
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    if 0 < len(pref) <= MAX_PREFIXES and min(lengths) >= 2:
+        pa = F.array(*[F.lit(x) for x in sorted(pref)])
+        starts = F.filter(starts, lambda p: F.array_contains(pa, F.substring(text, p, 2)))
     cand = (left
+            .withColumn("_sj_pos", F.explode(starts))
             .withColumn("_sj_len", F.explode(lens))
-            .where(F.length(text) >= F.col("_sj_len"))
-            .withColumn("_sj_pos", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_sj_len") + 1)))
+            .where(F.col("_sj_pos") + F.col("_sj_len") - 1 <= F.length(text))
             .withColumn("_sj_key", F.substring(text, F.col("_sj_pos"), F.col("_sj_len"))))
     cand = cand.drop("_sj_pos", "_sj_len")
     if left_key:

@@ -24,10 +24,10 @@ def release_windows(t: Tables) -> DataFrame:
     tags = t.tags.select("tag_name", "repo_name", F.col("tag_commit").alias("commit_hash"))
     dated = tags.join(t.commits.select("commit_hash", "repo_name", F.col("date").alias("rel_date")),
                       ["commit_hash", "repo_name"]).select("tag_name", "rel_date")
-    lagged = segmented_lag(dated, [], ["rel_date", "tag_name"], "tag_name", (1,), prefix="prev_tag")
-    lagged = segmented_lag(lagged, [], ["rel_date", "tag_name"], "rel_date", (1,), prefix="prev_date")
-    return lagged.select("tag_name", "rel_date", F.col("prev_tag1").alias("prev_tag"),
-                         F.col("prev_date1").alias("prev_date"))
+    dated = dated.withColumn("_rel", F.struct("tag_name", "rel_date"))
+    lagged = segmented_lag(dated, [], ["rel_date", "tag_name"], "_rel", (1,), prefix="_prev")
+    return lagged.select("tag_name", "rel_date", F.col("_prev1.tag_name").alias("prev_tag"),
+                         F.col("_prev1.rel_date").alias("prev_date"))
 
 
 def _commits_in_releases(t: Tables, how: str = "inner", first: bool = True) -> DataFrame:

@@ -77,22 +77,20 @@ def file_changes_from(spark: SparkSession, sf_dir: str, commits: DataFrame) -> D
              .when(k == 7, F.concat(F.lit("db/"), t, F.lit("/"), n, F.lit(".sql")))
              .when(k == 8, F.concat(F.lit("lib/"), t, F.lit("/"), n, F.lit(".py")))
              .otherwise(F.concat(t, F.lit("/README.md"))))
+    # the path depends on the part only: build and classify it once per part,
+    # before the join with the (much larger) line items
+    parts = classify.with_flags(p.select("p_partkey", path.alias("file_path")), "file_path")
     ln = F.col("l_linenumber") % 7
     cm = commits.select("_okey", "commit_hash", "repo_name", "author")
-    j = li.join(cm, li.l_orderkey == cm._okey, "inner").join(p, li.l_partkey == p.p_partkey, "inner")
-    fc = j.select(
+    j = li.join(cm, li.l_orderkey == cm._okey, "inner").join(parts, li.l_partkey == parts.p_partkey, "inner")
+    return j.select(
+        F.xxhash64("repo_name", "commit_hash", "file_path", "l_linenumber", "l_partkey", "l_suppkey",
+                   F.round("l_quantity").cast("long"), F.round(F.col("l_discount") * 100).cast("long")).alias("id"),
         "commit_hash", "repo_name", "author",
         F.when(ln == 1, "A").when(ln == 6, "D").when(ln == 0, "R").otherwise("M").alias("change_type"),
-        path.alias("file_path"),
+        "file_path",
         F.round("l_quantity").cast("long").alias("additions"),
         F.round(F.col("l_discount") * 100).cast("long").alias("deletions"),
-        "l_linenumber", "l_partkey", "l_suppkey",
-    )
-    fc = classify.with_flags(fc, "file_path")
-    return fc.select(
-        F.xxhash64("repo_name", "commit_hash", "file_path", "l_linenumber", "l_partkey", "l_suppkey",
-                   "additions", "deletions").alias("id"),
-        "commit_hash", "repo_name", "author", "change_type", "file_path", "additions", "deletions",
         "is_test_file", "is_build_file", "is_dot_file", "is_documentation_file",
         F.lit(None).cast("int").alias("similarity"), F.lit(None).cast("string").alias("new_path"),
     )
