@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_bpe, op4_sharding, op8_tokens, op9_packing
+from . import op2_bpe, op3_secrets, op4_sharding, op8_tokens, op9_packing, op10_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_bpe.query,
+    "op3_secret_scans": op3_secrets.query,
     "op4_sharding": op4_sharding.query,
     "op8_token_counts": op8_tokens.query,
     "op9_best_fit_packing": op9_packing.query,
+    "op10_quality_rules": op10_quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scans": op3_secrets.ORACLE_SQL,
+}
