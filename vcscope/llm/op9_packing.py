@@ -90,62 +90,68 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _gain(out_of: int, a_fill: int, into: int, b_fill: int) -> int:
-    """Rise of the sum of squared fills if A gives ``out_of`` and takes ``into``."""
-    d = out_of - into
-    return (b_fill + d) ** 2 + (a_fill - d) ** 2 - b_fill ** 2 - a_fill ** 2
-
-
-def _exchange(a: list[int], b: list[int], size, a_fill: int, b_fill: int, capacity: int):
-    """The best improving exchange that fills B from A: (gain, from A, from B)."""
-    room, best = capacity - b_fill, (0, (), ())
-    sa, sb = [(int(size[i]), i) for i in a], [(int(size[j]), j) for j in b]
-    give = [(x, (i,)) for x, i in sa]
-    pairs_a = [(x + y, (i, j)) for k, (x, i) in enumerate(sa) for y, j in sa[k + 1:]]
-    take1 = [(0, ())] + [(x, (i,)) for x, i in sb]
-    pairs_b = sorted((x + y, (i, j)) for k, (x, i) in enumerate(sb) for y, j in sb[k + 1:])
-    for gives, takes in ((give, sorted(take1)), (pairs_a, sorted(take1)), (give, pairs_b)):
-        if not gives or not takes:
-            continue
-        totals = np.array([t for t, _ in takes])
-        for x, items in gives:
-            # The least that must come back so that B doesn't overflow.
-            k = int(np.searchsorted(totals, x - room))
-            if k < len(takes) and takes[k][0] < x:
-                g = _gain(x, a_fill, takes[k][0], b_fill)
-                if g > best[0]:
-                    best = (g, items, takes[k][1])
+class _Others:
+    """Items of the underfull bins but one, and the pairs within each bin."""
+
+    def __init__(self, bins, size, fill, donor: int, capacity: int):
+        item, home, pair, pair_home = [], [], [], []
+        for k, b in enumerate(bins):
+            if k == donor or not 0 < fill[k] < capacity:
+                continue
+            item += [-1, *b]  # -1: nothing comes back (a move)
+            home += [k] * (len(b) + 1)
+            pair += [(i, j) for n, i in enumerate(b) for j in b[n + 1:]]
+            pair_home += [k] * (len(pair) - len(pair_home))
+        self.item, self.home = np.array(item, "int64"), np.array(home, "int64")
+        self.pair = np.array(pair, "int64").reshape(-1, 2)
+        self.pair_home = np.array(pair_home, "int64")
+        self.back = np.where(self.item < 0, 0, size[self.item])
+        self.pair_back = size[self.pair].sum(axis=1)
+        self.room = capacity - fill[self.home]
+        self.pair_room = capacity - fill[self.pair_home]
+
+
+def _best_exchange(own: list[int], size, others: _Others):
+    """The exchange that takes most from the donor: (less, given, bin, returned).
+    As every other bin is fuller, each raises the sum of squared fills."""
+    best = (0, (), -1, ())
+
+    def tried(given, back, room, bin_of, items):
+        nonlocal best
+        less = int(size[list(given)].sum()) - back
+        less[less > room] = 0
+        if len(less) and less[k := int(less.argmax())] > best[0]:
+            got = items[k]
+            best = (int(less[k]), given, int(bin_of[k]), tuple(int(x) for x in np.atleast_1d(got) if x >= 0))
+
+    for n, i in enumerate(own):
+        tried((i,), others.back, others.room, others.home, others.item)  # move, one for one
+        tried((i,), others.pair_back, others.pair_room, others.pair_home, others.pair)  # one for two
+        for j in own[n + 1:]:
+            tried((i, j), others.back, others.room, others.home, others.item)  # two for one
     return best
 
 
 def local_search(bins: list[list[int]], size: np.ndarray, capacity: int) -> list[list[int]]:
-    """Exchange and move items between underfull bins until no step raises the
-    sum of squared fills or as few bins are left as the total length needs."""
+    """Empty the emptiest bin by moves and exchanges with the other underfull
+    bins, again and again, until none raises the sum of squared fills or as few
+    bins are left as the total length needs."""
     least = -(-int(size.sum()) // capacity)
-    fill = [int(size[b].sum()) for b in bins]
-    alive = len(bins)
-    while alive > least:
-        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=fill.__getitem__)
-        moved = False
-        for a in under:
-            for b in reversed(under):
-                if a == b or fill[b] < fill[a] or not fill[a]:
-                    continue
-                g, out, back = _exchange(bins[a], bins[b], size, fill[a], fill[b], capacity)
-                if g <= 0:
-                    continue
-                bins[a] = [i for i in bins[a] if i not in out] + list(back)
-                bins[b] = [i for i in bins[b] if i not in back] + list(out)
-                fill[a], fill[b] = int(size[bins[a]].sum()), int(size[bins[b]].sum())
-                moved = True
-                if not fill[a]:
-                    alive -= 1
-                    break
-            if moved:
-                break
-        if not moved:
+    bins = [list(b) for b in bins]
+    fill = np.array([int(size[b].sum()) for b in bins], "int64")
+    while len(bins) > least:
+        a = int(fill.argmin())
+        less, given, b, back = _best_exchange(bins[a], size, _Others(bins, size, fill, a, capacity))
+        if not less:
             break
-    return [b for b in bins if b]
+        bins[a] = [i for i in bins[a] if i not in given] + list(back)
+        bins[b] = [i for i in bins[b] if i not in back] + list(given)
+        fill[a] -= less
+        fill[b] += less
+        if not bins[a]:
+            del bins[a]
+            fill = np.delete(fill, a)
+    return bins
 
 
 def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
