@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (op2_bpe, op3_secrets, op4_sharding, op6_toxicity, op8_tokens, op9_packing,
-               op10_quality)
+from . import (op2_bpe, op3_secrets, op4_sharding, op5_fingerprints, op6_toxicity,
+               op8_tokens, op9_packing, op10_quality)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_bpe.query,
     "op3_secret_scans": op3_secrets.query,
     "op4_sharding": op4_sharding.query,
+    "op5_document_fingerprints": op5_fingerprints.query,
     "op6_toxicity": op6_toxicity.query,
     "op8_token_counts": op8_tokens.query,
     "op9_best_fit_packing": op9_packing.query,
