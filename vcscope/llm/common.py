@@ -21,7 +21,7 @@ from ..session import checkpoint_dir
 # Slices bound what a task holds in Python: about so many bytes of text at once.
 SLICE_BYTES = 4 << 20
 # Entries of a per-process memo; when full it is emptied (it only saves time).
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 500_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 

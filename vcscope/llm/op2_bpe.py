@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
-from .common import documents, map_arrow, slices
+from .common import MEMO_ENTRIES, documents, map_arrow, slices
 
 
 def byte_table() -> dict[str, int]:
@@ -58,35 +58,26 @@ def decode_parts(parts, path: str):
 
 
 @lru_cache(maxsize=2)
-def _ids(path: str) -> bpe.Pieces:
-    return bpe.Pieces(bpe.load(path, True), lambda e: tuple(e.ids))
-
-
-@lru_cache(maxsize=2)
-def _ids_and_spans(path: str) -> bpe.Pieces:
-    return bpe.Pieces(bpe.load(path, True), lambda e: (tuple(e.ids), tuple(e.offsets)))
+def _spans(path: str) -> dict:
+    return {}
 
 
 def encode_ids(texts: list[str], path: str) -> list[list[int]]:
-    """Ids of each text; the pieces of all texts are learned together."""
-    memo, small = _ids(path), []
-    for t in texts:
-        small.append(bpe.byte_pattern().findall(t) if len(t) <= bpe.BLOCK_CHARS else None)
-    known = memo.learn(chain.from_iterable(p for p in small if p))
-    out = [list(chain.from_iterable(map(known.__getitem__, p))) if p is not None else None
-           for p in small]
-    return [list(chain.from_iterable(chain.from_iterable(
-        map(memo.learn(p).__getitem__, p) for p in bpe.pieces_of(t)))) if o is None else o
-        for t, o in zip(texts, out)]
+    """Ids of each whole text."""
+    return [list(chain.from_iterable(parts)) for parts in bpe.byte_ids(path).encode(texts)]
 
 
 def encode_spans(text: str, path: str) -> tuple[list[int], list[int], list[int]]:
     """Ids with start and end of the characters (code points) each touches.
     Tokens that share a split character all carry that character's span."""
-    memo = _ids_and_spans(path)
+    known, tok = _spans(path), bpe.load(path, True)
     ids, starts, ends, at = [], [], [], 0
     for block in bpe.pieces_of(text):
-        known = memo.learn(block)
+        if len(known) > MEMO_ENTRIES:
+            known.clear()
+        new = list(set(block).difference(known))
+        for piece, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
+            known[piece] = (e.ids, e.offsets)
         for piece in block:
             got, spans = known[piece]
             ids += got

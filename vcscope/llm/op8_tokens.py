@@ -10,8 +10,6 @@ no rows; other columns of the input are not read."""
 
 from __future__ import annotations
 
-from itertools import chain
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,14 +26,9 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or bpe.tokenizer_path(bpe.BYTE_LEVEL)
 
     def run(batches):
-        memo, pat = bpe.byte_counts(path), bpe.byte_pattern()
         for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            small = [pat.findall(t) if len(t) <= bpe.BLOCK_CHARS else None for t in texts]
-            known = memo.learn(chain.from_iterable(p for p in small if p))
-            n = [sum(map(known.__getitem__, p)) if p is not None else None for p in small]
-            n = [sum(sum(map(memo.learn(p).__getitem__, p)) for p in bpe.pieces_of(t))
-                 if k is None else k for t, k in zip(texts, n)]
+            n = [sum(counts) for counts in bpe.byte_counts(path).encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["length"])
 
     return map_arrow(docs.select("text"), run, "length long")
