@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (op2_bpe, op3_secrets, op4_sharding, op5_fingerprints, op6_toxicity,
+from . import (op1_jaccard, op2_bpe, op3_secrets, op4_sharding, op5_fingerprints, op6_toxicity,
                op8_tokens, op9_packing, op10_quality)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_jaccard.query,
     "op2_byte_bpe": op2_bpe.query,
     "op3_secret_scans": op3_secrets.query,
     "op4_sharding": op4_sharding.query,
