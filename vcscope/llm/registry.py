@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (op1_jaccard, op2_bpe, op3_secrets, op4_sharding, op5_fingerprints, op6_toxicity,
+from . import (op1_jaccard, op2_bpe, op3_secrets, op4_sharding, op5_fingerprints, op6_toxicity, op7_lines,
                op8_tokens, op9_packing, op10_quality)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding.query,
     "op5_document_fingerprints": op5_fingerprints.query,
     "op6_toxicity": op6_toxicity.query,
+    "op7_line_dedup": op7_lines.query,
     "op8_token_counts": op8_tokens.query,
     "op9_best_fit_packing": op9_packing.query,
     "op10_quality_rules": op10_quality.query,
