@@ -2,12 +2,10 @@
 
 Lines are normalised (lower case, digits as 0, single spaces) and hashed; for
 each host (``source``) the distinct documents that hold a line are counted.
-A line above the limits is boilerplate of its host; a document that keeps too
-few of its words without such lines is depleted and rejected.
-
-Copies and near copies of one page are one document here: documents are told
-apart by their least three-word hash, which near copies mostly share, and a line
-counts as boilerplate only where its holders are mostly different documents.
+A line above the limit is boilerplate of its host and is removed from all but
+the first document (by doc_id) that holds it; a document that keeps too few of
+its words is depleted and rejected. Equal texts are one document here, so that
+copies don't make a page's lines boilerplate; of many near copies the first stays.
 
 Defined results: a null text counts as empty (no words, base_failed); a null
 source is a host of its own; a null doc_id is kept; repeated rows each give
@@ -26,10 +24,8 @@ from .common import documents, map_arrow, slices, stage, texts_of, word_blocks,
 # Base rules.
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50
-# A line of a host is boilerplate if more distinct documents than this hold it,
+# A line of a host is boilerplate if more distinct documents than this hold it.
 LINE_DOCUMENTS = 10
-# and they are at least this share (in percent) of all rows that hold it.
-LINE_DISTINCT_SHARE = 25
 # A document is depleted if less than this share (in percent) of its words remain.
 MIN_REMAINING_SHARE = 50
 
@@ -71,8 +67,7 @@ def _measure(text: bytes, host: bytes):
              for w in word_blocks(text)]
     words = parts[0] if len(parts) == 1 else np.concatenate(parts)
     tri = triples(words) if len(words) >= 3 else words[:0]
-    least = tri if len(tri) else words
-    signature = int(least.min()) - (1 << 63) if len(least) else 0
+    signature = xxhash.xxh3_64_intdigest(text) - (1 << 63)
     lines: dict[bytes, int] = {}
     n_lines, held = 0, {}
     for line in text.split(b"\n"):
@@ -105,20 +100,22 @@ def stats(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(measured: DataFrame, line_documents: int = LINE_DOCUMENTS) -> DataFrame:
-    """key: lines above the limits (keys hold the host)."""
-    each = measured.select("signature", F.explode("line_keys").alias("key"))
-    by_doc = each.groupBy("key", "signature").agg(F.count(F.lit(1)).alias("n"))
-    held = by_doc.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("rows"))
-    return held.where((F.col("documents") > line_documents)
-                      & (100 * F.col("documents") >= LINE_DISTINCT_SHARE * F.col("rows"))).select("key")
+    """key, owner: lines above the limit (keys hold the host) and the signature
+    of the first document that holds them."""
+    each = measured.select("doc_id", "signature", F.explode("line_keys").alias("key"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "signature")
+    by_text = each.groupBy("key", "signature").agg(F.min(place).alias("first"))
+    return (by_text.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.min("first").alias("first"))
+            .where(F.col("documents") > line_documents).select("key", F.col("first.signature").alias("owner")))
 
 
 def judged(docs: DataFrame, line_documents: int = LINE_DOCUMENTS) -> DataFrame:
     """The base counts with base_failed, n_remaining_words and kept."""
     measured = stage(stats(docs).withColumn("row", F.monotonically_increasing_id()), "quality")
-    lines = measured.select("row", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select(
-        "row", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("words"))
-    gone = (lines.join(frequent_lines(measured, line_documents), "key")
+    lines = measured.select(
+        "row", "signature", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select(
+        "row", "signature", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("words"))
+    gone = (lines.join(frequent_lines(measured, line_documents), "key").where("signature != owner")
             .groupBy("row").agg(F.sum("words").alias("gone")))
     remaining = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = ((F.col("n_words") < MIN_WORDS)

@@ -31,6 +31,8 @@ END_ID = 1
 GROUP_PIECES = 4000
 # A bin with more free room than this share is opened again in the next round.
 OPEN_SHARE = 0.02
+# Effort of a step of the local search.
+DONORS, OTHERS = 16, 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -91,13 +93,14 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class _Others:
-    """Items of the underfull bins but one, and the pairs within each bin."""
+    """Items of the underfull bins as full as a donor, and the pairs within each."""
 
     def __init__(self, bins, size, fill, donor: int, capacity: int):
         item, home, pair, pair_home = [], [], [], []
-        for k, b in enumerate(bins):
-            if k == donor or not 0 < fill[k] < capacity:
+        for k in np.argsort(fill, kind="stable")[:OTHERS].tolist():
+            if k == donor or fill[k] < fill[donor] or fill[k] >= capacity:
                 continue
+            b = bins[k]
             item += [-1, *b]  # -1: nothing comes back (a move)
             home += [k] * (len(b) + 1)
             pair += [(i, j) for n, i in enumerate(b) for j in b[n + 1:]]
@@ -113,7 +116,7 @@ class _Others:
 
 def _best_exchange(own: list[int], size, others: _Others):
     """The exchange that takes most from the donor: (less, given, bin, returned).
-    As every other bin is fuller, each raises the sum of squared fills."""
+    As the other bins are as full or fuller, each raises the sum of squared fills."""
     best = (0, (), -1, ())
 
     def tried(given, back, room, bin_of, items):
@@ -133,16 +136,20 @@ def _best_exchange(own: list[int], size, others: _Others):
 
 
 def local_search(bins: list[list[int]], size: np.ndarray, capacity: int) -> list[list[int]]:
-    """Empty the emptiest bin by moves and exchanges with the other underfull
-    bins, again and again, until none raises the sum of squared fills or as few
-    bins are left as the total length needs."""
+    """Take from the emptiest bins by moves and exchanges with other underfull
+    ones, again and again, until no step raises the sum of squared fills or as
+    few bins are left as the total length needs. A step looks at DONORS bins to
+    take from and OTHERS to give to."""
     least = -(-int(size.sum()) // capacity)
     bins = [list(b) for b in bins]
     fill = np.array([int(size[b].sum()) for b in bins], "int64")
     while len(bins) > least:
-        a = int(fill.argmin())
-        less, given, b, back = _best_exchange(bins[a], size, _Others(bins, size, fill, a, capacity))
-        if not less:
+        for a in np.argsort(fill, kind="stable")[:DONORS].tolist():
+            others = _Others(bins, size, fill, a, capacity)
+            less, given, b, back = _best_exchange(bins[a], size, others)
+            if less:
+                break
+        else:
             break
         bins[a] = [i for i in bins[a] if i not in given] + list(back)
         bins[b] = [i for i in bins[b] if i not in back] + list(given)
