@@ -94,3 +94,39 @@ def test_stats_match_pandas(spark):
     assert all(abs(pr[v] - i / (len(d) - 1)) < 1e-12 for i, v in enumerate(d))
     rk = {r.x: r.rk for r in rank_desc(df.distinct(), "x", "rk").collect()}
     assert rk[max(d)] == 1 and rk[min(d)] == len(d)
+
+
+def test_substring_join_many_lengths(spark):
+    names = ["n" * k + "x" for k in range(1, 2001)]
+    left = spark.createDataFrame([("r", 1, "n" * 1500 + "x"), ("r", 2, "nnx"), ("r", 3, "abc")],
+                                 "repo string, id long, text string")
+    right = spark.createDataFrame([("r", n) for n in names], "repo string, name string")
+    got = substring_join(left, "text", right, "name", on=["repo"], left_key=["id"]).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got} == {1: 1500, 2: 2}
+
+
+def test_components_of_a_long_chain(spark):
+    from vcscope.operators.graph import connected_components
+    rnd = random.Random(4)
+    names = rnd.sample(range(10**6), 1000)
+    edges = list(zip(names, names[1:])) + [(2 * 10**6, 2 * 10**6 + 1), (3 * 10**6, 3 * 10**6), (None, 5)]
+    rnd.shuffle(edges)
+    got = {r.node: r.label for r in connected_components(
+        spark.createDataFrame(edges, "src long, dst long")).collect()}
+    want = {n: min(names) for n in names} | {2 * 10**6: 2 * 10**6, 2 * 10**6 + 1: 2 * 10**6, 3 * 10**6: 3 * 10**6}
+    assert got == want
+
+
+def test_pairs_of_a_hot_group_are_spread(spark):
+    from vcscope.operators.collab import pairs_within
+    n = 1200
+    df = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("x")).unionByName(
+        spark.createDataFrame([("h", 1), ("h", 2), ("h", 2), ("i", 5)], "g string, x long"))
+    p = pairs_within(df, ["g"], "x", block=100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        per_task = [r["count"] for r in p.withColumn("t", F.spark_partition_id()).groupBy("t").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(per_task) == n * (n - 1) // 2 + 1 and max(per_task) < 0.5 * sum(per_task)
+    assert p.where("item_a >= item_b").isEmpty() and p.distinct().count() == sum(per_task)

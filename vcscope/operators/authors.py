@@ -106,4 +106,5 @@ def changes_per_commit_by_author(t: Tables) -> DataFrame:
     j = cc.join(fc, "author", "left")
     bf = F.when(F.col("total_commits") > 0,
                 F.round(ratio("total_changes", "total_commits"), 2)).otherwise(F.lit(0.0))
-    return j.select("author", "total_commits", "total_changes", bf.alias("bus_factor")).orderBy(F.desc("bus_factor"))
+    return j.select("author", "total_commits", "total_changes", bf.alias("bus_factor")).orderBy(
+        F.desc("bus_factor"), "author")

@@ -1,7 +1,7 @@
 """Join shapes Spark has no single operator for, written as equi-joins.
 
 * ``substring_join``: right.pattern occurs in left.text (theta join on
-  ``instr``) as an exact equi-join on generated candidate substrings.
+  ``instr``) as an exact equi-join on one gram of each pattern.
 * ``window_join``: rows of a fact table that fall in half-open time windows
   (releases), as an equi-join on a time bucket plus a residual range test.
 * ``interval_pairs``: pairs of events on one key whose times are at most a gap
@@ -19,50 +19,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_SECOND = 1_000_000
-# Names longer than this are not matched by substring_join (git itself caps
-# ref names well below it); the length list is what is collected to the driver.
-MAX_PATTERN_LENGTH = 1024
-MAX_PREFIXES = 4096
+# Patterns are looked up by one gram of this many characters each.
+GRAM = 8
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All substrings of ``n`` characters of a text (none if it is shorter)."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.transform(starts, lambda p: F.substring(text, p, F.lit(n)))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def substring_join(left: DataFrame, text_col: str, right: DataFrame, pattern_col: str,
-                   on: Sequence[str] = (), left_key: Sequence[str] = ()) -> DataFrame:
+                   on: Sequence[str], left_key: Sequence[str]) -> DataFrame:
     """All (left, right) row pairs with equal ``on`` keys where
-    ``instr(left.text, right.pattern) > 0``.
-
-    The pattern lengths present are few (bounded by the longest name, and
-    checked), so for each length L every substring of length L of the text is
-    a candidate; candidates equi-join the patterns. Work is linear in the text
-    size times the number of distinct lengths, never texts × patterns."""
-    lengths = [r[0] for r in (right.select(F.length(pattern_col).alias("n"))
-                              .where(F.col("n") > 0).distinct()
-                              .limit(MAX_PATTERN_LENGTH + 1).collect())]
-    if len(lengths) > MAX_PATTERN_LENGTH:
-        raise ValueError("too many distinct pattern lengths for substring_join")
-    if not lengths:
-        return left.join(right, on=list(on), how="inner").limit(0)
-    lens = F.array(*[F.lit(int(n)) for n in sorted(lengths)])
+    ``instr(left.text, right.pattern) > 0``; ``left_key`` (with ``on``)
+    identifies a left row. Empty patterns match nothing.
+
+    Each pattern is known by its rarest gram among all patterns, so that a start
+    many share (``feature/``) selects nothing. A text's grams equi-join these:
+    only keys move, work is linear in the text's length, and texts are compared
+    with the patterns found. Patterns shorter than a gram are a gram themselves."""
+    on, left_key = list(on), list(left_key)
+    names = right.select(*on, F.col(pattern_col).alias("_pattern")).where("length(_pattern) > 0").distinct()
+    parts = names.select(*on, "_pattern", F.explode(F.array_distinct(
+        _grams(F.col("_pattern"), GRAM))).alias("_gram"))
+    common = parts.groupBy(*on, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    anchored = parts.join(common, [*on, "_gram"]).groupBy(*on, "_pattern").agg(
+        F.min(F.struct("_n", "_gram")).alias("_a")).select(*on, "_pattern", F.col("_a._gram").alias("_gram"))
+    short = names.where(F.length("_pattern") < GRAM).withColumn("_gram", F.col("_pattern"))
+    lookup = anchored.unionByName(short)
+    # At most GRAM - 1 lengths.
+    lengths = [r[0] for r in short.select(F.length("_pattern")).distinct().collect()]
     text = F.col(text_col)
-    # exact pre-filter: a match can only start where the text's next two
-    # characters begin some pattern (the prefix set is small and bounded)
-    pref = [r[0] for r in (right.select(F.substring(pattern_col, 1, 2).alias("p"))
-                           .where(F.length("p") == 2).distinct().limit(MAX_PREFIXES + 1).collect())]
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    if 0 < len(pref) <= MAX_PREFIXES and min(lengths) >= 2:
-        pa = F.array(*[F.lit(x) for x in sorted(pref)])
-        starts = F.filter(starts, lambda p: F.array_contains(pa, F.substring(text, p, 2)))
-    cand = (left
-            .withColumn("_sj_pos", F.explode(starts))
-            .withColumn("_sj_len", F.explode(lens))
-            .where(F.col("_sj_pos") + F.col("_sj_len") - 1 <= F.length(text))
-            .withColumn("_sj_key", F.substring(text, F.col("_sj_pos"), F.col("_sj_len"))))
-    cand = cand.drop("_sj_pos", "_sj_len")
-    if left_key:
-        # a pattern occurring several times in one text pairs once
-        cand = cand.dropDuplicates([*on, *left_key, "_sj_key"])
-    r = right.withColumn("_sj_key", F.col(pattern_col))
-    pairs = cand.join(r, on=[*on, "_sj_key"], how="inner")
-    return pairs
+    keys = F.array_distinct(F.concat(*[_grams(text, n) for n in [GRAM, *lengths]]))
+    found = (left.select(*on, *left_key, F.explode(keys).alias("_gram")).join(lookup, [*on, "_gram"])
+             .select(*on, *left_key, "_pattern").distinct())
+    hits = left.join(found, [*on, *left_key]).where(F.instr(text, F.col("_pattern")) > 0)
+    return hits.join(right.withColumn("_pattern", F.col(pattern_col)), [*on, "_pattern"]).drop("_pattern")
 
 
 def time_bucket(ts: Column | str, width_seconds: int) -> Column:

@@ -1,8 +1,9 @@
 """Release metrics.
 
 A release is a tag; its time is the tagged commit's date. Tags are ordered by
-that date (tag name breaks ties) and release *i* covers the commits with
-date > date(i−1) and <= date(i). Releases are not split by repository.
+that date (repository, then tag name break ties) and release *i* covers the
+commits with date > date(i−1) and <= date(i). Releases of all repositories follow
+one another, and are told apart by (repository, tag).
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from .sequence import segmented_lag
 
 
 def release_windows(t: Tables) -> DataFrame:
-    """tag_name, rel_date, prev_tag, prev_date (NULL for the first release)."""
+    """repo_name, tag_name, rel_date, prev_repo, prev_tag, prev_date (NULL for
+    the first release)."""
     tags = t.tags.select("tag_name", "repo_name", F.col("tag_commit").alias("commit_hash"))
     dated = tags.join(t.commits.select("commit_hash", "repo_name", F.col("date").alias("rel_date")),
-                      ["commit_hash", "repo_name"]).select("tag_name", "rel_date")
-    dated = dated.withColumn("_rel", F.struct("tag_name", "rel_date"))
-    lagged = segmented_lag(dated, [], ["rel_date", "tag_name"], "_rel", (1,), prefix="_prev")
-    return lagged.select("tag_name", "rel_date", F.col("_prev1.tag_name").alias("prev_tag"),
-                         F.col("_prev1.rel_date").alias("prev_date"))
+                      ["commit_hash", "repo_name"]).select("repo_name", "tag_name", "rel_date")
+    dated = dated.withColumn("_rel", F.struct("repo_name", "tag_name", "rel_date"))
+    lagged = segmented_lag(dated, [], ["rel_date", "repo_name", "tag_name"], "_rel", (1,), prefix="_prev")
+    return lagged.select("repo_name", "tag_name", "rel_date", F.col("_prev1.repo_name").alias("prev_repo"),
+                         F.col("_prev1.tag_name").alias("prev_tag"), F.col("_prev1.rel_date").alias("prev_date"))
 
 
 def _commits_in_releases(t: Tables, how: str = "inner", first: bool = True) -> DataFrame:
@@ -41,8 +43,9 @@ def _commits_in_releases(t: Tables, how: str = "inner", first: bool = True) -> D
 
 def _top_pairs(t: Tables, value, name: str, n: int) -> DataFrame:
     j = _commits_in_releases(t, "inner", first=False)
-    g = j.groupBy(F.col("prev_tag").alias("tag_name1"), F.col("tag_name").alias("tag_name2")).agg(value.alias(name))
-    return top(g, n, F.desc(name), F.asc("tag_name1"))
+    g = j.groupBy(F.col("prev_tag").alias("tag_name1"), F.col("prev_repo").alias("repo_name1"),
+                  F.col("tag_name").alias("tag_name2"), F.col("repo_name").alias("repo_name2")).agg(value.alias(name))
+    return top(g, n, F.desc(name), F.asc("tag_name1"), F.asc("repo_name1"))
 
 
 @register("release_churn_top")
@@ -66,7 +69,7 @@ def release_commit_count_top(t: Tables, n: int = 10) -> DataFrame:
 
 def _per_release(t: Tables) -> DataFrame:
     j = _commits_in_releases(t, "left", first=True)
-    return j.groupBy("tag_name", "rel_date").agg(
+    return j.groupBy("repo_name", "tag_name", "rel_date").agg(
         F.count("commit_hash").alias("commits"),
         F.coalesce(F.sum(churn()), F.lit(0)).cast("long").alias("churn"),
         F.count_if(F.coalesce("is_fix", F.lit(False))).alias("bug_fix_commits"))
@@ -75,20 +78,20 @@ def _per_release(t: Tables) -> DataFrame:
 @register("release_commits")
 def release_commits(t: Tables) -> DataFrame:
     """Commits per release, the first release included."""
-    return _per_release(t).select("tag_name", iso("rel_date").alias("release_date"), "commits")
+    return _per_release(t).select("repo_name", "tag_name", iso("rel_date").alias("release_date"), "commits")
 
 
 @register("release_churn")
 def release_churn(t: Tables) -> DataFrame:
     """Churn per release, the first release included."""
-    return _per_release(t).select("tag_name", iso("rel_date").alias("release_date"), "churn")
+    return _per_release(t).select("repo_name", "tag_name", iso("rel_date").alias("release_date"), "churn")
 
 
 @register("time_between_releases")
 def time_between_releases(t: Tables) -> DataFrame:
     """Days since the previous release (NULL for the first)."""
     w = release_windows(t)
-    return w.select("tag_name", "prev_tag", iso("rel_date").alias("release_date"),
+    return w.select("repo_name", "tag_name", "prev_repo", "prev_tag", iso("rel_date").alias("release_date"),
                     rdays(days_between("rel_date", "prev_date")).alias("days_since_previous"))
 
 
@@ -96,7 +99,7 @@ def time_between_releases(t: Tables) -> DataFrame:
 def release_bug_fixes(t: Tables) -> DataFrame:
     """Fix commits per release."""
     p = _per_release(t)
-    return p.select("tag_name", "commits", "bug_fix_commits",
+    return p.select("repo_name", "tag_name", "commits", "bug_fix_commits",
                     r6(ratio("bug_fix_commits", "commits")).alias("bug_fix_share"))
 
 
@@ -110,17 +113,16 @@ def deployment_frequency(t: Tables) -> DataFrame:
 @register("lead_time")
 def lead_time(t: Tables) -> DataFrame:
     """For each commit, time to the first release at or after it (a
-    forward as-of join through the release windows): mean in days, median in
-    whole hours (exact, from an hour histogram)."""
+    forward as-of join through the release windows): mean and exact median in
+    days, both from one histogram of seconds."""
     from .stats import histogram, quantiles
     j = _commits_in_releases(t, "inner", first=True)
-    lt = j.select(days_between("rel_date", "date").alias("lead_days"),
-                  F.floor((F.unix_seconds("rel_date") - F.unix_seconds("date")) / 3600).alias("lead_hours"))
-    mean = lt.agg(F.count(F.lit(1)).alias("released_commits"), rdays(F.avg("lead_days")).alias("mean_lead_days"))
-    h = histogram(lt.select("lead_hours"), "lead_hours")
-    med = h.agg(*quantiles(h, "lead_hours", [0.5], ["median_lead_hours"]))
-    return mean.select("released_commits", "mean_lead_days",
-                       F.lit(med.select("median_lead_hours").scalar()).alias("median_lead_hours"))
+    h = histogram(j.select((F.unix_seconds("rel_date") - F.unix_seconds("date")).alias("seconds")), "seconds")
+    g = h.agg(F.coalesce(F.sum("_cnt"), F.lit(0)).alias("released_commits"),
+              (F.sum(F.col("seconds") * F.col("_cnt")) / F.sum("_cnt")).alias("mean"),
+              *quantiles(h, "seconds", [0.5], ["median"]))
+    return g.select("released_commits", rdays(F.col("mean") / 86400).alias("mean_lead_days"),
+                    rdays(F.col("median") / 86400).alias("median_lead_days"))
 
 
 def _since_last_release(t: Tables) -> DataFrame:

@@ -63,7 +63,7 @@ def report_test_changes(t: Tables, from_: str | None = None, to: str | None = No
         F.sum(churn()).alias("total_changes"),
         F.sum(churn("total_additions_test", "total_deletions_test")).alias("test_file_changes"))
     pct = F.round(ratio(F.col("test_file_changes") * 100, "total_changes"), 2)
-    return g.withColumn("test_file_change_percentage", pct).orderBy(F.desc("test_file_change_percentage"))
+    return g.withColumn("test_file_change_percentage", pct).orderBy(F.desc("test_file_change_percentage"), "repo_name")
 
 
 REPORTS = {

@@ -2,7 +2,7 @@
 
 Quantiles and percent ranks need a global order. Instead of sorting all rows
 in one partition, rows are first reduced to a histogram (value → count, a
-partial hash aggregation), and only the distinct values are ordered.
+partial hash aggregation), whose distinct values are summed range by range.
 """
 
 from __future__ import annotations
@@ -12,13 +12,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
+
+def running_sum(df: DataFrame, order: str, amount: str) -> DataFrame:
+    """Adds ``_cum`` (sum of ``amount`` up to this row in ``order``, whose values
+    are distinct) and ``_n`` (sum of all).
+
+    Rows are put into ranges of ``order``; each range sums its own, and the sums
+    of the ranges (as many rows as partitions) give what comes before it. The
+    ranges are checkpointed, because their bounds come from a sample."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sums = parts.groupBy("_part").agg(F.sum(amount).alias("_s"))
+    totals = sums.agg(F.collect_list(F.struct("_part", "_s")).alias("_all")).select(
+        F.explode("_all").alias("_r"), "_all").select(
+        F.col("_r._part").alias("_part"),
+        F.aggregate(F.filter("_all", lambda x: x["_part"] < F.col("_r._part")), F.lit(0).cast("long"),
+                    lambda a, x: a + x["_s"]).alias("_before"),
+        F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: a + x["_s"]).alias("_n"))
+    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (parts.join(F.broadcast(totals), "_part")
+            .withColumn("_cum", F.sum(amount).over(w) + F.col("_before")).drop("_part", "_before"))
+
+
+def dense_numbers(df: DataFrame, col: str) -> DataFrame:
+    """``col`` (distinct values) and ``no``: 0, 1, … in their order."""
+    s = running_sum(df.select(col, F.lit(1).cast("long").alias("_one")), col, "_one")
+    return s.select(col, (F.col("_cum") - 1).alias("no"))
+
 
 def _hist(df: DataFrame, value: str) -> DataFrame:
     """value, cnt, cum (rows <= value), n (all rows); nulls dropped."""
     h = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (h.withColumn("_cum", F.sum("_cnt").over(w))
-             .withColumn("_n", F.sum("_cnt").over(Window.partitionBy())))
+    return running_sum(h, value, "_cnt")
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str]) -> list[Column]:
