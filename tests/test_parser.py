@@ -167,6 +167,69 @@ def test_sinks(spark, tmp_path):
     from vcscope.sources.sinks import write_delimited
     df = spark.createDataFrame([("a", 1), (None, 2)], "x string, n int")
     write_delimited(df, str(tmp_path / "out"))
-    lines = sorted(spark.read.text(str(tmp_path / "out")).collect(), key=lambda r: r[0])
-    assert [r[0] for r in lines] == [", 2", "a, 1"]
-    assert spark.read.text(str(tmp_path / "out" / "_header")).first()[0] == "x, n"
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert "".join(p.read_text() for p in parts).splitlines() == ["x, n", "a, 1", ", 2"]
+
+
+HARD = f"""garbage before any record
+commit:bbb1
+author:Ann
+date:2024-01-03T10:00:00Z
+parents:
+message:
+revert something
+commit: see aaa0 for why
+commit:nothex either
+
+numstat:
+
+:100644 100644 111 222 M{T}a.txt
+:100644 100644 111 222 M{T}a.txt
+4{T}1{T}a.txt
+9{T}9{T}a.txt
+commit:bbb2
+author:Bob
+date:
+parents:bbb1
+message:
+no date
+numstat:
+
+:000000 100644 000 333 A{T}b.py
+6{T}0{T}b.py
+commit:bbb1
+author:Ann
+date:2024-01-03T10:00:00Z
+parents:
+message:
+the same hash again
+numstat:
+
+:000000 100644 000 333 A{T}again.py
+50{T}0{T}again.py
+"""
+
+
+def test_hard_records(spark, tmp_path):
+    from vcscope.sources.ingest import index
+    (tmp_path / "d").mkdir()
+    for name, text in (("hard.log", HARD), ("hard.branches", "x,not a date\n"), ("hard.merged", "x\n"),
+                       ("hard.no-merged", ""), ("hard.tags", "")):
+        (tmp_path / "d" / name).write_text(text)
+    t = index(spark, str(tmp_path / "d"), str(tmp_path / "store"))
+    c = {r.commit_hash: r for r in t.commits.collect()}
+    assert set(c) == {"bbb1", "bbb2"} and t.commits.count() == 2
+    assert c["bbb1"].message == "revert something\ncommit: see aaa0 for why\ncommit:nothex either"
+    assert (c["bbb1"].total_additions, c["bbb1"].total_deletions) == (8, 2)  # the first counts, twice
+    assert c["bbb2"].date is None and c["bbb2"].total_additions == 6
+    assert sorted(r.file_path for r in t.file_changes.collect()) == ["a.txt", "a.txt", "b.py"]
+    assert len({r.id for r in t.file_changes.collect()}) == 3
+    rejects = {r.reason: r.text for r in spark.read.parquet(str(tmp_path / "store" / "rejects")).collect()}
+    assert rejects == {"no record header": "garbage before any record", "unreadable date": "bbb2 "}
+    assert t.branches.first().creation_date is None
+
+
+def test_parse_shuffles_for_repeated_records_only(spark):
+    records = spark.createDataFrame([], "repo_name string, ordinal struct<file_name:string,row:long>, record string")
+    plan = gitlog.parse_commits(records)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

@@ -56,8 +56,8 @@ def tz_offset_minutes(tz) -> Column:
     """Offset in minutes of a 'Z' / '+hh:mm' / '-hh:mm' text column."""
     tz = col(tz)
     sign = F.when(F.substring(tz, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    hh = F.substring(tz, 2, 2).cast("int")
-    mm = F.substring(tz, 5, 2).cast("int")
+    hh = F.substring(tz, 2, 2).try_cast("int")
+    mm = F.substring(tz, 5, 2).try_cast("int")
     return F.when(tz.isNull() | (tz == "Z"), F.lit(0)).otherwise(sign * (hh * 60 + mm))
 
 

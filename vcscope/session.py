@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. Timestamps are UTC everywhere (commit dates are
 # stored normalised to UTC), AQE re-plans joins and coalesces partitions at run
@@ -40,12 +41,12 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the session settings the operators depend on (UTC above all)."""
+    """Apply the session settings the operators depend on. The time zone is
+    essential; the others only tune, and a cluster may lock them."""
     for k, v in SESSION_DEFAULTS.items():
-        try:
+        if k != "spark.sql.session.timeZone" and spark.conf.isModifiable(k):
             spark.conf.set(k, v)
-        except Exception:  # static or locked configs on managed clusters
-            pass
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
@@ -53,19 +54,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     Reads ``spark.checkpoint.dir`` (or the SparkContext's checkpoint dir). Only
-    when neither is set (local runs and tests) a scratch folder is created and
-    registered, so that ``DataFrame.checkpoint()`` works."""
+    on a local master with neither set (local runs and tests) a scratch folder is
+    created and registered, so that ``DataFrame.checkpoint()`` works."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        try:
-            conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-        except Exception:
-            conf_dir = None
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="vcscope-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back:
+    computed once for all readers, and never again when executors are lost."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vcscope-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

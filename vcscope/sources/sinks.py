@@ -9,21 +9,20 @@ from pyspark.sql import functions as F
 
 def to_text_columns(df: DataFrame) -> DataFrame:
     """Every column as text, NULL as empty, column order kept."""
-    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ", ", header: bool = True) -> None:
     """Header line plus one line per row, values joined by ``sep`` (the
-    reference prints ``", "``), NULL written as an empty field. Written in
-    parallel, one part file per partition."""
-    cols = df.columns
-    line = F.concat_ws(sep, *[F.col(c) for c in cols]).alias("value")
+    reference prints ``", "``), NULL written as an empty field. Part files are
+    written in parallel; the header is the first line of the first one, so that
+    the parts in the order of their names read as one result."""
+    line = F.concat_ws(sep, *[F.col(f"`{c}`") for c in df.columns]).alias("value")
     body = to_text_columns(df).select(line)
-    (body.write.mode("overwrite").option("header", False).text(path))
     if header:
-        spark = df.sparkSession
-        spark.createDataFrame([(sep.join(cols),)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(path.rstrip("/") + "/_header")
+        head = df.sparkSession.createDataFrame([(sep.join(df.columns),)], "value string").coalesce(1)
+        body = head.unionAll(body)
+    body.write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

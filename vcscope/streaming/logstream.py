@@ -1,47 +1,43 @@
-"""Incremental indexing: new log dumps landing in a folder are parsed and
-appended to the table store with Structured Streaming.
+"""Incremental indexing: new log dumps landing in a folder are parsed and added
+to the table store with Structured Streaming.
 
-The reference rebuilds its store from scratch on every run; with a file
-stream the same parse runs once per new dump file (exactly once, tracked by
-the checkpoint), so a large fleet of repositories can be indexed as their
-exports arrive. The parse is the batch parser applied to each micro-batch.
+Each micro-batch takes whole new files, parses them like the batch index and
+writes its tables into a folder of its own, ``batch=<id>``, overwriting what an
+earlier try of the same batch left, so a retried batch adds nothing twice. A dump
+is read once under its name; branches and tags need a full index.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import staged
 from ..sources import gitlog
 
 
 def read_log_stream(spark: SparkSession, dump_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
-    """Streaming records (one per commit) of ``*.log`` files under dump_dir."""
-    raw = (spark.readStream.format("text").option("lineSep", gitlog.RECORD_SEP)
-           .option("pathGlobFilter", "*.log").option("maxFilesPerTrigger", max_files_per_trigger)
-           .load(dump_dir).select("value", "_metadata.file_name", "_metadata.file_block_start"))
-    repo = F.regexp_replace("file_name", r"[.]log$", "")
-    return raw.select(repo.alias("repo_name"),
-                      F.struct("file_name", "file_block_start", F.lit(0).cast("long").alias("row")).alias("ordinal"),
-                      F.regexp_replace("value", r"^commit:", "").alias("record"))
+    """Streaming stretches between record separators of ``*.log`` files."""
+    return (spark.readStream.format("text").option("lineSep", gitlog.RECORD_SEP)
+            .option("pathGlobFilter", "*.log").option("maxFilesPerTrigger", max_files_per_trigger)
+            .load(dump_dir).select("value", "_metadata.file_name", "_metadata.file_block_start"))
 
 
-def _append_batch(out: str):
+def _write_batch(out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = gitlog.parse_commits(batch)
-        changes = gitlog.file_changes(parsed)
-        commits = gitlog.commit_table(parsed, changes)
-        for name, df in (("commits", commits), ("file_changes", changes),
-                         ("commit_parents", gitlog.commit_parents(parsed))):
-            df.write.mode("append").partitionBy("repo_name").parquet(f"{out.rstrip('/')}/{name}")
+        records, lost = gitlog.join_bodies(staged(gitlog.with_place(batch), "stream-fragments"))
+        parsed = staged(gitlog.parse_commits(records), "stream-parsed")
+        for name, df in (("commits", gitlog.commit_table(parsed)), ("file_changes", gitlog.file_changes(parsed)),
+                         ("commit_parents", gitlog.commit_parents(parsed)),
+                         ("rejects", lost.unionByName(gitlog.bad_dates(parsed)))):
+            df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
     return write
 
 
 def start_log_indexing(spark: SparkSession, dump_dir: str, out: str, checkpoint: str,
                        once: bool = False) -> StreamingQuery:
     """Start the stream; ``once`` processes what is there and stops."""
-    w = read_log_stream(spark, dump_dir).writeStream.foreachBatch(_append_batch(out)).option(
+    w = read_log_stream(spark, dump_dir).writeStream.foreachBatch(_write_batch(out)).option(
         "checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")
     return w.start()
