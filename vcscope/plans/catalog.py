@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import threading
 import uuid
 from collections.abc import Callable
@@ -30,16 +29,14 @@ _lock = threading.Lock()
 _indexed: dict[tuple, str] = {}
 
 
-def _fingerprint(sf_dir: str) -> tuple:
-    base = os.path.abspath(sf_dir)
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of the input files, from the file system they are in."""
+    base = sf_dir.rstrip("/")
     stats = []
     for name in ("orders", "customer", "lineitem", "part"):
-        p = os.path.join(base, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            stats.append((name, st.st_size, int(st.st_mtime)))
-        except OSError:
-            stats.append((name, None, None))
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}.parquet")
+        st = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        stats.append((name, st.getLen(), st.getModificationTime()))
     return (base, tuple(stats))
 
 
@@ -51,7 +48,7 @@ def index_tables(spark: SparkSession, sf_dir: str, out: str | None = None) -> Ta
     from ..sources import fixtures
 
     configure(spark)
-    key = (id(spark.sparkContext._jsc), _fingerprint(sf_dir))
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir))
     with _lock:
         path = _indexed.get(key)
         if path is None:
@@ -61,9 +58,12 @@ def index_tables(spark: SparkSession, sf_dir: str, out: str | None = None) -> Ta
     return Tables.read(spark, path)
 
 
-def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(name: str, spark: SparkSession, sf_dir: str, from_: str | None = None, to: str | None = None,
+        repos: list[str] | None = None) -> DataFrame:
+    """A catalogue query, of a date range or of some repositories if given."""
     import vcscope.operators  # noqa: F401  (registers every operator)
-    return REGISTRY[name](index_tables(spark, sf_dir))
+    t = index_tables(spark, sf_dir).between(from_, to)
+    return REGISTRY[name](t.of_repos(*repos) if repos else t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

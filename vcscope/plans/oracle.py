@@ -7,7 +7,10 @@ may start with their own ``WITH``; the CTE lists are merged.
 
 from __future__ import annotations
 
+import re
+
 from ..operators.reports import RANGE_FROM, RANGE_TO
+from ..operators.scoped import ONE_REPO, SCOPED
 
 BODIES: dict[str, str] = {}
 
@@ -31,7 +34,26 @@ def oracle_sql() -> dict[str, str]:
     from ..sources.fixtures import duckdb_views
     from . import oracle_bodies  # noqa: F401  (fills BODIES)
     views = duckdb_views()
-    return {name: combine(views, body) for name, body in BODIES.items()}
+    out = {name: combine(views, body) for name, body in BODIES.items()}
+    for name in SCOPED:
+        out[f"{name}_between"] = combine(scoped_views(views, RANGE_SQL), BODIES[name])
+        out[f"{name}_of_repo"] = combine(scoped_views(views, f"repo_name = '{ONE_REPO}'"), BODIES[name])
+    return out
+
+
+def scoped_views(views: str, rule: str) -> str:
+    """The views over the commits that a rule keeps, and what belongs to them."""
+    for name in ("commits", "file_changes", "commit_parents", "branches", "tags"):
+        views = re.sub(rf"(?m)^{name} AS \(", f"all_{name} AS (", views)
+        views = re.sub(rf"(?<![\w.]){name}(?= (f|fc|c|GROUP|ON|JOIN|WHERE)\b)", f"all_{name}", views)
+    own = "(repo_name, {h}) IN (SELECT (repo_name, commit_hash) FROM commits)"
+    branches = "" if "date" in rule else f" WHERE {rule}"
+    return f"""{views},
+commits AS (SELECT * FROM all_commits WHERE {rule}),
+file_changes AS (SELECT * FROM all_file_changes WHERE {own.format(h="commit_hash")}),
+commit_parents AS (SELECT * FROM all_commit_parents WHERE {own.format(h="commit_hash")}),
+branches AS (SELECT * FROM all_branches{branches}),
+tags AS (SELECT * FROM all_tags WHERE {own.format(h="tag_commit")})"""
 
 
 RANGE_SQL = (f"date BETWEEN TIMESTAMP '{RANGE_FROM} 00:00:00' AND TIMESTAMP '{RANGE_TO} 23:59:59'")

@@ -542,3 +542,65 @@ WITH req AS (SELECT DISTINCT least(x.author, y.author) AS author_a, greatest(x.a
 SELECT COUNT(*) AS required_pairs, COUNT(n.author_a) AS congruent_pairs,
   round(COUNT(n.author_a) / COUNT(*), 6) AS congruence
 FROM req LEFT JOIN {NETWORK} n ON req.author_a = n.author_a AND req.author_b = n.author_b""")
+
+# ---------------------------------------------------------------- ingestion E01–E27 (dumps rendered and parsed back)
+PAD = "'c' || lpad(substr({h}, 2), 12, '0')"
+NUMBER = "CAST(substr(commit_hash, 2) AS BIGINT)"
+
+
+def pad(h):
+    return PAD.format(h=h)
+
+
+# Repeated paths of a commit take the counts of the first in the order of listing.
+BACK = f"""(SELECT * REPLACE (first_value(n_add) OVER o AS additions, first_value(n_del) OVER o AS deletions)
+  FROM (SELECT *, CASE WHEN change_type = 'A' AND file_path LIKE '%.md' THEN 0 ELSE additions END AS n_add,
+               CASE WHEN change_type = 'A' AND file_path LIKE '%.md' THEN 0 ELSE deletions END AS n_del FROM file_changes)
+  WINDOW o AS (PARTITION BY repo_name, commit_hash, file_path ORDER BY change_type, file_changes_add, file_changes_del
+               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""".replace(
+    "file_changes_add", "x_add").replace("file_changes_del", "x_del").replace(
+    "SELECT *, CASE", "SELECT *, additions AS x_add, deletions AS x_del, CASE", 1)
+_TOTALS = ", ".join(
+    f"CAST(COALESCE(SUM(b.{m}) FILTER (WHERE b.change_type IN ('A', 'M'){f}), 0) AS BIGINT) AS total_{m}{s}"
+    for s, f in (("", ""), ("_test", " AND b.is_test_file = 1"), ("_dot", " AND b.is_dot_file = 1"),
+                 ("_build", " AND b.is_build_file = 1"))
+    for m in ("additions", "deletions"))
+sql("ingest_commits", f"""
+SELECT {pad('c.commit_hash')} AS commit_hash, c.repo_name, c.author, CASE WHEN bad THEN NULL ELSE {iso('c.date')} END AS date,
+  CASE WHEN bad THEN NULL ELSE c.timezone END AS timezone, CASE WHEN parents > 1 THEN 1 ELSE 0 END AS is_merge,
+  c.message || CASE WHEN body THEN chr(10) || 'commit: see the earlier one' || chr(10) || 'date: unknown' ELSE '' END AS message,
+  t.* EXCLUDE (repo_name, commit_hash)
+FROM (SELECT *, {NUMBER} % 77 = 0 AS bad, {NUMBER} % 5 = 0 AS body FROM commits) c
+JOIN (SELECT k.repo_name, k.commit_hash, {_TOTALS}
+      FROM commits k LEFT JOIN {BACK} b ON (b.repo_name, b.commit_hash) = (k.repo_name, k.commit_hash)
+      GROUP BY k.repo_name, k.commit_hash) t ON (t.repo_name, t.commit_hash) = (c.repo_name, c.commit_hash)
+LEFT JOIN (SELECT repo_name, commit_hash, COUNT(*) AS parents FROM commit_parents GROUP BY ALL) p
+  ON (p.repo_name, p.commit_hash) = (c.repo_name, c.commit_hash)""")
+sql("ingest_file_changes", f"""
+SELECT {pad('commit_hash')} AS commit_hash, repo_name, author, change_type, file_path, CAST(additions AS BIGINT) AS additions,
+  CAST(deletions AS BIGINT) AS deletions, is_test_file, is_build_file, is_dot_file, is_documentation_file,
+  CASE WHEN change_type = 'R' THEN 90 END AS similarity, CASE WHEN change_type = 'R' THEN file_path || '.new' END AS new_path
+FROM {BACK} b""")
+sql("ingest_change_ids", "SELECT COUNT(*) AS changes, COUNT(*) AS ids FROM file_changes")
+sql("ingest_parents", f"""
+SELECT DISTINCT {pad('commit_hash')} AS commit_hash, repo_name, {pad('parent_hash')} AS parent_hash FROM commit_parents""")
+sql("ingest_branches", f"""
+SELECT b.branch_name, b.repo_name, b.is_active, {iso('b.creation_date')} AS creation_date,
+  CASE WHEN b.is_active = 0 THEN (
+    SELECT CASE WHEN {NUMBER} % 77 = 0 THEN NULL ELSE {iso('c.date')} END FROM commits c
+    WHERE c.repo_name = b.repo_name AND contains(c.message, b.branch_name)
+    ORDER BY c.date DESC, c.commit_hash LIMIT 1) END AS merge_date
+FROM branches b""")
+sql("ingest_tags", f"""
+SELECT tag_name, repo_name, {pad('tag_commit')} AS tag_commit, tag_message || ', and more' AS tag_message FROM tags""")
+sql("ingest_repositories", "SELECT repo_name, COUNT(*) AS commits FROM commits GROUP BY repo_name")
+sql("ingest_rejects", f"""
+SELECT repo_name, 'no record header' AS reason, 1 AS rejects FROM commits GROUP BY repo_name
+UNION ALL SELECT repo_name, 'unreadable date', COUNT(*) FROM commits WHERE {NUMBER} % 77 = 0 GROUP BY repo_name""")
+sql("adhoc_sql", """
+SELECT c.repo_name, COUNT(DISTINCT f.file_path) AS files, MAX(f.additions) AS most_added
+FROM commits c JOIN file_changes f ON (f.commit_hash, f.repo_name) = (c.commit_hash, c.repo_name)
+WHERE c.is_merge = 0 GROUP BY c.repo_name""")
+sql("delimited_rows", f"""
+SELECT 'repo_name, branch_name, is_active, merge_date' AS line
+UNION ALL SELECT concat(repo_name, ', ', branch_name, ', ', is_active, ', ', {iso('merge_date')}) FROM branches""")

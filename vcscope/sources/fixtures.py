@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import classify
 from ..operators.joins import substring_join
 from ..operators.sequence import segmented_lag
-from ..tables import Tables
+from ..tables import Tables, clustered
 from .rollup import commit_rollups
 
 
@@ -239,11 +239,11 @@ def index(spark: SparkSession, sf_dir: str, out: str) -> Tables:
     base = out.rstrip("/")
     cb = commits_base(spark, sf_dir)
     fc = file_changes_from(spark, sf_dir, cb)
-    fc.write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/file_changes")
+    clustered(fc, "file_changes").write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/file_changes")
     fc_w = spark.read.parquet(f"{base}/file_changes")
     commits = commit_rollups(cb.drop("_okey", "_custkey", "_odate"), fc_w)
-    commits.write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/commits")
+    clustered(commits, "commits").write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/commits")
     for name, df in (("commit_parents", parents_from(cb)), ("branches", branches_from(cb)),
                      ("tags", tags_from(spark, sf_dir))):
-        df.write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/{name}")
+        clustered(df, name).write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/{name}")
     return Tables.read(spark, base)

@@ -20,7 +20,8 @@ def read_log_stream(spark: SparkSession, dump_dir: str, max_files_per_trigger: i
     """Streaming stretches between record separators of ``*.log`` files."""
     return (spark.readStream.format("text").option("lineSep", gitlog.RECORD_SEP)
             .option("pathGlobFilter", "*.log").option("maxFilesPerTrigger", max_files_per_trigger)
-            .load(dump_dir).select("value", "_metadata.file_name", "_metadata.file_block_start"))
+            .load(dump_dir).select("value", "_metadata.file_name", "_metadata.file_path",
+                                   "_metadata.file_block_start"))
 
 
 def _write_batch(out: str):

@@ -5,12 +5,24 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schema
 
 NAMES = ("commits", "file_changes", "commit_parents", "branches", "tags")
 
 
+# Order of the rows within a repository's files.
+SORTED_BY = {"commits": "date", "file_changes": "file_path", "commit_parents": "commit_hash",
+             "branches": "branch_name", "tags": "tag_name"}
+
+
+def clustered(df: DataFrame, name: str) -> DataFrame:
+    order = ["repo_name", SORTED_BY[name]]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
 @dataclass(frozen=True)
 class Tables:
     commits: DataFrame
@@ -26,6 +38,24 @@ class Tables:
     def as_dict(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
+    def between(self, from_: str | None = None, to: str | None = None) -> "Tables":
+        """The history of an inclusive date range (either side optional): its
+        commits, and what belongs to them. Every operator takes it like the whole
+        tables. Branches stay; tags are those of the commits."""
+        from .operators.common import in_range
+        if from_ is None and to is None:
+            return self
+        c = in_range(self.commits, from_, to)
+        keys = c.select("repo_name", "commit_hash")
+        own = ["repo_name", "commit_hash"]
+        tags = self.tags.join(keys.withColumnRenamed("commit_hash", "tag_commit"), ["repo_name", "tag_commit"], "left_semi")
+        return Tables(c, self.file_changes.join(keys, own, "left_semi"), self.commit_parents.join(keys, own, "left_semi"),
+                      self.branches, tags.select(*self.tags.columns))
+
+    def of_repos(self, *repos: str) -> "Tables":
+        """The history of some repositories; the filter prunes their folders."""
+        return Tables(**{n: df.where(F.col("repo_name").isin(*repos)) for n, df in self.as_dict().items()})
+
     def register_views(self, prefix: str = "") -> None:
         """Temp views, so that ad-hoc SQL runs over the tables."""
         for name, df in self.as_dict().items():
@@ -37,10 +67,12 @@ class Tables:
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Table sink: full rebuild, one parquet dataset per table, partitioned
-        by repository so per-repo questions prune whole directories."""
+        by repository so per-repo questions prune whole directories. Rows are
+        put into ranges of (repository, SORTED_BY) before, so that a repository
+        has few files, however many tasks wrote them, and filters on dates or
+        paths skip row groups."""
         for name, df in self.as_dict().items():
-            (df.write.mode(mode).partitionBy("repo_name")
-               .parquet(f"{path.rstrip('/')}/{name}"))
+            clustered(df, name).write.mode(mode).partitionBy("repo_name").parquet(f"{path.rstrip('/')}/{name}")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> "Tables":
