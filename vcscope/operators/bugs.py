@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.timeops import month
 from ..plans.catalog import register
+from ..session import staged
 from ..tables import Tables
 from .authors import ownership
 from .common import DEFAULT_TOP_N, is_bug_fix, module, r6, ratio, top
-from .stats import percent_rank
+from .stats import mean_percent_rank
 
 
 def fix_flags(t: Tables) -> DataFrame:
@@ -83,21 +84,18 @@ def defect_risk(t: Tables, cut: float = 0.7, n: int = DEFAULT_TOP_N) -> DataFram
     commits after the cut. The cut lies at ``cut`` of the commit time span."""
     bounds = t.commits.agg(F.min(F.unix_micros("date")).alias("lo"), F.max(F.unix_micros("date")).alias("hi"))
     cut_us = bounds.select(F.col("lo") + F.lit(cut) * (F.col("hi") - F.col("lo"))).scalar()
-    fc = t.file_changes.join(t.commits.select("commit_hash", "repo_name", "date"), ["commit_hash", "repo_name"])
-    before = (fc.where(F.unix_micros("date") <= cut_us).groupBy("file_path")
-              .agg(F.count(F.lit(1)).alias("changes_before"),
-                   F.sum(F.col("additions") + F.col("deletions")).alias("churn_before"),
-                   F.countDistinct("author").alias("authors_before")))
-    fixes = fix_commits(t)
-    after = (fc.where(F.unix_micros("date") > cut_us).join(fixes, ["commit_hash", "repo_name"], "left_semi")
-             .groupBy("file_path").agg(F.countDistinct("repo_name", "commit_hash").alias("fixes_after")))
-    r = before
-    for col in ("changes_before", "churn_before", "authors_before"):
-        r = percent_rank(r, col, f"_pr_{col}")
-    score = (F.col("_pr_changes_before") + F.col("_pr_churn_before") + F.col("_pr_authors_before")) / 3
-    r = r.withColumn("risk_score", r6(score)).join(after, "file_path", "left")
-    r = r.select("file_path", "changes_before", "churn_before", "authors_before", "risk_score",
-                 F.coalesce("fixes_after", F.lit(0)).alias("fixes_after"))
+    c = fix_flags(t).select("commit_hash", "repo_name", "is_fix", (F.unix_micros("date") <= cut_us).alias("early"))
+    fc = t.file_changes.join(c, ["commit_hash", "repo_name"])
+    early = lambda x: F.when(F.col("early"), x)
+    files = fc.groupBy("file_path").agg(
+        F.count_if("early").alias("changes_before"),
+        F.sum(early(F.col("additions") + F.col("deletions"))).alias("churn_before"),
+        F.countDistinct(early(F.col("author"))).alias("authors_before"),
+        F.countDistinct(F.when(~F.col("early") & F.col("is_fix"), F.struct("repo_name", "commit_hash"))).alias("fixes_after"))
+    files = staged(files.where("changes_before > 0"), "defect-risk")
+    rank = mean_percent_rank(files, "file_path", ["changes_before", "churn_before", "authors_before"], "risk")
+    r = files.join(rank, "file_path").select("file_path", "changes_before", "churn_before", "authors_before",
+                                             r6("risk").alias("risk_score"), "fixes_after")
     return top(r, n, F.desc("risk_score"), F.asc("file_path"))
 
 

@@ -11,7 +11,7 @@ from ..tables import Tables
 from .authors import ownership
 from .bugs import fix_flags
 from .common import DEFAULT_TOP_N, has_keyword, top
-from .joins import interval_pairs
+from .joins import range_sums
 from .sequence import segmented_lag
 
 
@@ -53,21 +53,11 @@ def quick_fix_areas(t: Tables, days: int = 7, n: int = DEFAULT_TOP_N) -> DataFra
 def refactoring_impact(t: Tables, days: int = 30) -> DataFrame:
     """For each file touched by a refactoring commit, churn and fix
     commits on that file in the ``days`` days before and after it (other
-    commits only). An interval join on (file, time bucket)."""
-    ev = file_events(t)
-    ref = (ev.where(has_keyword("message", vocab.REFACTOR_KEYWORDS))
-           .select("file_path", F.col("commit_hash").alias("ref_commit"), F.col("date").alias("ref_date")))
-    other = ev.select("file_path", F.col("commit_hash").alias("c2"), F.col("date").alias("d2"),
-                      F.col("lines").alias("l2"), F.col("is_fix").alias("fix2"))
-    p = interval_pairs(ref, other, ["file_path"], "ref_date", "d2", days * 86400)
-    p = p.where(F.col("c2") != F.col("ref_commit"))
-    before, after = F.col("d2") < F.col("ref_date"), F.col("d2") > F.col("ref_date")
-    g = p.groupBy("file_path", "ref_commit").agg(
-        F.sum(F.when(before, F.col("l2")).otherwise(0)).alias("churn_before"),
-        F.sum(F.when(after, F.col("l2")).otherwise(0)).alias("churn_after"),
-        F.count_if(before & F.col("fix2")).alias("fixes_before"),
-        F.count_if(after & F.col("fix2")).alias("fixes_after"))
-    out = ref.join(g, ["file_path", "ref_commit"], "left")
-    return out.select("file_path", F.col("ref_commit").alias("commit_hash"),
-                      *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
-                        for c in ("churn_before", "churn_after", "fixes_before", "fixes_after")])
+    commits only)."""
+    ev = file_events(t).select("file_path", "commit_hash", F.unix_seconds("date").alias("at"), "lines",
+                               F.col("is_fix").cast("long").alias("fix"),
+                               has_keyword("message", vocab.REFACTOR_KEYWORDS).alias("refactors"))
+    near = range_sums(ev, ["file_path"], "at", days * 86400, {"churn_before": "lines", "fixes_before": "fix"},
+                      {"churn_after": "lines", "fixes_after": "fix"})
+    return near.where("refactors").select("file_path", "commit_hash", "churn_before", "churn_after",
+                                          "fixes_before", "fixes_after")

@@ -4,6 +4,7 @@
   ``instr``) as an exact equi-join on one gram of each pattern.
 * ``window_join``: rows of a fact table that fall in half-open time windows
   (releases), as an equi-join on a time bucket plus a residual range test.
+* ``range_sums``: sums over the events of a key shortly before or after each.
 * ``interval_pairs``: pairs of events on one key whose times are at most a gap
   apart, as an equi-join on (key, bucket) with the neighbour bucket exploded.
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICROS_PER_SECOND = 1_000_000
@@ -81,6 +82,23 @@ def interval_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts
     return joined.where(cond)
 
 
+def range_sums(events: DataFrame, on: Sequence[str], seconds: str, width: int,
+               before: dict[str, str], after: dict[str, str]) -> DataFrame:
+    """Every event with sums over the other events of its key that lie at most
+    ``width`` seconds before (or after) it, strictly: ``before`` and ``after``
+    map names to the column summed.
+
+    Events are sent to their time bucket and its neighbours, and a range frame
+    runs within (key, bucket): the work is linear, and a busy key is split by time."""
+    b = F.floor(F.col(seconds) / width).cast("long")
+    x = events.withColumn("_own", b).withColumn("_bucket", F.explode(F.array(b - 1, b, b + 1)))
+    w = Window.partitionBy(*on, "_bucket").orderBy(seconds)
+    past, future = w.rangeBetween(-width, -1), w.rangeBetween(1, width)
+    x = x.withColumns({n: F.coalesce(F.sum(c).over(past), F.lit(0)) for n, c in before.items()}
+                      | {n: F.coalesce(F.sum(c).over(future), F.lit(0)) for n, c in after.items()})
+    return x.where(F.col("_own") == F.col("_bucket")).drop("_own", "_bucket")
+
+
 def window_join(facts: DataFrame, fact_ts: str, windows: DataFrame, lo: str, hi: str,
                 how: str = "inner", bucket_seconds: int = 86_400) -> DataFrame:
     """Facts with ``lo < fact_ts <= hi`` for each window (``lo`` NULL = no

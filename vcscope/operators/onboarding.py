@@ -10,7 +10,7 @@ from ..plans.catalog import register
 from ..tables import Tables
 from .bugs import fix_flags
 from .common import churn, module, r6, ratio
-from .joins import interval_pairs
+from .joins import range_sums
 
 
 def first_commits(t: Tables, k: int) -> DataFrame:
@@ -45,7 +45,8 @@ def newcomer_first_commits(t: Tables, k: int = 5) -> DataFrame:
     distinct files and the test share of changed lines."""
     fc = first_commits(t, k).select("commit_hash", "repo_name", "author", churn().alias("lines"),
                                     churn("total_additions_test", "total_deletions_test").alias("test_lines"))
-    files = t.file_changes.groupBy("commit_hash", "repo_name").agg(F.countDistinct("file_path").alias("files"))
+    files = t.file_changes.join(fc.select("commit_hash", "repo_name"), ["commit_hash", "repo_name"], "left_semi").groupBy(
+        "commit_hash", "repo_name").agg(F.countDistinct("file_path").alias("files"))
     j = fc.join(files, ["commit_hash", "repo_name"], "left").withColumn("files", F.coalesce("files", F.lit(0)))
     g = j.groupBy("author").agg(F.count(F.lit(1)).alias("commits"), r6(F.avg("lines")).alias("avg_lines"),
                                 r6(F.avg("files")).alias("avg_files"), F.sum("test_lines").alias("_t"),
@@ -57,17 +58,14 @@ def newcomer_first_commits(t: Tables, k: int = 5) -> DataFrame:
 def newcomer_hard_areas(t: Tables, k: int = 10, days: int = 30, depth: int = 1) -> DataFrame:
     """Per module, changes made in authors' first k commits, and how
     many of them were followed by a fix commit (another commit) touching the
-    same file within ``days`` days — a left-semi interval join."""
-    nc = first_commits(t, k).select("commit_hash", "repo_name", "date")
-    newcomer = (t.file_changes.join(nc, ["commit_hash", "repo_name"], "inner")
-                .select("id", "file_path", F.col("commit_hash").alias("c1"), F.col("date").alias("t1")))
-    fixes = fix_flags(t).where("is_fix").select("commit_hash", "repo_name", "date")
-    fix_ch = (t.file_changes.join(fixes, ["commit_hash", "repo_name"], "inner")
-              .select("file_path", F.col("commit_hash").alias("c2"), F.col("date").alias("t2")).distinct())
-    pairs = interval_pairs(newcomer, fix_ch, ["file_path"], "t1", "t2", days * 86400, forward_only=True)
-    refixed = pairs.where((F.col("c2") != F.col("c1")) & (F.col("t2") > F.col("t1"))).select("id").distinct() \
-        .withColumn("_refixed", F.lit(1))
-    j = newcomer.join(refixed, "id", "left")
-    g = j.groupBy(module("file_path", depth).alias("module")).agg(
-        F.count(F.lit(1)).alias("newcomer_changes"), F.count("_refixed").alias("refixed_changes"))
+    same file within ``days`` days."""
+    nc = first_commits(t, k).select("commit_hash", "repo_name", F.unix_seconds("date").alias("at"))
+    own = (t.file_changes.join(nc, ["commit_hash", "repo_name"])
+           .select("file_path", "at", F.lit(0).alias("fix"), F.lit(True).alias("newcomer")))
+    fixes = fix_flags(t).where("is_fix").select("commit_hash", "repo_name", F.unix_seconds("date").alias("at"))
+    events = own.unionByName(t.file_changes.select("file_path", "commit_hash", "repo_name").join(
+        fixes, ["commit_hash", "repo_name"]).select("file_path", "at", F.lit(1).alias("fix"), F.lit(False).alias("newcomer")))
+    after = range_sums(events, ["file_path"], "at", days * 86400, {}, {"fixes_after": "fix"}).where("newcomer")
+    g = after.groupBy(module("file_path", depth).alias("module")).agg(
+        F.count(F.lit(1)).alias("newcomer_changes"), F.count_if(F.col("fixes_after") > 0).alias("refixed_changes"))
     return g.withColumn("refix_share", r6(ratio("refixed_changes", "newcomer_changes")))

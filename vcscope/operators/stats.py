@@ -77,6 +77,20 @@ def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     return j.withColumn(out, F.coalesce(pr, F.lit(0.0))).drop("_less", "_n")
 
 
+def mean_percent_rank(df: DataFrame, key: str, values: Sequence[str], out: str) -> DataFrame:
+    """``key`` (one row each) and ``out``: the mean of the percent ranks of
+    ``values`` (none null). All columns share one histogram, in which a column
+    follows the other."""
+    each = df.select(key, F.posexplode(F.array(*[F.col(v).cast("double") for v in values])).alias("_f", "_v"))
+    h = each.groupBy(F.struct("_f", "_v").alias("_fv")).agg(F.count(F.lit(1)).alias("_cnt"))
+    h = running_sum(h, "_fv", "_cnt")
+    rows = F.col("_n") / len(values)
+    less = F.col("_cum") - F.col("_cnt") - F.col("_fv._f") * rows
+    h = h.select(F.col("_fv._f").alias("_f"), F.col("_fv._v").alias("_v"),
+                 F.when(rows <= 1, F.lit(0.0)).otherwise(less / (rows - 1)).alias("_pr"))
+    return each.join(h, ["_f", "_v"]).groupBy(key).agg((F.sum("_pr") / len(values)).alias(out))
+
+
 def rank_desc(df: DataFrame, value: str, out: str) -> DataFrame:
     """Add ``out`` = rank() over (order by value desc): 1 + rows with a
     larger value."""
