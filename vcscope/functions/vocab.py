@@ -38,6 +38,13 @@ LANGUAGE_EXTENSIONS = [
 CONFIG_EXTENSIONS = ["conf", "cfg", "ini", "yaml", "yml", "json", "xml",
                      "properties", "toml", "env"]
 
+CONFIG_KEYWORDS = ["config files", "settings", "setup files"]
+
+# build files by name, by ending, and (%) by ending of the name
+BUILD_NAMES = ["pom.xml", "build.gradle", "package.json", "requirements.txt", "yarn.lock", "Gemfile",
+               "Gemfile.lock", "Cargo.toml", "Podfile", "Podfile.lock"]
+BUILD_ENDINGS = [".csproj", ".sln", ".xcodeproj", ".gradle", "lock.json", "lock.yaml", "lock.yml"]
+
 # skill -> extensions; testing skill is the is_test_file flag
 SKILL_EXTENSIONS = [
     ("backend", ["java", "cs", "py", "rb", "go", "rs", "cpp", "c"]),

@@ -47,12 +47,23 @@ def ownership(t: Tables, by: str = "file", depth: int = 1) -> DataFrame:
                .withColumn("owner_rank", F.row_number().over(w_rank)))
 
 
+def file_owners(t: Tables) -> DataFrame:
+    """file_path, author (the owner), lines, file_lines, share: the author of most
+    lines of each file (name breaks ties), without ordering a file's authors."""
+    per = t.file_changes.groupBy("file_path", "author").agg(
+        F.sum(F.col("additions") + F.col("deletions")).alias("lines"))
+    g = per.groupBy("file_path").agg(
+        F.min(F.struct((-F.col("lines")).alias("less"), F.col("author"))).alias("o"), F.sum("lines").alias("file_lines"))
+    lines = -F.col("o.less")
+    return g.select("file_path", "o.author", lines.alias("lines"), "file_lines",
+                    r6(ratio(lines, "file_lines")).alias("share"))
+
+
 @register("code_ownership_files")
 def code_ownership_files(t: Tables) -> DataFrame:
     """Every file's top owner and share."""
-    o = ownership(t, "file").where(F.col("owner_rank") == 1)
-    return o.select(F.col("unit").alias("file_path"), F.col("author").alias("owner"), "lines",
-                    F.col("unit_lines").alias("file_lines"), F.col("share").alias("owner_share"))
+    return file_owners(t).select("file_path", F.col("author").alias("owner"), "lines", "file_lines",
+                                 F.col("share").alias("owner_share"))
 
 
 @register("code_ownership_modules")

@@ -9,7 +9,7 @@ from ..functions.timeops import month
 from ..plans.catalog import register
 from ..session import staged
 from ..tables import Tables
-from .authors import ownership
+from .authors import file_owners
 from .common import DEFAULT_TOP_N, is_bug_fix, module, r6, ratio, top
 from .stats import mean_percent_rank
 
@@ -111,6 +111,6 @@ def bug_fix_authors(t: Tables, n: int = DEFAULT_TOP_N) -> DataFrame:
 @register("ownership_vs_bugs")
 def ownership_vs_bugs(t: Tables) -> DataFrame:
     """Correlation over files of the top owner's share and fixes."""
-    own = ownership(t, "file").where(F.col("owner_rank") == 1).select(F.col("unit").alias("file_path"), "share")
+    own = file_owners(t).select("file_path", "share")
     j = own.join(_file_fix_counts(t), "file_path", "left").withColumn("fixes", F.coalesce("fixes", F.lit(0)))
     return j.agg(F.count(F.lit(1)).alias("files"), r6(F.corr("share", "fixes")).alias("correlation"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..plans.catalog import register
 from ..tables import Tables
-from .authors import ownership
+from .authors import file_owners
 from .bugs import fix_flags
 from .common import DEFAULT_TOP_N, has_keyword, top
 from .joins import range_sums
@@ -21,8 +21,7 @@ def low_ownership_hotspots(t: Tables, min_changes: int = 10, max_share: float =
     """Often-changed files whose top owner holds under half the lines."""
     stats = t.file_changes.groupBy("file_path").agg(F.count(F.lit(1)).alias("changes"),
                                                     F.countDistinct("author").alias("authors"))
-    own = ownership(t, "file").where(F.col("owner_rank") == 1).select(
-        F.col("unit").alias("file_path"), F.col("author").alias("owner"), F.col("share").alias("owner_share"))
+    own = file_owners(t).select("file_path", F.col("author").alias("owner"), F.col("share").alias("owner_share"))
     j = stats.join(own, "file_path").where((F.col("changes") >= min_changes) & (F.col("owner_share") < max_share))
     return top(j, n, F.desc("changes"), F.asc("file_path"))
 

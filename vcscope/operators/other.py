@@ -113,17 +113,11 @@ register("tool_presence")(lambda t: tool_presence(t))
 @register("file_class_counts")
 def file_class_counts(t: Tables) -> DataFrame:
     """Distinct test, build, dot, documentation and configuration files."""
-    fc = t.file_changes
-    cfg = extension("file_path").isin(*vocab.CONFIG_EXTENSIONS)
-
-    def n(cond):
-        return F.count_distinct(F.when(cond, F.col("file_path")))
-    return fc.agg(F.countDistinct("file_path").alias("files"),
-                  n(F.col("is_test_file") == 1).alias("test_files"),
-                  n(F.col("is_build_file") == 1).alias("build_files"),
-                  n(F.col("is_dot_file") == 1).alias("dot_files"),
-                  n(F.col("is_documentation_file") == 1).alias("documentation_files"),
-                  n(cfg).alias("config_files"))
+    flags = {"test_files": F.col("is_test_file") == 1, "build_files": F.col("is_build_file") == 1,
+             "dot_files": F.col("is_dot_file") == 1, "documentation_files": F.col("is_documentation_file") == 1,
+             "config_files": extension("file_path").isin(*vocab.CONFIG_EXTENSIONS)}
+    files = t.file_changes.groupBy("file_path").agg(*[F.max(c).alias(n) for n, c in flags.items()])
+    return files.agg(F.count("file_path").alias("files"), *[F.count_if(n).alias(n) for n in flags])
 
 
 def keyword_search(t: Tables, terms: Sequence[str] = ("conflict", "readme")) -> DataFrame:
