@@ -136,3 +136,33 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLE_SQL = f"""WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS s(k) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, source, t, line, len(regexp_extract_all(line, '{_WORD}')) AS n,
+    array_to_string(regexp_extract_all(
+      regexp_replace(translate(line, '{_UPPER}', '{_UPPER.lower()}'), '[0-9]', '0', 'g'), '{_WORD}'), ' ') AS normal
+  FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+held AS (SELECT * FROM lines WHERE n > 0),
+repeated AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM held GROUP BY doc_id),
+frequent AS (SELECT source, normal, arg_min(t, doc_id) AS owner FROM held GROUP BY source, normal
+  HAVING count(DISTINCT t) > {LINE_DOCUMENTS}),
+gone AS (SELECT h.doc_id, sum(h.n) AS n FROM held h JOIN frequent f
+  ON h.source IS NOT DISTINCT FROM f.source AND h.normal = f.normal WHERE h.t <> f.owner GROUP BY h.doc_id),
+counts AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(r.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+    CAST(len(w) - coalesce(g.n, 0) AS BIGINT) AS n_remaining_words
+  FROM d LEFT JOIN repeated r ON r.doc_id = d.doc_id LEFT JOIN covered c ON c.doc_id = d.doc_id
+  LEFT JOIN gone g ON g.doc_id = d.doc_id),
+ruled AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_SHARE} * n_words AS base_failed FROM counts)
+SELECT *, NOT base_failed AND 100 * n_remaining_words >= {MIN_REMAINING_SHARE} * n_words AS kept FROM ruled"""

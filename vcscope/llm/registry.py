@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_secret_scans": op3_secrets.ORACLE_SQL,
+    "op10_quality_rules": op10_quality.ORACLE_SQL,
 }
