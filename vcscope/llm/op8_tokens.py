@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import documents, map_arrow, slices
+from .common import documents, map_arrow, slices, stage
 
 # Lengths are summed in blocks of this many, blocks of blocks above them.
 BLOCK = 1024
@@ -46,9 +46,10 @@ def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     length, n_docs, n_tokens (of these documents), docs_from, tokens_from
     (documents of length >= L and their tokens), tokens_cut_at (tokens left when
     all documents are cut at L), share_to (share of documents of length <= L)."""
-    by = (lengths(docs, path).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
-          .withColumn("n_tokens", F.col("length") * F.col("n_docs"))
-          .withColumn("block", F.floor(F.col("length") / BLOCK)))
+    # Written once: the sums below read it three times, the texts are encoded once.
+    by = stage(lengths(docs, path).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+               .withColumn("n_tokens", F.col("length") * F.col("n_docs"))
+               .withColumn("block", F.floor(F.col("length") / BLOCK)), "lengths")
     blocks = by.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     above = blocks.groupBy(F.floor(F.col("block") / BLOCK).alias("high")).agg(
         F.sum("d").alias("hd"), F.sum("t").alias("ht"))
