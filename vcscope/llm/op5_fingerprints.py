@@ -27,8 +27,8 @@ from .common import documents, null_text, shuffle_partitions
 SAMPLES = 16
 SEGMENTS_PER_PARTITION = 4
 _LOW = 0xFFFFFFFF
-# Values are compared at 24 bits after the point.
-_SCALE, _SHIFT = float(1 << 24), 64.0
+# Values lie within 128 of 0 and are compared at 23 bits after the point.
+_SCALE, _SHIFT = float(1 << 23), 128.0
 
 
 def words_of(text: Column) -> Column:
@@ -44,7 +44,9 @@ def pairs_of(words: str) -> str:
 
 def sample(k: int, weight: str) -> Column:
     """SQL: the value of sample ``k`` in the high and the hash of (pair, t) in the
-    low half of a long; ``weight`` names the weight's logarithm (null: absent)."""
+    low half of a long; ``weight`` names the weight's logarithm (null: absent,
+    and so the value). Nothing is conditional, so that the draws, which all weights
+    of a row share, are computed once."""
     bits = (1 << 21) - 1
     unit = f"((({{h}} >> {{s}}) & {bits}) + 0.5D) / {float(1 << 21)!r}D"
     h, g = f"xxhash64(term, {k})", f"xxhash64(term, {k}, 1)"
@@ -53,9 +55,8 @@ def sample(k: int, weight: str) -> Column:
     ln_c = f"ln(-ln({unit.format(h=g, s=0)} * {unit.format(h=g, s=21)}))"
     t = f"floor({weight} / {r} + {b})"
     value = f"({ln_c} - {r} * ({t} - {b}) - {r})"
-    scaled = f"CAST(greatest(0D, least({2 * _SHIFT - 1!r}D, {value} + {_SHIFT!r}D)) * {_SCALE!r}D AS BIGINT)"
-    return F.expr(f"CASE WHEN {weight} IS NOT NULL THEN "
-                  f"shiftleft({scaled}, 32) | (xxhash64(term, {k}, {t}) & {_LOW}L) END")
+    scaled = f"CAST(({value} + {_SHIFT!r}D) * {_SCALE!r}D AS BIGINT)"
+    return F.expr(f"shiftleft({scaled}, 32) | (xxhash64(term, {k}, {t}) & {_LOW}L)")
 
 
 def signature(bags: DataFrame, keys: list[str], samples: int, weights: dict[str, str]) -> DataFrame:
@@ -122,15 +123,16 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     # Pairs before the cut belong to both texts: 3; to the text alone: 1; to the
     # edited text alone: 2 (in the two low bits of the pair's hash).
-    split = base.select("seg", "nth", words_of(F.col("text")).alias("w"), words_of(F.col("edited")).alias("v"),
+    # (doc_id goes along so that both branches read one and the same exchange.)
+    split = base.select("seg", "nth", "doc_id", words_of(F.col("text")).alias("w"), words_of(F.col("edited")).alias("v"),
                         F.greatest(F.size(words_of(kept)) - 2, F.lit(0)).alias("shared"))
-    split = split.select("seg", "nth", "shared", F.expr(pairs_of("w")).alias("p"), F.expr(pairs_of("v")).alias("q"))
+    split = split.select("seg", "nth", "doc_id", "shared", F.expr(pairs_of("w")).alias("p"), F.expr(pairs_of("v")).alias("q"))
     both = F.expr("""concat(
         transform(slice(p, 1, shared), x -> (x & -4L) | 3L),
         transform(slice(p, shared + 1, size(p)), x -> (x & -4L) | 1L),
         transform(slice(q, shared + 1, size(q)), x -> (x & -4L) | 2L))""")
-    bags = (split.select("seg", "nth", F.explode_outer(both).alias("x"))
-            .groupBy("seg", "nth", F.expr("x & -4L").alias("term"))
+    bags = (split.select("seg", "nth", "doc_id", F.explode_outer(both).alias("x"))
+            .groupBy("seg", "nth", "doc_id", F.expr("x & -4L").alias("term"))
             .agg(F.sum(F.expr("x & 1L")).alias("a"), F.sum(F.expr("(x >> 1) & 1L")).alias("b")))
     logs = bags.select("seg", "nth", "term", F.expr("ln(nullif(a, 0L))").alias("la"),
                        F.expr("ln(nullif(b, 0L))").alias("lb"))
