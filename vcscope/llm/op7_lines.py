@@ -408,8 +408,11 @@ def dropped_lines(docs: DataFrame, tau: int = THRESHOLD, group_pairs: int = GROU
     earlier = (both.join(first.select(F.col("key").alias("x"), F.col("first").alias("fx")), "x")
                .join(first.select(F.col("key").alias("y"), F.col("first").alias("fy")), "y")
                .where(F.col("fy") < F.col("fx")).select(F.col("x").alias("key"), F.lit(True).alias("near")).distinct())
-    state = first.join(earlier, "key", "left").select(
-        "key", F.col("first.ref").alias("r"), F.col("first.no").alias("i"), F.coalesce("near", F.lit(False)).alias("near"))
+    # Written, so that the join below has plain exchanges on both sides and a line
+    # that very many documents hold can be split.
+    state = stage(first.join(earlier, "key", "left").select(
+        "key", F.col("first.ref").alias("r"), F.col("first.no").alias("i"),
+        F.coalesce("near", F.lit(False)).alias("near")), "lines-state")
     gone = each.join(state, "key").select("ref", "no", "near", (
         (F.col("ref") != F.col("r")) | (F.col("no") != F.col("i"))).alias("equal")).where("equal OR near")
     per_row = gone.groupBy("ref").agg(
