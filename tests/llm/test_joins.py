@@ -60,10 +60,10 @@ def family_pairs(seed, n=150):
     return pairs
 
 
-@pytest.mark.parametrize("seed,leaf", [(1, 48), (2, 2)])
-def test_components_near_the_threshold(make, seed, leaf):
+@pytest.mark.parametrize("seed,pivots", [(1, 256), (2, 256), (4, 2)])
+def test_components_near_the_threshold(make, seed, pivots):
     pairs = family_pairs(seed)
-    got = Counter(map(tuple, op1_jaccard.components(make(pairs).repartition(4), leaf=leaf).collect()))
+    got = Counter(map(tuple, op1_jaccard.components(make(pairs).repartition(4), pivots=pivots).collect()))
     assert got == brute_components(pairs)
 
 

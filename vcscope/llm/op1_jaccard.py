@@ -11,11 +11,12 @@ EPSILON. Equal sets are one point. The steps:
    linked points meet in at least one region. Each region's least point is its
    pivot; distances to the pivots are exact, a point's nearest pivot is its
    Voronoi home, and points within EPSILON of a pivot form a class with it.
-3. Regions that hold several classes join recursively. A small one compares its
-   points of different classes. A large one takes a new pivot; by the triangle
-   inequality two linked points differ by at most EPSILON in their distance to
-   it, so the region falls into windows of that width, each joined by the
-   boundary points of the next, and every window is a region of its own.
+3. Regions that hold several classes join across these, recursively. Every point
+   meets at most PIVOTS pivots of its region that are of other classes. By the
+   triangle inequality a member can link to it only if their distances to the
+   pivot differ by at most EPSILON: within that window the point stands at the
+   boundary of the pivot's cell and is measured against the member. Cells so
+   settled leave, and the rest of the region is joined in the same way.
 
 Pairs within a class are never made: they are connected already. Shingles are
 64-bit hashes, sets are known by 128-bit hashes of their shingles. Between tasks
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -44,7 +45,7 @@ WORDS = 4
 PERCENT = 85           # link at a similarity of at least so many percent
 BUCKETS_BITS = 10
 SAMPLE_MASK = 3        # of the first pass: shingles whose low bits are 0
-LEAF = 48              # regions of at most so many points compare directly
+PIVOTS = 256           # a region's pivots that are met at one level
 SLICE_SHINGLES = 200_000
 _MANY = np.uint32(0xFFFFFFFF)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -348,68 +349,68 @@ def _measure(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return stage(map_arrow(joined, run, "x long, y long, shared long, united long"), "jaccard-measured")
 
 
-def _with_class(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("cls", F.col("ref"))
-    named = labels.select(F.col("node").alias("ref"), "label")
-    return rows.join(named, "ref", "left").withColumn("cls", F.coalesce("label", "ref")).drop("label")
-
-
-def links(points: DataFrame, percent: int = PERCENT, leaf: int = LEAF):
+def _homes(pivot_links: DataFrame) -> DataFrame:
+    """ref, home, at: each linked point's nearest pivot and its distance."""
+    at = 1 - F.col("shared") / F.col("united")
+    return pivot_links.groupBy(F.col("x").alias("ref")).agg(
+        F.min(F.struct(at.alias("at"), F.col("y").alias("home"))).alias("h")).select("ref", "h.home", "h.at")
+
+
+def _across(rows: DataFrame, cells: DataFrame, points: DataFrame, percent: int, linked) -> DataFrame:
+    """Links between points of different classes in regions (region, ref, n, cls,
+    home, at), where one of the two is at home with a pivot of ``cells`` (region,
+    home, c, least, most). Every point meets these pivots. One farther from a
+    pivot than a member's distance and EPSILON cannot link to that member; the
+    others stand at the boundary of the pivot's cell and are measured against it."""
+    width = (100 - percent) / 100 + 1e-9
+    fits = ((percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n")))
+    meet = rows.select("region", F.col("ref").alias("x"), "n", "cls").join(cells, "region").where(
+        (F.col("cls") != F.col("c")) & (F.col("x") != F.col("home")) & fits).select(
+        "region", "x", "n", F.col("home").alias("y"))
+    to_pivot = _measure(meet.select("x", "y").distinct(), points)
+    apart = to_pivot.where(~linked).select("x", "y", (1 - F.col("shared") / F.col("united")).alias("far"))
+    members = rows.where("ref != home").select(
+        "region", F.col("home").alias("y"), F.col("ref").alias("z"), F.col("n").alias("m"), "at")
+    window = (meet.join(apart.where(F.col("far") <= 2 * width), ["x", "y"]).join(members, ["region", "y"])
+              .where((F.abs(F.col("far") - F.col("at")) <= width)
+                     & (percent * F.greatest("n", "m") <= 100 * F.least("n", "m"))))
+    pairs = window.select(F.greatest("x", "z").alias("x"), F.least("x", "z").alias("y")).distinct()
+    return to_pivot.where(linked).unionByName(_measure(pairs, points).where(linked))
+
+
+def links(points: DataFrame, percent: int = PERCENT, pivots: int = PIVOTS):
     """Links (x, y, shared, united) that connect every class of linked points,
     each verified, and the label of every point that has one: (links, labels)."""
     linked = 100 * F.col("shared") >= percent * F.col("united")
-    width = 100 - percent
-    # The first regions: the rarest shingles, before any class is known.
+    # The regions are the rarest shingles; their pivots give the first classes.
     regions = points.select(F.explode("rare").alias("region"), "ref", "n").distinct()
-    found, labels, level = None, None, 0
+    first = regions.groupBy("region").agg(F.min("ref").alias("pivot"), F.count(F.lit(1)).alias("size"))
+    met = regions.join(first.where("size > 1"), "region").where("ref != pivot")
+    found = _measure(met.select(F.col("ref").alias("x"), F.col("pivot").alias("y")).distinct(), points).where(linked)
+    classes = connected_components(found, "x", "y").select(F.col("node").alias("ref"), "label")
+    rows = regions.join(classes, "ref", "left").join(_homes(found), "ref", "left").select(
+        "region", "ref", "n", F.coalesce("label", "ref").alias("cls"),
+        F.coalesce("home", "ref").alias("home"), F.coalesce("at", F.lit(0.0)).alias("at"))
     while True:
-        regions = _with_class(regions, labels)
-        sizes = regions.groupBy("region").agg(
-            F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("size"),
-            F.min("ref").alias("pivot")).where("lo < hi").drop("lo", "hi")
-        mixed = regions.join(sizes, "region")
-        if level:
-            mixed = stage(mixed, "jaccard-regions")
-            if mixed.isEmpty():
-                break
-        # Before classes are known, pivots settle most pairs of any region.
-        direct = F.col("size") <= (leaf if level else 2)
-        large = mixed.where(~direct)
-        pivots = large.where("ref != pivot").select(F.col("ref").alias("x"), F.col("pivot").alias("y"))
-        small = mixed.where(direct).select("region", "ref", "n", "cls")
-        other = small.select("region", F.col("ref").alias("y"), F.col("n").alias("m"), F.col("cls").alias("c"))
-        pairs = (small.withColumnRenamed("ref", "x").join(other, "region")
-                 .where("x > y AND cls != c")
-                 .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("x", "y"))
-        measured = _measure(pairs.unionByName(pivots).distinct(), points)
-        new = measured.where(linked)
-        found = new if found is None else found.unionByName(new)
-        labels = connected_components(found, "x", "y")
-        # Windows over the distance to the pivot; boundary points also join the
-        # window before theirs. The pivot's own pairs are settled.
-        step = measured.select(F.col("x").alias("ref"), F.col("y").alias("pivot"), F.floor(
-            100 * (F.col("united") - F.col("shared")) / (width * F.col("united"))).alias("k"))
-        parts = large.where("ref != pivot").select("region", "pivot", "ref", "n").join(step, ["ref", "pivot"])
-        regions = parts.select("ref", "n", "region", F.explode(F.when(
-            F.col("k") > 0, F.array("k", F.col("k") - 1)).otherwise(F.array("k"))).alias("k")).select(
-            F.xxhash64("region", "k", F.lit(level)).alias("region"), "ref", "n").distinct()
-        level += 1
-    return found, labels
-
-
-def homes(found: DataFrame) -> DataFrame:
-    """ref, home, similarity: the nearest of the points that each links to."""
-    return found.groupBy(F.col("x").alias("ref")).agg(
-        F.max_by("y", F.struct(F.col("shared") / F.col("united"), -F.col("y"))).alias("home"),
-        F.max(F.col("shared") / F.col("united")).alias("similarity"))
-
-
-def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+        several = rows.groupBy("region").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
+        rows = stage(rows.join(several.select("region"), "region"), "jaccard-regions")
+        if rows.isEmpty():
+            return found, connected_components(found, "x", "y")
+        cells = rows.groupBy("region", "home").agg(
+            F.min("cls").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+        taken = stage(cells.withColumn("nth", F.row_number().over(
+            Window.partitionBy("region").orderBy("home"))).where(F.col("nth") <= pivots), "jaccard-pivots")
+        found = found.unionByName(_across(rows, taken, points, percent, linked))
+        # What is at home with these pivots has met all; the rest of a region
+        # with more pivots goes on.
+        rows = rows.join(taken.select("region", "home"), ["region", "home"], "left_anti")
+
+
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     known = members(docs, words, percent)
     points = _rarest(_points(docs, known, words), percent)
-    _, labels = links(points, percent, leaf)
+    _, labels = links(points, percent, pivots)
     # The class of a set: of its point where it links, else its own.
     refs = known.where("open").groupBy("sid").agg(F.min("ref").alias("node"))
     named = refs.join(labels, "node").select("sid", "label")
