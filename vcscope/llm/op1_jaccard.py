@@ -356,26 +356,35 @@ def _homes(pivot_links: DataFrame) -> DataFrame:
         F.min(F.struct(at.alias("at"), F.col("y").alias("home"))).alias("h")).select("ref", "h.home", "h.at")
 
 
-def _across(rows: DataFrame, cells: DataFrame, points: DataFrame, percent: int, linked) -> DataFrame:
-    """Links between points of different classes in regions (region, ref, n, cls,
-    home, at), where one of the two is at home with a pivot of ``cells`` (region,
-    home, c, least, most). Every point meets these pivots. One farther from a
-    pivot than a member's distance and EPSILON cannot link to that member; the
-    others stand at the boundary of the pivot's cell and are measured against it."""
+def _across(rows: DataFrame, cells: DataFrame, points: DataFrame, percent: int, found: DataFrame) -> DataFrame:
+    """``found`` and the links between points of different classes in regions
+    (region, ref, n, cls, home, at), where one of the two is at home with a pivot
+    of ``cells`` (region, home, c, least, most). Every point meets these pivots,
+    and classes that get linked so are one from then on. One farther from a pivot
+    than a member's distance and EPSILON cannot link to that member; those still
+    in another class that stand at the boundary of the pivot's cell are measured
+    against it."""
+    linked = 100 * F.col("shared") >= percent * F.col("united")
     width = (100 - percent) / 100 + 1e-9
     fits = ((percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n")))
     meet = rows.select("region", F.col("ref").alias("x"), "n", "cls").join(cells, "region").where(
         (F.col("cls") != F.col("c")) & (F.col("x") != F.col("home")) & fits).select(
         "region", "x", "n", F.col("home").alias("y"))
     to_pivot = _measure(meet.select("x", "y").distinct(), points)
-    apart = to_pivot.where(~linked).select("x", "y", (1 - F.col("shared") / F.col("united")).alias("far"))
+    found = found.unionByName(to_pivot.where(linked))
+    now = connected_components(found, "x", "y")
+    apart = to_pivot.where(~linked).select("x", "y", (1 - F.col("shared") / F.col("united")).alias("far")).where(
+        F.col("far") <= 2 * width)
+    for side in ("x", "y"):
+        apart = apart.join(now.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
+    apart = apart.where("coalesce(x_label, x) != coalesce(y_label, y)").select("x", "y", "far")
     members = rows.where("ref != home").select(
         "region", F.col("home").alias("y"), F.col("ref").alias("z"), F.col("n").alias("m"), "at")
-    window = (meet.join(apart.where(F.col("far") <= 2 * width), ["x", "y"]).join(members, ["region", "y"])
+    window = (meet.join(apart, ["x", "y"]).join(members, ["region", "y"])
               .where((F.abs(F.col("far") - F.col("at")) <= width)
                      & (percent * F.greatest("n", "m") <= 100 * F.least("n", "m"))))
     pairs = window.select(F.greatest("x", "z").alias("x"), F.least("x", "z").alias("y")).distinct()
-    return to_pivot.where(linked).unionByName(_measure(pairs, points).where(linked))
+    return found.unionByName(_measure(pairs, points).where(linked))
 
 
 def links(points: DataFrame, percent: int = PERCENT, pivots: int = PIVOTS):
@@ -400,7 +409,7 @@ def links(points: DataFrame, percent: int = PERCENT, pivots: int = PIVOTS):
             F.min("cls").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
         taken = stage(cells.withColumn("nth", F.row_number().over(
             Window.partitionBy("region").orderBy("home"))).where(F.col("nth") <= pivots), "jaccard-pivots")
-        found = found.unionByName(_across(rows, taken, points, percent, linked))
+        found = _across(rows, taken, points, percent, found)
         # What is at home with these pivots has met all; the rest of a region
         # with more pivots goes on.
         rows = rows.join(taken.select("region", "home"), ["region", "home"], "left_anti")
