@@ -129,6 +129,8 @@ def test_toxicity(spark, make):
     right = np.mean([r.predicted == (r.doc_id % 5 == 0) for r in held])
     assert len(held) > 80 and right > 0.97
     assert all(r.predicted == 1 for r in rows if r.doc_id == 902)
+    few = op6_toxicity.learning_labels(labels, 50)
+    assert few.count() == 50 and few.where("doc_id IS NULL OR toxic IS NULL").isEmpty()
     nothing = op6_toxicity.scored(make(pairs[:9]), labels.where("false")).collect()
     assert [r.score for r in nothing] == [0.0] * 9
 

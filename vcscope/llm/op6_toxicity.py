@@ -1,7 +1,8 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Learning: in labelled rows outside the held-out fold, documents that hold a
-feature (a word or one of its beginnings) are counted by label. Log-odds with an
+Learning: from at most LEARN_FROM labelled rows outside the held-out fold (all of
+them while they are fewer; the least hashes of their ids beyond that), documents
+that hold a feature (a word or one of its beginnings) are counted by label. Log-odds with an
 informative Dirichlet prior (the feature's share of all counts) are lowered by
 two standard errors; what stays positive is a feature's weight. A word weighs as
 its weightiest feature, minus a drift that makes ordinary text run downhill.
@@ -13,8 +14,9 @@ so a long text needs a higher score to stand out. The evidence of a document
 (its best segment's, raised by further significant ones) is calibrated to a
 probability by a logistic curve over a histogram of all learning rows.
 
-Only counts of bounded size reach the driver: at most FEATURES weights (kept as
-one array, 4 MB) and a histogram of at most BINS cells by label.
+Broadcast are the learning rows' labels (at most LEARN_FROM ids) and the weights
+(one array of FEATURES, 4 MB); the driver gets those weights that aren't 0 and a
+histogram of at most BINS cells by label. Texts are never shuffled.
 
 Defined results: a null text counts as empty and gets the score of no evidence;
 null doc_ids are not held out and never learned from, and keep their row;
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import Memo, documents, map_arrow, slices, stage, table, texts_of, word_blocks
 
 FOLDS, HELD_OUT = 4, 2
+LEARN_FROM = 200_000
 PREDICT_AT = 0.3
 FEATURES = 1 << 20
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -164,10 +167,19 @@ def fold() -> F.Column:
                       F.lit(-1))
 
 
-def _labels(labels: DataFrame) -> DataFrame:
-    """doc_id, toxic of the rows to learn from, one for each doc_id."""
-    return (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold() != HELD_OUT)
-            .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+def learning_labels(labels: DataFrame, most: int = LEARN_FROM) -> DataFrame:
+    """doc_id, toxic of the rows to learn from, one for each doc_id; at most
+    ``most``."""
+    marks = (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold() != HELD_OUT)
+             .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+    marks = stage(marks, "toxic-labels")
+    n = marks.count()
+    if n > most:
+        # A little more than asked for, by hash; then exactly as many.
+        parts = 1 << 40
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * min(1.0, 1.1 * most / n)))
+        marks = stage(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "toxic-sample")
+    return marks
 
 
 def _logistic(x: np.ndarray, y1: np.ndarray, y0: np.ndarray) -> tuple[float, float]:
@@ -194,10 +206,10 @@ def _logistic(x: np.ndarray, y1: np.ndarray, y0: np.ndarray) -> tuple[float, flo
     return float(v[0]), float(v[1])
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, learn_from: int = LEARN_FROM) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words, passages (the significant ones)."""
     docs = docs.select("doc_id", "text")
-    marks = _labels(labels)
+    marks = F.broadcast(learning_labels(labels, learn_from))
     labelled = docs.where(fold() != HELD_OUT).join(marks, "doc_id").select("text", "toxic")
     weights = learn_weights(labelled)
     found = stage(scan(docs, weights), "toxic-passages")
