@@ -173,6 +173,25 @@ def test_dropped_lines_on_edges(make):
     assert all(r.n_chars == len(r.text or "") for r in out.collect())
 
 
+@pytest.mark.parametrize("group_pairs", [4096, 6])
+def test_short_lines(make, group_pairs):
+    """Equal lines of any length go, near ones from tau + 1 characters on."""
+    rnd = random.Random(8)
+    lines = ["".join(rnd.choices("abcdefgh", k=rnd.randint(1, 19))) for _ in range(150)]
+    pairs = [(i, "\n".join(rnd.choices(lines, k=6))) for i in range(60)]
+    seen, want = [], {}
+    for i, t in pairs:
+        want[i] = []
+        for n, s in enumerate(t.split("\n")):
+            if s in seen or any(min(len(s), len(x)) > 2 and distance(s, x) <= 2 for x in seen):
+                want[i].append(n)
+            seen.append(s)
+    rows = op7_lines.dropped_lines(make(pairs).repartition(3), group_pairs=group_pairs).collect()
+    assert {r.doc_id: r.dropped for r in rows} == want
+    out = {r.doc_id: r.text for r in op7_lines.deduped(make([(1, "Les.\nab"), (2, "ab\n Les.\ncd"), (3, "Les.")])).collect()}
+    assert out == {1: "Les.\nab", 2: "cd"}
+
+
 def test_repeated_rows_of_lines(edge):
     assert op7_lines.dropped_lines(edge).count() == edge.count()
     assert op7_lines.deduped(edge).columns == edge.columns

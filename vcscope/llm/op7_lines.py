@@ -1,9 +1,11 @@
 """Line dedup: a segment-partition edit join over all lines of all documents.
 
-A line of at least MIN_CHARS characters (without white space around it) is
-dropped if an equal line, or one at an edit distance of at most THRESHOLD,
-occurs earlier: in a document of lower doc_id, or above it in its own. Shorter
-lines stay. Nearness is to lines as given, whether these are dropped or not.
+A line with a word (taken without white space around it) is dropped if an equal
+line, or one at an edit distance of at most THRESHOLD, occurs earlier: in a
+document of lower doc_id, or above it in its own. Nearness is to lines as given,
+whether these are dropped or not, and needs THRESHOLD + 1 characters on both
+sides, so that no segment is empty; a line of one or two goes for an equal one
+alone.
 
 Join: a line of length l is split into THRESHOLD + 1 segments, indexed by (their
 text, number, l). A partner at most THRESHOLD edits away holds one of them
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import documents, map_arrow, shuffle_partitions, slices, stage
 
 THRESHOLD = 2
-MIN_CHARS = 20
 GROUP_PAIRS = 4096     # a key that gives more candidate pairs is split again
 LEVELS = 5             # at most so often; groups left then are paired by a join
 BUCKET_BITS = 10
@@ -46,11 +47,11 @@ _K = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86
 
 
 def lines_of(text: str) -> list[tuple[int, str]]:
-    """(number, line without white space around it) of the lines that count."""
+    """(number, line without white space around it) of the lines with a word."""
     out = []
     for i, line in enumerate(text.split("\n")):
         s = line.strip(ASCII_SPACE)
-        if len(s) >= MIN_CHARS:
+        if s:
             out.append((i, s))
     return out
 
@@ -179,7 +180,7 @@ def _packed_keys(docs: DataFrame, tau: int) -> DataFrame:
             if not lines:
                 continue
             ids = np.array(list(lines), dtype=np.uint64)
-            line, key, index, _, _ = segment_keys(list(lines.values()), tau, MIN_CHARS)
+            line, key, index, _, _ = segment_keys(list(lines.values()), tau, tau + 1)
             order = np.argsort(key, kind="stable")
             key = key[order]
             tagged = ids[line[order]] | index[order].astype(np.uint64)
@@ -294,7 +295,7 @@ def _split_again(docs: DataFrame, hot: DataFrame, tau: int, group_pairs: int) ->
             if not lines:
                 continue
             ids, text = np.array(list(lines), dtype=np.uint64), list(lines.values())
-            line, key, index, start, size = segment_keys(text, tau, MIN_CHARS)
+            line, key, index, start, size = segment_keys(text, tau, tau + 1)
             keep = np.flatnonzero(_in_bitmap(shared.value, key)).tolist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[keep].view(np.int64)), pa.array(ids[line[keep]].view(np.int64)),
@@ -376,7 +377,7 @@ def line_key(line: str) -> bytes:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """ref, doc_id, n_lines, numbers, keys: the counting lines of every row."""
+    """ref, doc_id, n_lines, numbers, keys: the lines with a word of every row."""
     def run(batches):
         ref = TaskContext.get().partitionId() << 36
         for b in slices(batches):
