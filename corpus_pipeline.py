@@ -14,7 +14,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with their texts as they are."""
+    """Documents that the rules keep, without the lines that the rules remove."""
     return op10_quality.kept_documents(docs)
 
 

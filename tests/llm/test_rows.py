@@ -202,6 +202,44 @@ def test_frequent_lines_reject_depleted_documents(make):
     assert kept.count() == sum(r.kept for r in rows) and "kept" in kept.columns
 
 
+def test_kept_documents_lose_frequent_lines(make):
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(500)]
+
+    def line(n):
+        return " ".join(rnd.choices(vocab, k=n))
+
+    boiler = [line(8) + " 2024", line(6), line(5)]
+    pairs = []
+    for i in range(80):
+        lines = [line(30), "", line(30)]
+        lines.insert(rnd.randrange(4), boiler[0].replace("2024", str(1000 + i)))     # agree only once normalised
+        if i % 2:
+            lines.append("  " + boiler[1].upper())
+        if i < 12:
+            lines.append(boiler[2])  # too few of a host hold it
+        pairs.append((1000 - i, "\n".join(lines)))
+    pairs += [(2, pairs[-1][1]), (pairs[3][0], line(60)), (2000, boiler[0]), (None, pairs[0][1]), (3000, None)]
+    docs = make(pairs)
+    normal = lambda x: " ".join(re.sub("[0-9]", "0", x.lower()).split())
+    held = defaultdict(dict)
+    rows = [(r.doc_id, r.source, r.text or "") for r in docs.collect()]
+    for d, host, t in rows:
+        for x in t.split("\n"):
+            if x.split():
+                place = held[host, normal(x)]
+                place[t] = min(place.get(t, (True, 0)), (d is None, d or 0))
+    owner = {k: min(v, key=v.get) for k, v in held.items() if len(v) > 10}
+    want = Counter()
+    for d, host, t in rows:
+        left = "\n".join(x for x in t.split("\n") if owner.get((host, normal(x)), t) == t)
+        if d is not None and len(t.split()) >= 50:
+            want[d, left, len(left)] += 1
+    out = op10_quality.kept_documents(docs)
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in out.collect()) == want
+    assert out.columns == docs.columns and sum(len(k[1]) for k in want) < sum(len(t) for *_, t in rows) - 2000
+
+
 @pytest.mark.parametrize("op", [op3_secrets.digests, op4_sharding.shards, op5_fingerprints.fingerprints,
                                 op10_quality.judged, op10_quality.kept_documents, op3_secrets.redacted])
 def test_empty_table(none, op):

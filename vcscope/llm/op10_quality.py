@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, slices, stage, texts_of, word_blocks, word_hash
+from .common import documents, map_arrow, ship, slices, stage, texts_of, word_blocks, word_hash
 
 # Base rules.
 MIN_WORDS = 50
@@ -62,12 +62,20 @@ def line_key(host: bytes, line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(host + b"\x00" + normal) - (1 << 63)
 
 
+def text_key(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def host_key(host: str | None) -> bytes:
+    return b"+" + host.encode() if host is not None else b"-"
+
+
 def _measure(text: bytes, host: bytes):
     parts = [np.fromiter(map(word_hash.__getitem__, w), dtype=np.uint64, count=len(w))
              for w in word_blocks(text)]
     words = parts[0] if len(parts) == 1 else np.concatenate(parts)
     tri = triples(words) if len(words) >= 3 else words[:0]
-    signature = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    signature = text_key(text)
     lines: dict[bytes, int] = {}
     n_lines, held = 0, {}
     for line in text.split(b"\n"):
@@ -87,7 +95,7 @@ def stats(docs: DataFrame) -> DataFrame:
     """STATS of every row of ``docs``."""
     def run(batches):
         for b in slices(batches):
-            hosts = [(b"+" + h.encode()) if h is not None else b"-" for h in b.column("host").to_pylist()]
+            hosts = [host_key(h) for h in b.column("host").to_pylist()]
             rows = [_measure(t, h) for t, h in zip(texts_of(b), hosts)]
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
@@ -109,14 +117,20 @@ def frequent_lines(measured: DataFrame, line_documents: int = LINE_DOCUMENTS) ->
             .where(F.col("documents") > line_documents).select("key", F.col("first.signature").alias("owner")))
 
 
-def judged(docs: DataFrame, line_documents: int = LINE_DOCUMENTS) -> DataFrame:
-    """The base counts with base_failed, n_remaining_words and kept."""
-    measured = stage(stats(docs).withColumn("row", F.monotonically_increasing_id()), "quality")
+def _measured(docs: DataFrame) -> DataFrame:
+    return stage(stats(docs).withColumn("row", F.monotonically_increasing_id()), "quality")
+
+
+def _removed(measured: DataFrame, line_documents: int) -> DataFrame:
+    """row, doc_id, signature, key, words: lines above the limit outside their first document."""
     lines = measured.select(
-        "row", "signature", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select(
-        "row", "signature", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("words"))
-    gone = (lines.join(frequent_lines(measured, line_documents), "key").where("signature != owner")
-            .groupBy("row").agg(F.sum("words").alias("gone")))
+        "row", "doc_id", "signature", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select(
+        "row", "doc_id", "signature", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("words"))
+    return lines.join(frequent_lines(measured, line_documents), "key").where("signature != owner")
+
+
+def _judged(measured: DataFrame, removed: DataFrame) -> DataFrame:
+    gone = removed.groupBy("row").agg(F.sum("words").alias("gone"))
     remaining = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = ((F.col("n_words") < MIN_WORDS)
               | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words")))
@@ -127,11 +141,51 @@ def judged(docs: DataFrame, line_documents: int = LINE_DOCUMENTS) -> DataFrame:
         remaining.alias("n_remaining_words"))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, as they are. A doc_id given more
+def judged(docs: DataFrame, line_documents: int = LINE_DOCUMENTS) -> DataFrame:
+    """The base counts with base_failed, n_remaining_words and kept."""
+    measured = _measured(docs)
+    return _judged(measured, _removed(measured, line_documents))
+
+
+def without_lines(text: bytes, host: bytes, keys: set[int]) -> bytes:
+    """The text without its lines of the given keys."""
+    return b"\n".join(x for x in text.split(b"\n") if not x.split() or line_key(host, x) not in keys)
+
+
+def kept_documents(docs: DataFrame, line_documents: int = LINE_DOCUMENTS) -> DataFrame:
+    """Rows of ``docs`` that the rules keep, without the lines above the limit
+    outside their first document; n_chars follows the text. A doc_id given more
     than once stays if any of its rows is kept; rows without doc_id go."""
-    good = judged(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(good, docs["doc_id"] == good["_kept_id"], "left_semi")
+    ship(docs.sparkSession)
+    measured = _measured(docs)
+    removed = _removed(measured, line_documents)
+    good = _judged(measured, removed).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    # By text too: of the rows of one doc_id, only one may hold a line's first text.
+    cuts = removed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_cut_id")).agg(
+        F.collect_set(F.struct("signature", "key")).alias("_cuts"))
+    marks = good.join(cuts, F.col("_kept_id") == F.col("_cut_id"), "left").select("_kept_id", "_cuts")
+
+    def cut(text: pa.Array, host: pa.Array, cuts: pa.Array) -> pa.Array:
+        out = []
+        for t, h, c in zip(text, host, cuts):
+            t = t.as_py()
+            if t is not None and (c := c.as_py()):
+                b = t.encode()
+                mine = text_key(b)
+                keys = {x["key"] for x in c if x["signature"] == mine}
+                t = without_lines(b, host_key(h.as_py()), keys).decode() if keys else t
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    changed = F.col("_cuts").isNotNull()
+    # Texts without such lines stay out of the function.
+    left = F.arrow_udf(cut, "string")(F.when(changed, docs["text"]), docs["source"], "_cuts")
+    out = docs.join(marks, docs["doc_id"] == marks["_kept_id"]).withColumn("_left", left)
+    cols = {"text": F.when(changed, F.col("_left")).otherwise(docs["text"])}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.when(changed & (F.col("_left") != docs["text"]), F.length("_left").cast("long")).otherwise(
+            docs["n_chars"])
+    return out.select(*[cols.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
