@@ -61,6 +61,43 @@ def test_redaction(edge, make):
     assert op3_secrets.redacted(edge).count() == edge.count()
 
 
+def test_redaction_of_whole_keys(make):
+    rnd = random.Random(13)
+
+    def body(n, last=10, sep="\n"):
+        return sep.join("".join(rnd.choices("ABCdef+/0189xyz", k=k)) for k in [64] * n + [last])
+
+    def key(kind="", text=None):
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{text or body(5)}\n-----END {kind}PRIVATE KEY-----"
+
+    open_ = "-----BEGIN RSA PRIVATE KEY-----\n"
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    texts = {
+        1: (f"a\n{key()}\nb", "a\n[R]\nb"),
+        2: (f"{key('RSA ')} and {key('EC ')}!", "[R] and [R]!"),
+        3: (f"x {open_}{body(3)}==\nAfter the key", "x [R]\nAfter the key"),                    # no END
+        4: (f"{open_}{body(3)}\n{key()}\nz", "[R]\n[R]\nz"),                              # the next key's END isn't its own
+        5: (f"{open_}{info}{body(3)}\n-----END EC PRIVATE KEY-----", "[R]\n-----END EC PRIVATE KEY-----"),
+        6: (f"{open_}{info}{body(3)}", "[R]"),
+        7: ("k = '" + key(text=body(4)).replace("\n", "\\n") + "'", "k = '[R]'"),
+        8: ((open_ + body(4)).replace("\n", "\\n") + "\\n', 1", "[R]\\n', 1"),
+        9: ("the line -----BEGIN PRIVATE KEY----- starts a key", "the line [R] starts a key"),
+        10: (f"é\U0001d11e {key(text=body(4000))} é", "é\U0001d11e [R] é"),
+        11: (f"token: {key()} é", "[R] é"),
+        12: (f"{open_}{body(4000)}\nb - c", "[R]\nb - c"),
+        13: (key(text="- " * 50000), "[R]"),
+        14: (open_.strip() + body(2, 6, " ") + "= is cut", "[R] is cut"),
+    }
+    docs = make([(i, t) for i, (t, _) in texts.items()])
+    got = {r.doc_id: (r.text, r.n_chars) for r in op3_secrets.redacted(docs).collect()}
+    want = {i: t.replace("[R]", op3_secrets.REDACTED) for i, (_, t) in texts.items()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    old = op3_secrets.scan(docs)[1].where("rule <> 'pem'").unionByName(
+        op3_secrets.scan(docs)[1].where("rule = 'pem'").selectExpr("blob", "rule", "1 AS version"))
+    new, pairs = op3_secrets.scan(docs, ledger=old)
+    assert {r.rule for r in new.collect()} == {"pem"} and pairs.count() == len(texts)  # old blobs are scanned again
+
+
 def test_shards(edge):
     rows = op4_sharding.shards(edge).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter(

@@ -34,13 +34,23 @@ class Rule:
     least: int = 0
 
 
+# A private key: from BEGIN to the END of the same kind, or without one (cut off,
+# of another kind, or after another BEGIN) over the base64 that follows, its last
+# line being short. Possessive, so that long texts take no stack.
+_BREAK = r"(?:[\x20\t\r\n]|\\[rn])"
+_BASE64 = (rf"(?:{_BREAK}*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+"
+           rf"(?:(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++"
+           rf"(?:{_BREAK}++[A-Za-z0-9+/]++(?:={{1,2}}+|(?=[\x20\t]*+(?:[\r\n]|\\[rn]|\z))))?+)?+")
+PEM = (r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----"
+       r"(?:[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END \1PRIVATE KEY-----|" + _BASE64 + ")")
+
 # A match shorter than asked for can be left out of the pattern itself where
 # runs are maximal (access, hex); assign consumes what it matched either way.
 RULES = (
     Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}+"),
     Rule("hex", 1, r"[0-9a-f]{24,}+"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", 2, PEM),
 )
 BASE = ("assign", "access", "hex")
 
