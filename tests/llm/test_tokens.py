@@ -1,6 +1,7 @@
 """Tokenizing operators (2, 8, 9) against the libraries themselves."""
 
 import base64
+import random
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -112,6 +113,30 @@ def test_local_search_empties_bins():
         assert max(size[b].sum() for b in after) <= 100
 
 
+@pytest.mark.parametrize("low, high, n", [(22, 50, 1200), (5, 40, 700), (30, 34, 900), (1, 99, 500), (33, 50, 41)])
+def test_local_search_leaves_no_exchange(low, high, n):
+    """By brute force over all pairs of underfull bins, of which there are more than 256."""
+    size = np.random.default_rng(low).integers(low, high + 1, n)
+    bins = op9_packing.local_search(op9_packing.best_fit(size, 100), size, 100)
+    assert sorted(sum(bins, [])) == list(range(n)) and max(size[b].sum() for b in bins) <= 100
+    if len(bins) == -(-size.sum() // 100):
+        return
+    fill = [int(size[b].sum()) for b in bins]
+    sums = [{0, *size[b].tolist(), *(int(size[i] + size[j]) for k, i in enumerate(b) for j in b[k + 1:])} for b in bins]
+    for a in range(len(bins)):
+        for b in range(len(bins)):
+            if a != b and fill[a] <= fill[b] < 100:
+                assert not any(0 < x - y <= 100 - fill[b] for x in sums[a] for y in sums[b])
+
+
+def test_rounds_reopen_all_underfull_bins(spark):
+    """Bins with little free room are packed again too: no more than one sequence is lost."""
+    rnd = random.Random(2)
+    pairs = [(i, " ".join(rnd.choices("abcdefghij", k=rnd.randint(1, 60)))) for i in range(3000)]
+    rows = op9_packing.packed(spark.createDataFrame(pairs, "doc_id long, text string"), 100, group_pieces=60).collect()
+    assert check_packing(rows, 100) <= -(-sum(r.length for r in rows) // 100) + 1
+
+
 @pytest.mark.parametrize("op", [op2_bpe.digests, op2_bpe.encode, op8_tokens.histogram, op9_packing.packed])
 def test_empty_table(none, op):
     assert op(none).count() == 0

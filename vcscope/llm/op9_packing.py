@@ -2,11 +2,12 @@
 
 Documents are encoded, closed by an end id, and only longer ones are cut. Pieces
 are dealt by hash into groups of some thousands; each group is packed best-fit
-from the longest piece on, then improved: pieces move, or are exchanged one for
-one, two for one or one for two between underfull bins, while the sum of squared
-fills rises, so that the emptiest bins run empty. The bins that still stay
-clearly underfull in their groups are opened again and packed together in the
-next round, until one group holds them all; the loss is that of a single group.
+from the longest piece on, then improved: one or two pieces move, or are exchanged
+for one or two, between any two underfull bins, until no such step raises the sum of
+squared fills, so that the emptiest bins run empty. The bins that still stay underfull in
+their groups are opened again and packed together in the next round, until one
+group holds them all; after a round that neither saves a sequence nor fills bins,
+the emptier of them alone. The round with the fewest sequences counts.
 
 Defined results: a null or empty text is the end id alone; a null doc_id is kept;
 repeated rows are documents of their own; an empty table gives no rows; other
@@ -29,10 +30,6 @@ from .common import documents, map_arrow, ship, slices, stage, texts_of
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 4000
-# A bin with more free room than this share is opened again in the next round.
-OPEN_SHARE = 0.02
-# Effort of a step of the local search.
-DONORS, OTHERS = 16, 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -92,73 +89,106 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-class _Others:
-    """Items of the underfull bins as full as a donor, and the pairs within each."""
-
-    def __init__(self, bins, size, fill, donor: int, capacity: int):
-        item, home, pair, pair_home = [], [], [], []
-        for k in np.argsort(fill, kind="stable")[:OTHERS].tolist():
-            if k == donor or fill[k] < fill[donor] or fill[k] >= capacity:
-                continue
-            b = bins[k]
-            item += [-1, *b]  # -1: nothing comes back (a move)
-            home += [k] * (len(b) + 1)
-            pair += [(i, j) for n, i in enumerate(b) for j in b[n + 1:]]
-            pair_home += [k] * (len(pair) - len(pair_home))
-        self.item, self.home = np.array(item, "int64"), np.array(home, "int64")
-        self.pair = np.array(pair, "int64").reshape(-1, 2)
-        self.pair_home = np.array(pair_home, "int64")
-        self.back = np.where(self.item < 0, 0, size[self.item])
-        self.pair_back = size[self.pair].sum(axis=1)
-        self.room = capacity - fill[self.home]
-        self.pair_room = capacity - fill[self.pair_home]
-
-
-def _best_exchange(own: list[int], size, others: _Others):
-    """The exchange that takes most from the donor: (less, given, bin, returned).
-    As the other bins are as full or fuller, each raises the sum of squared fills."""
-    best = (0, (), -1, ())
-
-    def tried(given, back, room, bin_of, items):
-        nonlocal best
-        less = int(size[list(given)].sum()) - back
-        less[less > room] = 0
-        if len(less) and less[k := int(less.argmax())] > best[0]:
-            got = items[k]
-            best = (int(less[k]), given, int(bin_of[k]), tuple(int(x) for x in np.atleast_1d(got) if x >= 0))
-
-    for n, i in enumerate(own):
-        tried((i,), others.back, others.room, others.home, others.item)  # move, one for one
-        tried((i,), others.pair_back, others.pair_room, others.pair_home, others.pair)  # one for two
-        for j in own[n + 1:]:
-            tried((i, j), others.back, others.room, others.home, others.item)  # two for one
-    return best
+def _choices(items: list[int], size: np.ndarray):
+    """(length, item, item) of what a bin can give: nothing, one or two pieces, of
+    each length one choice with the fewest pieces (-1: none), by length."""
+    own = np.array(items, "int64")[np.argsort(size[items], kind="stable")]
+    n = size[own]
+    fresh = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
+    # Pieces of one length are alike: the first of each, and a second for pairs of two alike.
+    one, u = own[fresh], n[fresh]
+    twice = np.flatnonzero(np.diff(np.append(fresh, len(n))) > 1)
+    x, y = np.triu_indices(len(u), 1)
+    none = np.full(1, -1)
+    length = np.concatenate([[0], u, u[x] + u[y], 2 * u[twice]])
+    first = np.concatenate([none, one, one[x], one[twice]])
+    second = np.concatenate([none, np.full(len(one), -1), one[y], own[fresh[twice] + 1]])
+    length, at = np.unique(length, return_index=True)
+    return length, first[at], second[at]
+
+
+class _Index:
+    """The choices of all underfull bins by length."""
+
+    def __init__(self, bins, size, fill, capacity: int):
+        self.size, self.fill, self.capacity = size, fill, capacity
+        self.choices = [_choices(b, size) for b in bins]
+        some = np.flatnonzero(fill < capacity).tolist()
+        cols = [self._rows(b) for b in some]
+        cols = [np.concatenate(c) for c in zip(*cols)] if cols else [np.empty(0, "int64")] * 4
+        order = np.argsort(cols[0], kind="stable")
+        self.back, self.first, self.second, self.home = (c[order] for c in cols)
+
+    def _rows(self, b: int):
+        return *self.choices[b], np.full(len(self.choices[b][0]), b)
+
+    def changed(self, bins, two: tuple[int, int]) -> None:
+        keep = (self.home != two[0]) & (self.home != two[1])
+        cols = [c[keep] for c in (self.back, self.first, self.second, self.home)]
+        for b in two:
+            if bins[b]:
+                self.choices[b] = _choices(bins[b], self.size)
+                if self.fill[b] < self.capacity:
+                    rows = self._rows(b)
+                    at = np.searchsorted(cols[0], rows[0])
+                    cols = [np.insert(c, at, r) for c, r in zip(cols, rows)]
+        self.back, self.first, self.second, self.home = cols
+
+    def best(self, donor: int, since: int, when: np.ndarray):
+        """The exchange that takes most from the donor: (less, given, bin, returned),
+        among the bins as full as it or fuller that changed after ``since``. As
+        these are as full or fuller, each raises the sum of squared fills."""
+        on = np.flatnonzero((self.fill[self.home] >= self.fill[donor]) & (self.home != donor)
+                            & (when[self.home] > since))
+        if not len(on):
+            return 0, (), -1, ()
+        back = self.back[on]
+        # What comes back and the room left there must hold what is given; the first
+        # (shortest) choice by which their greatest sum reaches it does.
+        reach = np.maximum.accumulate(back + self.capacity - self.fill[self.home[on]])
+        given, first, second = (c[1:] for c in self.choices[donor])
+        at = np.searchsorted(reach, given)
+        less = np.where(at < len(on), given - back[np.minimum(at, len(on) - 1)], 0)
+        k = int(less.argmax())
+        if less[k] <= 0:
+            return 0, (), -1, ()
+        c = on[at[k]]
+        return (int(less[k]), tuple(int(i) for i in (first[k], second[k]) if i >= 0), int(self.home[c]),
+                tuple(int(i) for i in (self.first[c], self.second[c]) if i >= 0))
 
 
 def local_search(bins: list[list[int]], size: np.ndarray, capacity: int) -> list[list[int]]:
-    """Take from the emptiest bins by moves and exchanges with other underfull
-    ones, again and again, until no step raises the sum of squared fills or as
-    few bins are left as the total length needs. A step looks at DONORS bins to
-    take from and OTHERS to give to."""
+    """Take from underfull bins, the emptiest first, by moves and exchanges with all
+    others as full or fuller, until none of them has a step that raises the sum of
+    squared fills or as few bins are left as the total length needs."""
     least = -(-int(size.sum()) // capacity)
+    if len(bins) <= least:
+        return bins
     bins = [list(b) for b in bins]
     fill = np.array([int(size[b].sum()) for b in bins], "int64")
-    while len(bins) > least:
-        for a in np.argsort(fill, kind="stable")[:DONORS].tolist():
-            others = _Others(bins, size, fill, a, capacity)
-            less, given, b, back = _best_exchange(bins[a], size, others)
-            if less:
-                break
-        else:
-            break
-        bins[a] = [i for i in bins[a] if i not in given] + list(back)
-        bins[b] = [i for i in bins[b] if i not in back] + list(given)
-        fill[a] -= less
-        fill[b] += less
-        if not bins[a]:
-            del bins[a]
-            fill = np.delete(fill, a)
-    return bins
+    index = _Index(bins, size, fill, capacity)
+    # When a bin last changed, and when it was last found without a step.
+    left, now, when, tried = len(bins), 1, np.ones(len(bins), "int64"), np.zeros(len(bins), "int64")
+    found = True
+    while found and left > least:
+        found = False
+        for a in np.argsort(fill, kind="stable").tolist():
+            while bins[a] and fill[a] < capacity and left > least:
+                since = tried[a] if when[a] <= tried[a] else 0
+                less, given, b, back = index.best(a, since, when)
+                if not less:
+                    tried[a] = now
+                    break
+                bins[a] = [i for i in bins[a] if i not in given] + list(back)
+                bins[b] = [i for i in bins[b] if i not in back] + list(given)
+                fill[a] -= less
+                fill[b] += less
+                now += 1
+                when[a] = when[b] = now
+                left -= not bins[a]
+                found = True
+                index.changed(bins, (a, b))
+    return [b for b in bins if b]
 
 
 def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -168,25 +198,25 @@ def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 # -- all groups -------------------------------------------------------------------
 
 
-def _pack_groups(items: DataFrame, groups: int, level: int, capacity: int, last: bool) -> DataFrame:
-    """Pack ``items`` in ``groups``; adds sequence_id, offset and ``open``."""
+def _pack_groups(items: DataFrame, groups: int, level: int, capacity: int) -> DataFrame:
+    """Pack ``items`` in ``groups``; adds sequence_id, offset and the bin's free ``room``."""
     ship(items.sparkSession)
     fields = [f for f in items.schema.fields]
     schema = StructType([*fields, StructField("sequence_id", LongType()),
-                         StructField("offset", LongType()), StructField("open", LongType())])
+                         StructField("offset", LongType()), StructField("room", LongType())])
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
         size = pdf["length"].to_numpy()
         bins = pack(size, capacity)
         seq, off = np.zeros(len(pdf), "int64"), np.zeros(len(pdf), "int64")
-        opened = np.zeros(len(pdf), "int64")
+        room = np.zeros(len(pdf), "int64")
         base = (level << 56) | (int(key[0]) << 24)
         for k, b in enumerate(bins):
             at = np.cumsum(size[b])
             seq[b], off[b] = base | k, at - size[b]
-            opened[b] = not last and capacity - int(at[-1]) > OPEN_SHARE * capacity
-        return pdf.drop(columns="_group").assign(sequence_id=seq, offset=off, open=opened)
+            room[b] = capacity - int(at[-1])
+        return pdf.drop(columns="_group").assign(sequence_id=seq, offset=off, room=room)
 
     dealt = items.withColumn(
         "_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "tie", F.lit(level)), F.lit(groups)))
@@ -200,23 +230,32 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
     items = stage(pieces(docs, capacity, path).withColumn("tie", F.monotonically_increasing_id()),
                   "pieces")
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    done, level, rest, left = [], 0, items, items.count()
+    done, closed, level, rest, left = [], 0, 0, items, items.count()
+    best, least, before = [], None, None  # of all rounds, the one with the fewest sequences
     while True:
         groups = max(1, -(-left // group_pieces))
-        out = stage(_pack_groups(rest, groups, level, capacity, groups == 1), "packed")
-        done.append(out.where("open = 0").select(keep))
+        out = stage(_pack_groups(rest, groups, level, capacity), "packed")
+        n = out.agg(F.countDistinct("sequence_id")).first()[0]
+        if least is None or closed + n < least:
+            best, least = [*done, out], closed + n
         if groups == 1:
             break
-        rest = out.where("open = 1").drop("sequence_id", "offset", "open")
-        before, left, level = left, rest.count(), level + 1
-        if not left:
-            break
-        if left > 0.9 * before:  # the bins can't be filled better in other company
-            done.append(out.where("open = 1").select(keep))
+        least_room = 1
+        while True:
+            rest = out.where(F.col("room") >= least_room)
+            now, n_open = rest.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
+            if before is None or n < before or now <= 0.9 * left:
+                break
+            # Other company didn't help: go on with the emptier bins alone.
+            least_room = max(2 * least_room, capacity // 50)
+        if not now:
             break
-    result = done[0]
-    for d in done[1:]:
-        result = result.unionByName(d)
+        done.append(out.where(F.col("room") < least_room))
+        rest = rest.drop("sequence_id", "offset", "room")
+        closed, before, left, level = closed + n - n_open, n_open, now, level + 1
+    result = best[0].select(keep)
+    for d in best[1:]:
+        result = result.unionByName(d.select(keep))
     return result
 
 
