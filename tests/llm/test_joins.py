@@ -67,6 +67,23 @@ def test_components_near_the_threshold(make, seed, pivots):
     assert got == brute_components(pairs)
 
 
+def test_components_of_null_ids(spark, make):
+    """Rows without doc_id carry links, before or after an equal numbered row, and alone."""
+    rnd = random.Random(14)
+    words = ["".join(rnd.choices("abcdefgh", k=7)) for _ in range(400)]
+    pairs = []
+    for i in range(12):
+        a = words[30 * i:30 * i + 60]
+        if len(a) < 60:
+            a = a + rnd.choices(words, k=60 - len(a))
+        text = [" ".join(a + [f"x{k}" for k in range(j)]) for j in (0, 4, 8)]
+        # The first two and the last two are linked; the null row equals the middle one.
+        ids = (100 + 3 * i, 101 + 3 * i if i % 2 else None, 102 + 3 * i)
+        pairs += [(None, text[1])] + list(zip(ids, text)) + [(None, text[1])]
+    rows = op1_jaccard.components(make(pairs).coalesce(1)).collect()
+    assert Counter(map(tuple, rows)) == brute_components(pairs)
+
+
 def test_components_other_threshold(make):
     pairs = family_pairs(3, 100)
     got = Counter(map(tuple, op1_jaccard.components(make(pairs), 5, 80).collect()))

@@ -220,15 +220,29 @@ def members(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 # -- the points left, their rarest shingles --------------------------------------
 
 
+def _refs(known: DataFrame) -> DataFrame:
+    """sid, ref, carrier: the ref of every open set, and the least of its doc_ids."""
+    return known.where("open").groupBy("sid").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("carrier"))
+
+
 def _points(docs: DataFrame, known: DataFrame, words: int) -> DataFrame:
     """slice, ref, n, tokens: one row for each open set, read again from one of
     its documents. (A repeated row may give its point twice, which only makes
     its shingles look more common.)"""
     # Sets that a single change parts too far link with equal ones alone.
-    carriers = (known.where("open AND doc_id IS NOT NULL").groupBy("sid")
-                .agg(F.min("ref").alias("ref"), F.min("doc_id").alias("carrier")))
+    carriers = _refs(known)
     texts = docs.select("doc_id", "text").join(carriers, F.col("doc_id") == F.col("carrier"))
 
+    def sets(batches):
+        for b in slices(batches):
+            ids = [set_id(shingles(t, words)) for t in texts_of(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), b.column("text")], ["sid", "text"])
+
+    # Sets that no numbered document has are found among the others by their id.
+    rest = map_arrow(docs.where("doc_id IS NULL").select("text"), sets, "sid binary, text string").dropDuplicates(["sid"])
+    texts = texts.select("sid", "ref", "text").unionByName(
+        rest.join(carriers.where("carrier IS NULL"), "sid").select("sid", "ref", "text"))
+
     def run(batches):
         key, held = TaskContext.get().partitionId() << 24, 0
         for b in slices(batches):
@@ -421,7 +435,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, pivo
     points = _rarest(_points(docs, known, words), percent)
     _, labels = links(points, percent, pivots)
     # The class of a set: of its point where it links, else its own.
-    refs = known.where("open").groupBy("sid").agg(F.min("ref").alias("node"))
+    refs = _refs(known).select("sid", F.col("ref").alias("node"))
     named = refs.join(labels, "node").select("sid", "label")
     rows = known.join(named, "sid", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce(
