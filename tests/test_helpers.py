@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vcscope.operators.joins import interval_pairs, substring_join, window_join
+from vcscope.operators.joins import interval_pairs, range_sums, substring_join, window_join
 from vcscope.operators.sequence import segmented_lag
 from vcscope.operators.stats import percent_rank, quantiles, histogram, rank_desc
 
@@ -130,3 +130,101 @@ def test_pairs_of_a_hot_group_are_spread(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(per_task) == n * (n - 1) // 2 + 1 and max(per_task) < 0.5 * sum(per_task)
     assert p.where("item_a >= item_b").isEmpty() and p.distinct().count() == sum(per_task)
+
+
+def test_range_sums_brute_force(spark):
+    rnd = random.Random(9)
+    ev = [("hot" if rnd.random() < 0.5 else f"k{rnd.randint(0, 9)}", i, rnd.randint(0, 900), rnd.randint(0, 5)) for i in range(900)]
+    df = spark.createDataFrame(ev, "k string, id long, at long, v long")
+    got = {r.id: (r.b, r.a) for r in range_sums(df, ["k"], "at", 60, {"b": "v"}, {"a": "v"}).collect()}
+    assert got == {i: (sum(w for q, _, s, w in ev if q == k and 0 < at - s <= 60),
+                       sum(w for q, _, s, w in ev if q == k and 0 < s - at <= 60)) for k, i, at, _ in ev}
+
+
+def test_range_sums_of_a_busy_key_are_linear(spark):
+    """80,000 events of one file in 30 days; a sliding frame took minutes for them."""
+    import bisect
+    import time
+    rnd = random.Random(2)
+    at = sorted(rnd.randint(0, 30 * 86400) for _ in range(80_000))
+    df = spark.createDataFrame([("f", s, 1) for s in at], "k string, at long, v long").cache()
+    df.count()
+    t0 = time.time()
+    got = range_sums(df, ["k"], "at", 30 * 86400, {"b": "v"}, {"a": "v"}).agg(F.sum("b"), F.sum("a")).first()
+    assert time.time() - t0 < 20
+    assert got[0] == got[1] == sum(bisect.bisect_left(at, s) for s in at)
+
+
+def _authors_of_modules(n=4000):
+    rnd = random.Random(6)
+    return [("hot" if rnd.random() < 0.9 else f"m{rnd.randint(0, 5)}", f"a{i}", rnd.randint(0, 30)) for i in range(n)]
+
+
+def test_running_sums_of_a_hot_key(spark):
+    """One module holds 90 % of the authors; ranks equal a window's, no task holds it."""
+    from vcscope.operators.stats import running
+    df = spark.createDataFrame(_authors_of_modules(), "module string, author string, lines long").withColumn("one", F.lit(1))
+    order = [F.desc("lines"), F.asc("author")]
+    got = running(df, ["module"], order, {"rk": "one", "cum": "lines"})
+    w = Window.partitionBy("module").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumns({"rk": F.sum("one").over(w), "cum": F.sum("lines").over(w),
+                           "all": F.sum("lines").over(Window.partitionBy("module"))})
+    cols = ["module", "author", "rk", "cum"]
+    assert sorted(got.select(*cols, "cum_all").collect()) == sorted(want.select(*cols, "all").collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if " Window " in line or "+- Window" in line]
+    assert windows and all("_part" in line for line in windows)
+    sizes = got.select("module", "author").join(df, ["module", "author"]).count()
+    assert sizes == df.count()
+
+
+def test_ranks_of_a_hot_value(spark):
+    """90 % of the rows share a value, and nothing is broadcast for its size."""
+    from vcscope.operators.stats import at_values, mean_percent_rank
+    rnd = random.Random(8)
+    rows = [(i, 1 if rnd.random() < 0.9 else rnd.randint(2, 50), rnd.choice(["x", "y"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v long, g string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for by in ([], ["g"]):
+            w = Window.partitionBy(*by)
+            want = {r.id: (round(r.p, 12), r.r) for r in df.withColumns(
+                {"p": F.percent_rank().over(w.orderBy("v")), "r": F.rank().over(w.orderBy(F.desc("v")))}).collect()}
+            pr = {r.id: round(r.p, 12) for r in percent_rank(df, "v", "p", by).collect()}
+            rk = {r.id: r.r for r in rank_desc(df, "v", "r", by).collect()}
+            mean = {r.id: round(r.m, 12) for r in mean_percent_rank(df, "id", ["v", "v"], "m", by).collect()}
+            assert pr == mean == {i: x[0] for i, x in want.items()} and rk == {i: x[1] for i, x in want.items()}
+        h = df.groupBy("v").agg(F.count(F.lit(1)).alias("_cnt")).withColumn("of", F.col("v") * 2)
+        at = at_values(df, h, ["v"]).withColumn("task", F.spark_partition_id())
+        per_task = [r["count"] for r in at.groupBy("task").count().collect()]
+        assert max(per_task) < 0.5 * len(rows) and at.where("of = v * 2").count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_interval_pairs_of_a_busy_author(spark):
+    """A bot changes 5,000 files in a day; its pairs are spread over all tasks."""
+    rnd = random.Random(12)
+    ev = [("bot", i, BASE + dt.timedelta(seconds=rnd.randint(0, 86399))) for i in range(600)]
+    ev += [(f"a{i % 20}", 1000 + i, BASE + dt.timedelta(seconds=rnd.randint(0, 9 * 86400))) for i in range(200)]
+    df = spark.createDataFrame(ev, "k string, id long, ts timestamp")
+    left, right = df.select("k", F.col("id").alias("a"), F.col("ts").alias("t1")), df.select(
+        "k", F.col("id").alias("b"), F.col("ts").alias("t2"))
+    want = {(x[1], y[1]) for x in ev for y in ev if x[0] == y[0] and abs((y[2] - x[2]).total_seconds()) <= 86400}
+    rows = [(r.a, r.b) for r in interval_pairs(left, right, ["k"], "t1", "t2", 86400, block=64).collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    bot = spark.range(5000).select(F.lit("bot").alias("k"), "id", (F.lit(BASE) + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), F.col("id") * 17)).alias("ts"))
+    left, right = (bot.select("k", F.col("id").alias(n), F.col("ts").alias(f"t{n}")) for n in ("a", "b"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = interval_pairs(left, right, ["k"], "ta", "tb", 86400, block=256).withColumn("task", F.spark_partition_id())
+        per_task = [r["count"] for r in p.groupBy("task").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    reach = 86400 // 17
+    assert sum(per_task) == sum(min(i + reach, 4999) - max(i - reach, 0) + 1 for i in range(5000))
+    assert len(per_task) == 8 and max(per_task) < 0.4 * sum(per_task)

@@ -9,14 +9,14 @@ from ..functions import vocab
 from ..functions.timeops import days_between, iso, month
 from ..plans.catalog import register
 from ..tables import Tables
-from .common import has_keyword, r6, ratio, rdays
+from .common import beside, has_keyword, r6, ratio, rdays
 
 
 @register("branch_counts")
 def branch_counts(t: Tables) -> DataFrame:
     """Branches created, merged and still active."""
     b = t.branches
-    return b.agg(F.count(F.lit(1)).alias("branches_created"),
+    return b.groupBy(*t.scope).agg(F.count(F.lit(1)).alias("branches_created"),
                  F.count("merge_date").alias("branches_merged"),
                  F.count_if(F.col("is_active") == 1).alias("branches_active"))
 
@@ -27,7 +27,7 @@ def branch_durations(t: Tables) -> DataFrame:
     days from creation to merge. Creation is the branch tip's date, so a
     duration may be zero or negative; it is reported, not clipped."""
     b = t.branches.withColumn("dur", days_between("merge_date", "creation_date"))
-    return b.groupBy(month("creation_date").alias("month")).agg(
+    return b.groupBy(*t.scope, month("creation_date").alias("month")).agg(
         F.count(F.lit(1)).alias("branches_created"), F.count("merge_date").alias("branches_merged"),
         rdays(F.avg("dur")).alias("avg_days_to_merge"))
 
@@ -36,8 +36,8 @@ def branch_durations(t: Tables) -> DataFrame:
 def long_lived_branches(t: Tables, min_days: int = 30) -> DataFrame:
     """Branches open (until merge, or until the newest commit) longer
     than ``min_days``."""
-    latest = t.commits.select(F.max("date")).scalar()
-    b = t.branches.withColumn("days_open", days_between(F.coalesce(F.col("merge_date"), latest), "creation_date"))
+    b = beside(t.branches, t.commits.groupBy(*t.scope).agg(F.max("date").alias("latest")), t.scope)
+    b = b.withColumn("days_open", days_between(F.coalesce("merge_date", "latest"), "creation_date"))
     return b.where(F.col("days_open") > min_days).select(
         "branch_name", "repo_name", "is_active", rdays("days_open").alias("days_open"))
 
@@ -63,6 +63,6 @@ def merge_conflicts(t: Tables) -> DataFrame:
 def pull_request_usage(t: Tables) -> DataFrame:
     """M42e: commits mentioning a pull or merge request, per month."""
     pr = has_keyword("message", vocab.PULL_REQUEST_KEYWORDS)
-    g = t.commits.groupBy(month("date").alias("month")).agg(F.count(F.lit(1)).alias("commits"),
+    g = t.commits.groupBy(*t.scope, month("date").alias("month")).agg(F.count(F.lit(1)).alias("commits"),
                                                              F.count_if(pr).alias("pr_commits"))
     return g.withColumn("pr_share", r6(ratio("pr_commits", "commits")))

@@ -10,7 +10,7 @@ from ..plans.catalog import register
 from ..session import staged
 from ..tables import Tables
 from .authors import file_owners
-from .common import DEFAULT_TOP_N, is_bug_fix, module, r6, ratio, top
+from .common import DEFAULT_TOP_N, beside, is_bug_fix, module, r6, ratio, top
 from .stats import mean_percent_rank
 
 
@@ -37,7 +37,7 @@ def fix_changes(t: Tables) -> DataFrame:
 @register("bug_fix_commits")
 def bug_fix_commits(t: Tables) -> DataFrame:
     """Number and share of bug-fix commits."""
-    return fix_flags(t).agg(F.count(F.lit(1)).alias("total_commits"),
+    return fix_flags(t).groupBy(*t.scope).agg(F.count(F.lit(1)).alias("total_commits"),
                             F.count_if("is_fix").alias("bug_fix_commits")).withColumn(
         "bug_fix_share", r6(ratio("bug_fix_commits", "total_commits")))
 
@@ -45,7 +45,7 @@ def bug_fix_commits(t: Tables) -> DataFrame:
 @register("bug_fix_frequency")
 def bug_fix_frequency(t: Tables) -> DataFrame:
     """Bug-fix commits per month."""
-    g = fix_flags(t).groupBy(month("date").alias("month")).agg(
+    g = fix_flags(t).groupBy(*t.scope, month("date").alias("month")).agg(
         F.count(F.lit(1)).alias("commits"), F.count_if("is_fix").alias("bug_fix_commits"))
     return g.withColumn("bug_fix_share", r6(ratio("bug_fix_commits", "commits")))
 
@@ -53,28 +53,28 @@ def bug_fix_frequency(t: Tables) -> DataFrame:
 @register("bug_fix_files")
 def bug_fix_files(t: Tables, n: int = DEFAULT_TOP_N) -> DataFrame:
     """Files touched by the most fix commits."""
-    g = fix_changes(t).groupBy("file_path").agg(F.countDistinct("repo_name", "commit_hash").alias("fix_commits"))
-    return top(g, n, F.desc("fix_commits"), F.asc("file_path"))
+    g = fix_changes(t).groupBy(*t.scope, "file_path").agg(F.countDistinct("repo_name", "commit_hash").alias("fix_commits"))
+    return top(g, n, F.desc("fix_commits"), F.asc("file_path"), scope=t.scope)
 
 
 @register("bug_fix_modules")
 def bug_fix_modules(t: Tables, n: int = DEFAULT_TOP_N, depth: int = 1) -> DataFrame:
     """Modules touched by the most fix commits."""
-    g = (fix_changes(t).groupBy(module("file_path", depth).alias("module"))
+    g = (fix_changes(t).groupBy(*t.scope, module("file_path", depth).alias("module"))
          .agg(F.countDistinct("repo_name", "commit_hash").alias("fix_commits")))
-    return top(g, n, F.desc("fix_commits"), F.asc("module"))
+    return top(g, n, F.desc("fix_commits"), F.asc("module"), scope=t.scope)
 
 
 def _file_fix_counts(t: Tables) -> DataFrame:
-    return fix_changes(t).groupBy("file_path").agg(F.countDistinct("repo_name", "commit_hash").alias("fixes"))
+    return fix_changes(t).groupBy(*t.scope, "file_path").agg(F.countDistinct("repo_name", "commit_hash").alias("fixes"))
 
 
 @register("churn_bug_correlation")
 def churn_bug_correlation(t: Tables) -> DataFrame:
     """Pearson correlation over files of churn and fix commits."""
-    ch = t.file_changes.groupBy("file_path").agg(F.sum(F.col("additions") + F.col("deletions")).alias("churn"))
-    j = ch.join(_file_fix_counts(t), "file_path", "left").withColumn("fixes", F.coalesce("fixes", F.lit(0)))
-    return j.agg(F.count(F.lit(1)).alias("files"), r6(F.corr("churn", "fixes")).alias("correlation"))
+    ch = t.file_changes.groupBy(*t.scope, "file_path").agg(F.sum(F.col("additions") + F.col("deletions")).alias("churn"))
+    j = ch.join(_file_fix_counts(t), t.keys("file_path"), "left").withColumn("fixes", F.coalesce("fixes", F.lit(0)))
+    return j.groupBy(*t.scope).agg(F.count(F.lit(1)).alias("files"), r6(F.corr("churn", "fixes")).alias("correlation"))
 
 
 @register("defect_risk")
@@ -82,35 +82,36 @@ def defect_risk(t: Tables, cut: float = 0.7, n: int = DEFAULT_TOP_N) -> DataFram
     """Per file, activity before a cut date (changes, churn, authors)
     ranked against all files (mean percent rank = risk score), beside the fix
     commits after the cut. The cut lies at ``cut`` of the commit time span."""
-    bounds = t.commits.agg(F.min(F.unix_micros("date")).alias("lo"), F.max(F.unix_micros("date")).alias("hi"))
-    cut_us = bounds.select(F.col("lo") + F.lit(cut) * (F.col("hi") - F.col("lo"))).scalar()
-    c = fix_flags(t).select("commit_hash", "repo_name", "is_fix", (F.unix_micros("date") <= cut_us).alias("early"))
+    at = F.unix_micros("date")
+    bounds = t.commits.groupBy(*t.scope).agg((F.min(at) + F.lit(cut) * (F.max(at) - F.min(at))).alias("cut_us"))
+    c = beside(fix_flags(t), bounds, t.scope).select("commit_hash", "repo_name", "is_fix",
+                                                     (at <= F.col("cut_us")).alias("early"))
     fc = t.file_changes.join(c, ["commit_hash", "repo_name"])
     early = lambda x: F.when(F.col("early"), x)
-    files = fc.groupBy("file_path").agg(
+    files = fc.groupBy(*t.scope, "file_path").agg(
         F.count_if("early").alias("changes_before"),
         F.sum(early(F.col("additions") + F.col("deletions"))).alias("churn_before"),
         F.countDistinct(early(F.col("author"))).alias("authors_before"),
         F.countDistinct(F.when(~F.col("early") & F.col("is_fix"), F.struct("repo_name", "commit_hash"))).alias("fixes_after"))
     files = staged(files.where("changes_before > 0"), "defect-risk")
-    rank = mean_percent_rank(files, "file_path", ["changes_before", "churn_before", "authors_before"], "risk")
-    r = files.join(rank, "file_path").select("file_path", "changes_before", "churn_before", "authors_before",
+    rank = mean_percent_rank(files, "file_path", ["changes_before", "churn_before", "authors_before"], "risk", t.scope)
+    r = files.join(rank, t.keys("file_path")).select(*t.keys("file_path"), "changes_before", "churn_before", "authors_before",
                                              r6("risk").alias("risk_score"), "fixes_after")
-    return top(r, n, F.desc("risk_score"), F.asc("file_path"))
+    return top(r, n, F.desc("risk_score"), F.asc("file_path"), scope=t.scope)
 
 
 @register("bug_fix_authors")
 def bug_fix_authors(t: Tables, n: int = DEFAULT_TOP_N) -> DataFrame:
     """Authors with the most fix commits."""
-    g = fix_flags(t).groupBy("author").agg(F.count_if("is_fix").alias("fix_commits"),
+    g = fix_flags(t).groupBy(*t.scope, "author").agg(F.count_if("is_fix").alias("fix_commits"),
                                            F.count(F.lit(1)).alias("commits"))
     g = g.withColumn("fix_share", r6(ratio("fix_commits", "commits")))
-    return top(g, n, F.desc("fix_commits"), F.asc("author"))
+    return top(g, n, F.desc("fix_commits"), F.asc("author"), scope=t.scope)
 
 
 @register("ownership_vs_bugs")
 def ownership_vs_bugs(t: Tables) -> DataFrame:
     """Correlation over files of the top owner's share and fixes."""
-    own = file_owners(t).select("file_path", "share")
-    j = own.join(_file_fix_counts(t), "file_path", "left").withColumn("fixes", F.coalesce("fixes", F.lit(0)))
-    return j.agg(F.count(F.lit(1)).alias("files"), r6(F.corr("share", "fixes")).alias("correlation"))
+    own = file_owners(t).select(*t.keys("file_path"), "share")
+    j = own.join(_file_fix_counts(t), t.keys("file_path"), "left").withColumn("fixes", F.coalesce("fixes", F.lit(0)))
+    return j.groupBy(*t.scope).agg(F.count(F.lit(1)).alias("files"), r6(F.corr("share", "fixes")).alias("correlation"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -71,7 +71,29 @@ def churn(add="total_additions", dele="total_deletions") -> Column:
     return c(add) + c(dele)
 
 
-def top(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
-    """Deterministic top-n (callers pass a unique tie-breaker last)."""
-    out = df.orderBy(*order)
+def top(df: DataFrame, n: int | None, *order: Column, scope: Sequence[str] = ()) -> DataFrame:
+    """Deterministic top-n (callers pass a unique tie-breaker last), of each
+    scope if there is one: a rank limit, of which map tasks keep n rows a scope."""
+    if n and scope:
+        df = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where(
+            F.col("_nth") <= n).drop("_nth")
+        return df.orderBy(*scope, *order)
+    out = df.orderBy(*scope, *order)
     return out.limit(n) if n else out
+
+
+def for_each_scope(t, g: DataFrame, zeros: Sequence[str] = ()) -> DataFrame:
+    """``g`` (one row of each scope that has any) with a row of every scope that has
+    commits; ``zeros`` are counts, 0 where there was nothing to count."""
+    if not t.scope:
+        return g
+    out = t.commits.select(*t.scope).distinct().join(g, list(t.scope), "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros})
+
+
+def beside(df: DataFrame, totals: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the columns of ``totals``, which has one row, or one of each scope
+    (null where a scope has none)."""
+    if scope:
+        return df.join(totals, list(scope), "left")
+    return df.withColumns({x: totals.select(x).scalar() for x in totals.columns})

@@ -6,7 +6,8 @@
   (releases), as an equi-join on a time bucket plus a residual range test.
 * ``range_sums``: sums over the events of a key shortly before or after each.
 * ``interval_pairs``: pairs of events on one key whose times are at most a gap
-  apart, as an equi-join on (key, bucket) with the neighbour bucket exploded.
+  apart, as an equi-join on (key, bucket) with the neighbour bucket exploded and
+  large buckets dealt into pairs of blocks.
 
 None of them uses a cartesian or nested-loop join, so each scales with the
 data, and a hot key is spread by its buckets or candidates.
@@ -19,6 +20,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+from .stats import at_values
+
 MICROS_PER_SECOND = 1_000_000
 # Patterns are looked up by one gram of this many characters each.
 GRAM = 8
@@ -65,21 +69,47 @@ def time_bucket(ts: Column | str, width_seconds: int) -> Column:
     return F.floor(F.unix_seconds(c) / F.lit(width_seconds)).cast("long")
 
 
-def interval_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str,
-                   right_ts: str, max_gap_seconds: int, forward_only: bool = False) -> DataFrame:
+# Rows of a side that meet as many of the other in one key of a blocked join.
+BLOCK = 2048
+
+
+def interval_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str,
+                   max_gap_seconds: int, forward_only: bool = False, block: int = BLOCK) -> DataFrame:
     """Pairs with equal ``on`` keys and |right_ts - left_ts| <= gap (or
     0 <= right_ts - left_ts <= gap when ``forward_only``).
 
     Both sides are bucketed by ``gap``; the right side is matched against the
     left bucket and its neighbours, so a key's rows are split by time and the
-    join is an equi-join on (key, bucket)."""
+    join is an equi-join on (key, bucket). Where a (key, bucket) has more rows than
+    a block, either side is dealt into blocks and every pair of blocks is a key of
+    its own: a busy key's pairs are spread, each row being sent once to each block
+    of the other side."""
+    on = list(on)
     lb = left.withColumn("_ij_b", time_bucket(left_ts, max_gap_seconds))
     offs = F.array(F.lit(0), F.lit(1)) if forward_only else F.array(F.lit(-1), F.lit(0), F.lit(1))
     rb = right.withColumn("_ij_b", F.explode(F.transform(offs, lambda o: time_bucket(right_ts, max_gap_seconds) - o)))
-    joined = lb.join(rb, on=[*on, "_ij_b"], how="inner").drop("_ij_b")
+    key = [*on, "_ij_b"]
+    n_left = lb.groupBy(*key).agg(F.count(F.lit(1)).alias("_nl"))
+    n_right = rb.groupBy(*key).agg(F.count(F.lit(1)).alias("_nr"))
+    # Only keys of more than a block are listed; the others are block 0.
+    large = n_left.join(n_right, key).where((F.col("_nl") > block) | (F.col("_nr") > block)).select(
+        *key, F.ceil(F.col("_nl") / block).cast("int").alias("_bl"), F.ceil(F.col("_nr") / block).cast("int").alias("_br"),
+        "_nl", "_nr")
+    large = staged(large, "large-keys")
+    none = large.isEmpty()
+
+    def dealt(df: DataFrame, count: str, mine: str, own: str, others: str, other: str) -> DataFrame:
+        if none:
+            return df.withColumns({own: F.lit(0), other: F.lit(0)})
+        x = at_values(df, large.withColumnRenamed(count, "_cnt").select(*key, "_cnt", "_bl", "_br"), key)
+        one = F.lit(1)
+        return x.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.coalesce(mine, one)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.coalesce(others, one) - 1))).drop("_bl", "_br")
+
+    joined = dealt(lb, "_nl", "_bl", "_i", "_br", "_j").join(dealt(rb, "_nr", "_br", "_j", "_bl", "_i"), [*key, "_i", "_j"])
     gap = F.unix_seconds(F.col(right_ts)) - F.unix_seconds(F.col(left_ts))
     cond = (gap >= 0) & (gap <= max_gap_seconds) if forward_only else F.abs(gap) <= max_gap_seconds
-    return joined.where(cond)
+    return joined.where(cond).drop("_ij_b", "_i", "_j")
 
 
 def range_sums(events: DataFrame, on: Sequence[str], seconds: str, width: int,
@@ -88,21 +118,27 @@ def range_sums(events: DataFrame, on: Sequence[str], seconds: str, width: int,
     ``width`` seconds before (or after) it, strictly: ``before`` and ``after``
     map names to the column summed.
 
-    Events are sent to their time bucket and its neighbours, and a range frame
-    runs within (key, bucket): the work is linear, and a busy key is split by time."""
+    Events are sent to their time bucket and its neighbours, so that a busy key is
+    split by time. Within (key, bucket) a sum over a window of time is the
+    difference of two frames that only grow: each event is added once to each, where a
+    sliding frame would be added up anew for every row. Work is linear."""
     b = F.floor(F.col(seconds) / width).cast("long")
     x = events.withColumn("_own", b).withColumn("_bucket", F.explode(F.array(b - 1, b, b + 1)))
     w = Window.partitionBy(*on, "_bucket").orderBy(seconds)
-    past, future = w.rangeBetween(-width, -1), w.rangeBetween(1, width)
-    x = x.withColumns({n: F.coalesce(F.sum(c).over(past), F.lit(0)) for n, c in before.items()}
-                      | {n: F.coalesce(F.sum(c).over(future), F.lit(0)) for n, c in after.items()})
+
+    def upto(c: str, end: int) -> Column:
+        return F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
+
+    x = x.withColumns({n: upto(c, -1) - upto(c, -width - 1) for n, c in before.items()}
+                      | {n: upto(c, width) - upto(c, 0) for n, c in after.items()})
     return x.where(F.col("_own") == F.col("_bucket")).drop("_own", "_bucket")
 
 
 def window_join(facts: DataFrame, fact_ts: str, windows: DataFrame, lo: str, hi: str,
-                how: str = "inner", bucket_seconds: int = 86_400) -> DataFrame:
-    """Facts with ``lo < fact_ts <= hi`` for each window (``lo`` NULL = no
-    lower bound). ``how`` is ``inner`` or ``left`` (windows kept).
+                how: str = "inner", bucket_seconds: int = 86_400, on: Sequence[str] = ()) -> DataFrame:
+    """Facts with ``lo < fact_ts <= hi`` and equal ``on`` keys (kept once) for each
+    window (``lo`` NULL = no lower bound). ``how`` is ``inner`` or ``left`` (windows
+    kept).
 
     Windows are exploded over the time buckets they cover and facts carry
     their bucket, so the range join becomes an equi-join on the bucket with a
@@ -114,7 +150,10 @@ def window_join(facts: DataFrame, fact_ts: str, windows: DataFrame, lo: str, hi:
     hi_b = time_bucket(F.col(hi), bucket_seconds)
     buckets = F.when(lo_b <= hi_b, F.sequence(lo_b, hi_b)).otherwise(F.array().cast("array<bigint>"))
     w = windows.withColumn("_wj_b", F.explode_outer(buckets))
-    f = facts.withColumn("_wj_fb", time_bucket(fact_ts, bucket_seconds))
+    f = facts.withColumn("_wj_fb", time_bucket(fact_ts, bucket_seconds)).withColumnsRenamed(
+        {c: f"_wj_{c}" for c in on})
     cond = ((w["_wj_b"] == f["_wj_fb"]) & (w[lo].isNull() | (f[fact_ts] > w[lo]))
             & (f[fact_ts] <= w[hi]))
-    return w.join(f, cond, how).drop("_wj_b", "_wj_fb")
+    for c in on:
+        cond = cond & (w[c] == f[f"_wj_{c}"])
+    return w.join(f, cond, how).drop("_wj_b", "_wj_fb", *[f"_wj_{c}" for c in on])

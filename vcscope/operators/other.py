@@ -11,14 +11,15 @@ from .. import schema
 from ..functions import vocab
 from ..plans.catalog import register
 from ..tables import Tables
-from .common import DEFAULT_TOP_N, extension, has_keyword, module, r6, ratio, top
+from .common import DEFAULT_TOP_N, beside, extension, has_keyword, module, r6, ratio, top
+from .stats import running
 from ..functions.timeops import weekday
 
 
 @register("timezone_distribution")
 def timezone_distribution(t: Tables) -> DataFrame:
     """Commits and authors per UTC offset."""
-    return t.commits.groupBy("timezone").agg(F.count(F.lit(1)).alias("commits"),
+    return t.commits.groupBy(*t.scope, "timezone").agg(F.count(F.lit(1)).alias("commits"),
                                              F.countDistinct("author").alias("authors"))
 
 
@@ -26,9 +27,9 @@ def timezone_distribution(t: Tables) -> DataFrame:
 def weekend_vs_weekday(t: Tables) -> DataFrame:
     """Commits on weekend and weekdays (UTC) and their share."""
     kind = F.when(weekday("date").isin(0, 6), F.lit("weekend")).otherwise(F.lit("weekday"))
-    g = t.commits.groupBy(kind.alias("day_type")).agg(F.count(F.lit(1)).alias("commits"))
-    total = t.commits.select(F.count(F.lit(1))).scalar()
-    return g.withColumn("share", r6(ratio("commits", total)))
+    g = t.commits.groupBy(*t.scope, kind.alias("day_type")).agg(F.count(F.lit(1)).alias("commits"))
+    total = t.commits.groupBy(*t.scope).agg(F.count(F.lit(1)).alias("all_commits"))
+    return beside(g, total, t.scope).withColumn("share", r6(ratio("commits", "all_commits"))).drop("all_commits")
 
 
 @register("low_review_areas")
@@ -38,26 +39,29 @@ def low_review_areas(t: Tables, n: int = DEFAULT_TOP_N, depth: int = 1) -> DataF
     pr = (t.commits.where(has_keyword("message", vocab.PULL_REQUEST_KEYWORDS))
           .select("commit_hash", "repo_name").withColumn("_pr", F.lit(1)))
     fc = t.file_changes.join(pr, ["commit_hash", "repo_name"], "left")
-    g = fc.groupBy(module("file_path", depth).alias("module")).agg(
+    g = fc.groupBy(*t.scope, module("file_path", depth).alias("module")).agg(
         F.count(F.lit(1)).alias("changes"), F.count("_pr").alias("pr_changes"))
     g = g.withColumn("pr_share", r6(ratio("pr_changes", "changes")))
-    return top(g, n, F.asc("pr_share"), F.asc("module"))
+    return top(g, n, F.asc("pr_share"), F.asc("module"), scope=t.scope)
 
 
 @register("expertise")
 def expertise(t: Tables, depth: int = 1) -> DataFrame:
     """Author × module — commits, scope (distinct files), share of the
     module's commits and rank within the module."""
-    from pyspark.sql import Window
-    fc = t.file_changes.select(module("file_path", depth).alias("module"), "author", "repo_name",
-                               "commit_hash", "file_path")
-    per = fc.groupBy("module", "author").agg(F.countDistinct("repo_name", "commit_hash").alias("commits"),
-                                            F.countDistinct("file_path").alias("files"))
-    mod = fc.groupBy("module").agg(F.countDistinct("repo_name", "commit_hash").alias("module_commits"))
-    j = per.join(mod, "module")
-    w = Window.partitionBy("module").orderBy(F.desc("commits"), F.desc("files"), F.asc("author"))
-    return j.select("module", "author", "commits", "files", r6(ratio("commits", "module_commits")).alias("share"),
-                    F.row_number().over(w).alias("rank_in_module"))
+    fc = t.file_changes.select(*t.keys("repo_name", "commit_hash"), module("file_path", depth).alias("module"), "author",
+                               "file_path")
+    unit, own = t.keys("module"), t.keys("module", "author")
+    # Commits and files are told apart one after the other, with map-side sums each.
+    touched = fc.select("repo_name", "commit_hash", "module", "author").distinct()
+    commits = touched.groupBy(*own).agg(F.count(F.lit(1)).alias("commits"))
+    files = fc.select(*own, "file_path").distinct().groupBy(*own).agg(F.count(F.lit(1)).alias("files"))
+    mod = touched.select("repo_name", "commit_hash", "module").distinct().groupBy(*unit).agg(
+        F.count(F.lit(1)).alias("module_commits"))
+    ranked = running(commits.join(files, own).withColumn("_one", F.lit(1)), unit,
+                     [F.desc("commits"), F.desc("files"), F.asc("author")], {"nth": "_one"})
+    return ranked.join(mod, unit).select(*own, "commits", "files", r6(ratio("commits", "module_commits")).alias("share"),
+                                         F.col("nth").cast("int").alias("rank_in_module"))
 
 
 def _skill(path="file_path") -> F.Column:
@@ -73,15 +77,15 @@ def skill_gaps(t: Tables, threshold: float = 0.05) -> DataFrame:
     """Author × skill — distinct files of that skill the author changed
     and their share of the author's distinct files; a gap is a share below
     ``threshold`` (zero included). Every author gets all four skills."""
-    fc = t.file_changes.select("author", "file_path", "is_test_file").distinct()
-    tagged = fc.select("author", "file_path", F.explode(F.array_compact(F.array(
+    fc = t.file_changes.select(*t.keys("author", "file_path"), "is_test_file").distinct()
+    tagged = fc.select(*t.keys("author"), "file_path", F.explode(F.array_compact(F.array(
         _skill("file_path"), F.when(F.col("is_test_file") == 1, F.lit("testing"))))).alias("skill"))
-    per = tagged.groupBy("author", "skill").agg(F.countDistinct("file_path").alias("files"))
-    authors = fc.groupBy("author").agg(F.countDistinct("file_path").alias("author_files"))
-    grid = authors.select("author", "author_files", F.explode(F.array(*[F.lit(s) for s in vocab.SKILLS])).alias("skill"))
-    j = grid.join(per, ["author", "skill"], "left").withColumn("files", F.coalesce("files", F.lit(0)))
+    per = tagged.groupBy(*t.scope, "author", "skill").agg(F.countDistinct("file_path").alias("files"))
+    authors = fc.groupBy(*t.scope, "author").agg(F.countDistinct("file_path").alias("author_files"))
+    grid = authors.select(*t.keys("author"), "author_files", F.explode(F.array(*[F.lit(s) for s in vocab.SKILLS])).alias("skill"))
+    j = grid.join(per, t.keys("author", "skill"), "left").withColumn("files", F.coalesce("files", F.lit(0)))
     share = ratio("files", "author_files")
-    return j.select("author", "skill", "files", r6(share).alias("share"),
+    return j.select(*t.keys("author"), "skill", "files", r6(share).alias("share"),
                     (F.coalesce(share, F.lit(0.0)) < threshold).cast("int").alias("is_gap"))
 
 
@@ -93,7 +97,7 @@ def language(path="file_path") -> F.Column:
 @register("language_usage")
 def language_usage(t: Tables) -> DataFrame:
     """Distinct files per language (by extension)."""
-    return t.file_changes.groupBy(language("file_path").alias("language")).agg(
+    return t.file_changes.groupBy(*t.scope, language("file_path").alias("language")).agg(
         F.countDistinct("file_path").alias("files"))
 
 
@@ -102,8 +106,8 @@ def tool_presence(t: Tables, globs: Sequence[str] = tuple(vocab.GITHUB_ACTIONS_G
     """Does any changed path match the tool's file patterns (GLOB,
     case-sensitive, translated to an anchored regex)."""
     rx = "|".join(f"(?:{vocab.glob_to_regex(g)})" for g in globs)
-    hits = t.file_changes.where(F.col("file_path").rlike(rx))
-    return hits.agg(F.lit(tool).alias("tool"), F.countDistinct("file_path").alias("matching_files")).withColumn(
+    hit = F.when(F.col("file_path").rlike(rx), F.col("file_path"))
+    return t.file_changes.groupBy(*t.scope).agg(F.lit(tool).alias("tool"), F.countDistinct(hit).alias("matching_files")).withColumn(
         "present", (F.col("matching_files") > 0).cast("int"))
 
 
@@ -116,8 +120,8 @@ def file_class_counts(t: Tables) -> DataFrame:
     flags = {"test_files": F.col("is_test_file") == 1, "build_files": F.col("is_build_file") == 1,
              "dot_files": F.col("is_dot_file") == 1, "documentation_files": F.col("is_documentation_file") == 1,
              "config_files": extension("file_path").isin(*vocab.CONFIG_EXTENSIONS)}
-    files = t.file_changes.groupBy("file_path").agg(*[F.max(c).alias(n) for n, c in flags.items()])
-    return files.agg(F.count("file_path").alias("files"), *[F.count_if(n).alias(n) for n in flags])
+    files = t.file_changes.groupBy(*t.scope, "file_path").agg(*[F.max(c).alias(n) for n, c in flags.items()])
+    return files.groupBy(*t.scope).agg(F.count("file_path").alias("files"), *[F.count_if(n).alias(n) for n in flags])
 
 
 def keyword_search(t: Tables, terms: Sequence[str] = ("conflict", "readme")) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.timeops import days_between, iso, month
 from ..plans.catalog import register
 from ..tables import Tables
 from .bugs import fix_flags
-from .common import DEFAULT_TOP_N, churn, r6, ratio, rdays, top
+from .common import DEFAULT_TOP_N, beside, churn, for_each_scope, r6, ratio, rdays, top
 from .joins import window_join
 from .sequence import segmented_lag
 
@@ -27,7 +27,7 @@ def release_windows(t: Tables) -> DataFrame:
     dated = tags.join(t.commits.select("commit_hash", "repo_name", F.col("date").alias("rel_date")),
                       ["commit_hash", "repo_name"]).select("repo_name", "tag_name", "rel_date")
     dated = dated.withColumn("_rel", F.struct("repo_name", "tag_name", "rel_date"))
-    lagged = segmented_lag(dated, [], ["rel_date", "repo_name", "tag_name"], "_rel", (1,), prefix="_prev")
+    lagged = segmented_lag(dated, t.scope, ["rel_date", "repo_name", "tag_name"], "_rel", (1,), prefix="_prev")
     return lagged.select("repo_name", "tag_name", "rel_date", F.col("_prev1.repo_name").alias("prev_repo"),
                          F.col("_prev1.tag_name").alias("prev_tag"), F.col("_prev1.rel_date").alias("prev_date"))
 
@@ -36,16 +36,16 @@ def _commits_in_releases(t: Tables, how: str = "inner", first: bool = True) -> D
     w = release_windows(t)
     if not first:
         w = w.where(F.col("prev_date").isNotNull())
-    c = fix_flags(t).select("commit_hash", "date", "total_additions", "total_deletions", "total_additions_dot",
+    c = fix_flags(t).select(*t.keys("commit_hash"), "date", "total_additions", "total_deletions", "total_additions_dot",
                             "total_deletions_dot", "is_fix")
-    return window_join(c, "date", w, "prev_date", "rel_date", how=how)
+    return window_join(c, "date", w, "prev_date", "rel_date", how=how, on=t.scope)
 
 
 def _top_pairs(t: Tables, value, name: str, n: int) -> DataFrame:
     j = _commits_in_releases(t, "inner", first=False)
     g = j.groupBy(F.col("prev_tag").alias("tag_name1"), F.col("prev_repo").alias("repo_name1"),
                   F.col("tag_name").alias("tag_name2"), F.col("repo_name").alias("repo_name2")).agg(value.alias(name))
-    return top(g, n, F.desc(name), F.asc("tag_name1"), F.asc("repo_name1"))
+    return top(g, n, F.desc(name), F.asc("tag_name1"), F.asc("repo_name1"), scope=[f"{c}1" for c in t.scope])
 
 
 @register("release_churn_top")
@@ -107,7 +107,7 @@ def release_bug_fixes(t: Tables) -> DataFrame:
 def deployment_frequency(t: Tables) -> DataFrame:
     """Releases per month."""
     w = release_windows(t)
-    return w.groupBy(month("rel_date").alias("month")).agg(F.count(F.lit(1)).alias("releases"))
+    return w.groupBy(*t.scope, month("rel_date").alias("month")).agg(F.count(F.lit(1)).alias("releases"))
 
 
 @register("lead_time")
@@ -117,17 +117,18 @@ def lead_time(t: Tables) -> DataFrame:
     days, both from one histogram of seconds."""
     from .stats import histogram, quantiles
     j = _commits_in_releases(t, "inner", first=True)
-    h = histogram(j.select((F.unix_seconds("rel_date") - F.unix_seconds("date")).alias("seconds")), "seconds")
-    g = h.agg(F.coalesce(F.sum("_cnt"), F.lit(0)).alias("released_commits"),
+    waits = j.select(*t.scope, (F.unix_seconds("rel_date") - F.unix_seconds("date")).alias("seconds"))
+    h = histogram(waits, "seconds", t.scope)
+    g = h.groupBy(*t.scope).agg(F.coalesce(F.sum("_cnt"), F.lit(0)).alias("released_commits"),
               (F.sum(F.col("seconds") * F.col("_cnt")) / F.sum("_cnt")).alias("mean"),
               *quantiles(h, "seconds", [0.5], ["median"]))
-    return g.select("released_commits", rdays(F.col("mean") / 86400).alias("mean_lead_days"),
+    return for_each_scope(t, g, ["released_commits"]).select(*t.keys("released_commits"), rdays(F.col("mean") / 86400).alias("mean_lead_days"),
                     rdays(F.col("median") / 86400).alias("median_lead_days"))
 
 
 def _since_last_release(t: Tables) -> DataFrame:
-    last = release_windows(t).select(F.max("rel_date")).scalar()
-    return fix_flags(t).where(F.col("date") > last)
+    last = release_windows(t).groupBy(*t.scope).agg(F.max("rel_date").alias("last_release"))
+    return beside(fix_flags(t), last, t.scope).where(F.col("date") > F.col("last_release"))
 
 
 @register("release_readiness")
@@ -135,10 +136,11 @@ def release_readiness(t: Tables) -> DataFrame:
     """Activity since the newest release: commits, churn, fix share and
     test share of changed lines."""
     c = _since_last_release(t)
-    g = c.agg(F.count(F.lit(1)).alias("commits"), F.coalesce(F.sum(churn()), F.lit(0)).alias("churn"),
+    g = c.groupBy(*t.scope).agg(F.count(F.lit(1)).alias("commits"), F.coalesce(F.sum(churn()), F.lit(0)).alias("churn"),
               F.count_if("is_fix").alias("bug_fix_commits"),
               F.coalesce(F.sum(churn("total_additions_test", "total_deletions_test")), F.lit(0)).alias("_test"))
-    return g.select("commits", "churn", r6(ratio("bug_fix_commits", "commits")).alias("bug_fix_share"),
+    g = for_each_scope(t, g, ["commits", "churn"])
+    return g.select(*t.keys("commits"), "churn", r6(ratio("bug_fix_commits", "commits")).alias("bug_fix_share"),
                     r6(ratio("_test", "churn")).alias("test_share"))
 
 
@@ -147,7 +149,7 @@ def release_risky_files(t: Tables, n: int = DEFAULT_TOP_N) -> DataFrame:
     """Files with the most churn since the newest release."""
     c = _since_last_release(t).select("commit_hash", "repo_name", "is_fix")
     fc = t.file_changes.join(c, ["commit_hash", "repo_name"], "inner")
-    g = fc.groupBy("file_path").agg(F.count(F.lit(1)).alias("changes"),
+    g = fc.groupBy(*t.scope, "file_path").agg(F.count(F.lit(1)).alias("changes"),
                                    F.sum(F.col("additions") + F.col("deletions")).alias("churn"),
                                    F.count_if("is_fix").alias("fix_changes"))
-    return top(g, n, F.desc("churn"), F.asc("file_path"))
+    return top(g, n, F.desc("churn"), F.asc("file_path"), scope=t.scope)

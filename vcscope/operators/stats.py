@@ -3,6 +3,7 @@
 Quantiles and percent ranks need a global order. Instead of sorting all rows
 in one partition, rows are first reduced to a histogram (value → count, a
 partial hash aggregation), whose distinct values are summed range by range.
+The same running sums, of each key of several, rank the members of a key.
 """
 
 from __future__ import annotations
@@ -15,27 +16,46 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
-def running_sum(df: DataFrame, order: str, amount: str) -> DataFrame:
-    """Adds ``_cum`` (sum of ``amount`` up to this row in ``order``, whose values
-    are distinct) and ``_n`` (sum of all).
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each name → column of ``sums``, the sum of the column up to this
+    row within its key in ``order`` (total within a key), and ``{name}_all``, its
+    sum over the key. A row number is the running sum of ones.
 
-    Rows are put into ranges of ``order``; each range sums its own, and the sums
-    of the ranges (as many rows as partitions) give what comes before it. The
-    ranges are checkpointed, because their bounds come from a sample."""
-    spark = df.sparkSession
+    No key is one task: rows are put into ranges of (key, order), each (key, range)
+    sums its own rows, and the sums of a key's ranges (as many rows as keys and
+    partitions together) give what comes before. The ranges are checkpointed,
+    because their bounds come from a sample."""
+    spark, keys = df.sparkSession, list(keys)
     checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    sums = parts.groupBy("_part").agg(F.sum(amount).alias("_s"))
-    totals = sums.agg(F.collect_list(F.struct("_part", "_s")).alias("_all")).select(
-        F.explode("_all").alias("_r"), "_all").select(
-        F.col("_r._part").alias("_part"),
-        F.aggregate(F.filter("_all", lambda x: x["_part"] < F.col("_r._part")), F.lit(0).cast("long"),
-                    lambda a, x: a + x["_s"]).alias("_before"),
-        F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: a + x["_s"]).alias("_n"))
-    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (parts.join(F.broadcast(totals), "_part")
-            .withColumn("_cum", F.sum(amount).over(w) + F.col("_before")).drop("_part", "_before"))
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    own = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_s_{name}") for name, c in sums.items()])
+    # A key's ranges in a row, each with the sums of those before it.
+    names = list(sums)
+    fields = ", ".join(f"'{x}', CAST(0 AS bigint)" for x in names)
+    before = ", ".join(f"'{x}', a.at.{x}" for x in names)
+    grown = ", ".join(f"'{x}', a.at.{x} + r._s_{x}" for x in names)
+    seen = ", ".join(f"{x}: bigint" for x in names)
+    walk = F.expr(f"""aggregate(array_sort(_ranges),
+        named_struct('at', named_struct({fields}), 'out', CAST(array() AS array<struct<_part: int, _before: struct<{seen}>>>)),
+        (a, r) -> named_struct('at', named_struct({grown}), 'out', array_append(a.out,
+            named_struct('_part', r._part, '_before', named_struct({before})))))""")
+    totals = own.groupBy(*keys).agg(F.collect_list(F.struct("_part", *[f"_s_{x}" for x in names])).alias("_ranges"))
+    totals = totals.select(*keys, walk.alias("_w")).select(
+        *keys, *[F.col(f"_w.at.{x}").alias(f"{x}_all") for x in names], F.explode("_w.out").alias("_r"))
+    totals = totals.select(*keys, F.col("_r._part").alias("_part"), F.col("_r._before").alias("_before"),
+                           *[f"{x}_all" for x in names])
+    w = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = parts.withColumns({x: F.sum(c).over(w) for x, c in sums.items()})
+    return within.join(totals, [*keys, "_part"]).withColumns(
+        {x: F.col(x) + F.col(f"_before.{x}") for x in names}).drop("_part", "_before")
+
+
+def running_sum(df: DataFrame, order: str, amount: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_cum`` (sum of ``amount`` up to this row in ``order``, whose values
+    are distinct within ``by``) and ``_n`` (sum of all)."""
+    return running(df, by, [order], {"_cum": amount}).withColumnRenamed("_cum_all", "_n")
 
 
 def dense_numbers(df: DataFrame, col: str) -> DataFrame:
@@ -44,10 +64,10 @@ def dense_numbers(df: DataFrame, col: str) -> DataFrame:
     return s.select(col, (F.col("_cum") - 1).alias("no"))
 
 
-def _hist(df: DataFrame, value: str) -> DataFrame:
-    """value, cnt, cum (rows <= value), n (all rows); nulls dropped."""
-    h = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
-    return running_sum(h, value, "_cnt")
+def histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, value, _cnt, _cum (rows <= value), _n (all rows); nulls dropped."""
+    h = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    return running_sum(h, value, "_cnt", by)
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str]) -> list[Column]:
@@ -64,35 +84,55 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence
     return out
 
 
-def histogram(df: DataFrame, value: str) -> DataFrame:
-    return _hist(df, value)
-
-
-def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Add ``out`` = percent_rank() over (order by value) for every row:
-    (rows with a smaller value) / (rows − 1), 0 for a single row."""
-    h = _hist(df, value).select(value, (F.col("_cum") - F.col("_cnt")).alias("_less"), "_n")
-    j = df.join(h, on=value, how="left")
-    pr = F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise(F.col("_less") / (F.col("_n") - 1))
-    return j.withColumn(out, F.coalesce(pr, F.lit(0.0))).drop("_less", "_n")
-
-
-def mean_percent_rank(df: DataFrame, key: str, values: Sequence[str], out: str) -> DataFrame:
-    """``key`` (one row each) and ``out``: the mean of the percent ranks of
-    ``values`` (none null). All columns share one histogram, in which a column
-    follows the other."""
-    each = df.select(key, F.posexplode(F.array(*[F.col(v).cast("double") for v in values])).alias("_f", "_v"))
-    h = each.groupBy(F.struct("_f", "_v").alias("_fv")).agg(F.count(F.lit(1)).alias("_cnt"))
-    h = running_sum(h, "_fv", "_cnt")
+def at_values(df: DataFrame, h: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of ``h``, which has one row and the count ``_cnt`` for
+    each ``on`` (null where it has none).
+
+    A value that many rows share would be one task. Values with more than a
+    partition's share of all rows (fewer than there are partitions) are
+    broadcast with the number of shares they have; their rows are dealt into so
+    many salts, and their row of ``h`` is repeated for each."""
+    on, n = list(on), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = h.select(F.sum("_cnt")).scalar()
+    h = h.withColumn("_copies", F.ceil(F.col("_cnt") * n / rows))
+    hot = h.where("_copies > 1").select(*on, F.col("_copies").alias("_salts"))
+    # Rows without a value meet nothing and are dealt at large.
+    none = F.lit(False)
+    for c in on:
+        none = none | F.col(c).isNull()
+    salts = F.when(none, F.lit(n)).otherwise(F.coalesce("_salts", F.lit(1)))
+    dealt = df.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*df.columns), salts).cast("int")).drop("_salts")
+    copies = h.withColumn("_salt", F.explode(F.expr("sequence(0, CAST(_copies AS int) - 1)"))).drop("_copies", "_cnt")
+    return dealt.join(copies, [*on, "_salt"], "left").drop("_salt")
+
+
+def percent_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``out`` = percent_rank() over (partition by ``by`` order by value) for
+    every row: (rows with a smaller value) / (rows − 1), 0 for a single row."""
+    h = histogram(df, value, by)
+    pr = F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise((F.col("_cum") - F.col("_cnt")) / (F.col("_n") - 1))
+    h = h.select(*by, value, "_cnt", pr.alias(out))
+    return at_values(df, h, [*by, value]).withColumn(out, F.coalesce(out, F.lit(0.0)))
+
+
+def mean_percent_rank(df: DataFrame, key: str, values: Sequence[str], out: str, by: Sequence[str] = ()) -> DataFrame:
+    """``key`` (one row each within ``by``) and ``out``: the mean of the percent
+    ranks of ``values`` (none null). All columns share one histogram, in which a
+    column follows the other."""
+    by = list(by)
+    each = df.select(*by, key, F.posexplode(F.array(*[F.col(v).cast("double") for v in values])).alias("_f", "_v"))
+    h = each.groupBy(*by, F.struct("_f", "_v").alias("_fv")).agg(F.count(F.lit(1)).alias("_cnt"))
+    h = running_sum(h, "_fv", "_cnt", by)
     rows = F.col("_n") / len(values)
     less = F.col("_cum") - F.col("_cnt") - F.col("_fv._f") * rows
-    h = h.select(F.col("_fv._f").alias("_f"), F.col("_fv._v").alias("_v"),
+    h = h.select(*by, F.col("_fv._f").alias("_f"), F.col("_fv._v").alias("_v"), "_cnt",
                  F.when(rows <= 1, F.lit(0.0)).otherwise(less / (rows - 1)).alias("_pr"))
-    return each.join(h, ["_f", "_v"]).groupBy(key).agg((F.sum("_pr") / len(values)).alias(out))
+    return at_values(each, h, [*by, "_f", "_v"]).groupBy(*by, key).agg((F.sum("_pr") / len(values)).alias(out))
 
 
-def rank_desc(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Add ``out`` = rank() over (order by value desc): 1 + rows with a
-    larger value."""
-    h = _hist(df, value).select(value, (F.col("_n") - F.col("_cum") + 1).alias(out))
-    return df.join(h, on=value, how="left")
+def rank_desc(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``out`` = rank() over (partition by ``by`` order by value desc): 1 +
+    rows with a larger value."""
+    h = histogram(df, value, by).select(*by, value, "_cnt", (F.col("_n") - F.col("_cum") + 1).alias(out))
+    return at_values(df, h, [*by, value])

@@ -26,7 +26,7 @@ def register(name: str):
 
 
 _lock = threading.Lock()
-_indexed: dict[tuple, str] = {}
+_indexed: dict[tuple, Tables] = {}
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
@@ -50,12 +50,12 @@ def index_tables(spark: SparkSession, sf_dir: str, out: str | None = None) -> Ta
     configure(spark)
     key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir))
     with _lock:
-        path = _indexed.get(key)
-        if path is None:
+        if key not in _indexed:
             path = out or f"{checkpoint_dir(spark).rstrip('/')}/vcscope-tables-{uuid.uuid4().hex}"
             fixtures.index(spark, sf_dir, path)
-            _indexed[key] = path
-    return Tables.read(spark, path)
+            # One handle, so that queries share what they derive.
+            _indexed[key] = Tables.read(spark, path)
+        return _indexed[key]
 
 
 def run(name: str, spark: SparkSession, sf_dir: str, from_: str | None = None, to: str | None = None,

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from ..operators.reports import RANGE_FROM, RANGE_TO
-from ..operators.scoped import ONE_REPO, SCOPED
+from ..operators.scoped import BY_REPO, SCOPED
 
 BODIES: dict[str, str] = {}
 
@@ -37,10 +37,24 @@ def oracle_sql() -> dict[str, str]:
     out = {name: combine(views, body) for name, body in BODIES.items()}
     for name in SCOPED:
         out[f"{name}_between"] = combine(scoped_views(views, RANGE_SQL), BODIES[name])
-        out[f"{name}_of_repo"] = combine(scoped_views(views, f"repo_name = '{ONE_REPO}'"), BODIES[name])
+    out |= {f"{name}_by_repo": by_repo(views, BODIES[name]) for name in BY_REPO}
     return out
 
 
+# The adapter's repositories are the market segments of the customers.
+REPOS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def by_repo(views: str, body: str) -> str:
+    """The body over each repository's own tables, with its name. Rows that name a
+    repository themselves take the name twice, and one of the two is left out."""
+    each = [f"SELECT *, '{r}' AS repo_name FROM ({combine(scoped_views(views, f"repo_name = '{r}'"), body)}) q"
+            for r in REPOS]
+    if re.search(r"\brepo_name\b", body.split("FROM")[0] if not body.lstrip().upper().startswith("WITH") else ""):
+        each = [f"SELECT * FROM ({combine(scoped_views(views, f"repo_name = '{r}'"), body)}) q" for r in REPOS]
+    return "\nUNION ALL\n".join(each)
+
+
 def scoped_views(views: str, rule: str) -> str:
     """The views over the commits that a rule keeps, and what belongs to them."""
     for name in ("commits", "file_changes", "commit_parents", "branches", "tags"):

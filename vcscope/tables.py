@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
+from .session import staged
 
 NAMES = ("commits", "file_changes", "commit_parents", "branches", "tags")
 
@@ -30,13 +32,17 @@ class Tables:
     commit_parents: DataFrame
     branches: DataFrame
     tags: DataFrame
+    # Columns that every key of an operator starts with (see ``by_repo``).
+    scope: tuple[str, ...] = ()
+    # What operators have derived from these tables and written, to be read again.
+    derived: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def spark(self) -> SparkSession:
         return self.commits.sparkSession
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {n: getattr(self, n) for n in NAMES}
 
     def between(self, from_: str | None = None, to: str | None = None) -> "Tables":
         """The history of an inclusive date range (either side optional): its
@@ -50,11 +56,28 @@ class Tables:
         own = ["repo_name", "commit_hash"]
         tags = self.tags.join(keys.withColumnRenamed("commit_hash", "tag_commit"), ["repo_name", "tag_commit"], "left_semi")
         return Tables(c, self.file_changes.join(keys, own, "left_semi"), self.commit_parents.join(keys, own, "left_semi"),
-                      self.branches, tags.select(*self.tags.columns))
+                      self.branches, tags.select(*self.tags.columns), self.scope)
 
     def of_repos(self, *repos: str) -> "Tables":
         """The history of some repositories; the filter prunes their folders."""
-        return Tables(**{n: df.where(F.col("repo_name").isin(*repos)) for n, df in self.as_dict().items()})
+        return replace(self, derived={}, **{n: df.where(F.col("repo_name").isin(*repos)) for n, df in self.as_dict().items()})
+
+    def by_repo(self) -> "Tables":
+        """The same tables, each repository for itself: operators put ``repo_name``
+        before all their keys (paths, modules, authors, months, pairs, ranks, the
+        first n), so one query gives what each repository alone would give, with its
+        name, and equal paths or authors of two repositories never meet."""
+        return replace(self, scope=("repo_name",), derived={})
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gives, written to the shared folder when first asked for."""
+        if name not in self.derived:
+            self.derived[name] = staged(make(), name)
+        return self.derived[name]
+
+    def keys(self, *columns: str) -> list[str]:
+        """The scope's columns and ``columns``, each once."""
+        return list(dict.fromkeys([*self.scope, *columns]))
 
     def register_views(self, prefix: str = "") -> None:
         """Temp views, so that ad-hoc SQL runs over the tables."""
