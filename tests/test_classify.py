@@ -42,3 +42,15 @@ def test_python_full_match_agrees(path, test, build, dot, doc):
         pats = classify.CLASSES[name]
         assert int(any(re.fullmatch(p, path) for p in pats)) == want
         assert int(bool(re.search(classify.full_match_regex(pats), path))) == want
+
+
+def test_vocabularies_of_operators_and_oracle_are_one():
+    from vcscope.functions import vocab
+    from vcscope.plans import oracle
+    oracle.oracle_sql()
+    from vcscope.plans import oracle_bodies as o
+    assert o.BUG_RE.split("|") == vocab.BUG_KEYWORDS
+    assert set(o.MAINT_RE.split("|")) == set(vocab.BUG_KEYWORDS + vocab.IMPROVEMENT_KEYWORDS)
+    assert all(f"'{e}'" in oracle.BODIES["configuration_commits"] for e in vocab.CONFIG_EXTENSIONS)
+    assert all(w in oracle.BODIES["configuration_commits"] for w in vocab.CONFIG_KEYWORDS)
+    assert all(n.replace(".", "[.]") in oracle.BODIES["build_file_activity"] for n in vocab.BUILD_NAMES)

@@ -163,6 +163,28 @@ def test_streaming_index(spark, dumps, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "file_changes")).count() == 5
 
 
+def test_streaming_index_keeps_the_first_record_of_a_hash(spark, tmp_path):
+    from vcscope.streaming.logstream import start_log_indexing
+
+    def run():
+        start_log_indexing(spark, str(tmp_path / "d*"), str(tmp_path / "out"), str(tmp_path / "ckpt"),
+                           once=True).awaitTermination(120)
+        return sorted((r.commit_hash, r.author) for r in spark.read.parquet(str(tmp_path / "out" / "commits")).collect())
+
+    (tmp_path / "d1").mkdir()
+    (tmp_path / "d1" / "demo.log").write_text(LOG)
+    first = run()
+    (tmp_path / "d2").mkdir()
+    # The whole log again, with another author, and a commit that is new.
+    again = LOG.replace("author:", "author:Not ")
+    (tmp_path / "d2" / "demo.log").write_text(again + again[:again.index("commit:", 10)].replace("commit:aaa3", "commit:aaa9"))
+    got = run()
+    assert len(first) == 4 and len(got) == 5 and set(first) < set(got)
+    assert {h for h, _ in set(got) - set(first)} == {"aaa9"}
+    changes = spark.read.parquet(str(tmp_path / "out" / "file_changes"))
+    assert changes.where("commit_hash = 'aaa2'").count() == changes.where("commit_hash = 'aaa2'").distinct().count()
+
+
 def test_sinks(spark, tmp_path):
     from vcscope.sources.sinks import write_delimited
     df = spark.createDataFrame([("a", 1), (None, 2)], "x string, n int")
@@ -212,6 +234,7 @@ numstat:
 
 def test_hard_records(spark, tmp_path):
     from vcscope.sources.ingest import index
+    from vcscope.tables import data_folder
     (tmp_path / "d").mkdir()
     for name, text in (("hard.log", HARD), ("hard.branches", "x,not a date\n"), ("hard.merged", "x\n"),
                        ("hard.no-merged", ""), ("hard.tags", "")):
@@ -224,7 +247,7 @@ def test_hard_records(spark, tmp_path):
     assert c["bbb2"].date is None and c["bbb2"].total_additions == 6
     assert sorted(r.file_path for r in t.file_changes.collect()) == ["a.txt", "a.txt", "b.py"]
     assert len({r.id for r in t.file_changes.collect()}) == 3
-    rejects = {r.reason: r.text for r in spark.read.parquet(str(tmp_path / "store" / "rejects")).collect()}
+    rejects = {r.reason: r.text for r in spark.read.parquet(data_folder(spark, str(tmp_path / "store")) + "/rejects").collect()}
     assert rejects == {"no record header": "garbage before any record", "unreadable date": "bbb2 "}
     assert t.branches.first().creation_date is None
 

@@ -26,6 +26,7 @@ from .stats import at_values
 MICROS_PER_SECOND = 1_000_000
 # Patterns are looked up by one gram of this many characters each.
 GRAM = 8
+GRAM_HASHES = 1 << 20
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -44,7 +45,11 @@ def substring_join(left: DataFrame, text_col: str, right: DataFrame, pattern_col
     Each pattern is known by its rarest gram among all patterns, so that a start
     many share (``feature/``) selects nothing. A text's grams equi-join these:
     only keys move, work is linear in the text's length, and texts are compared
-    with the patterns found. Patterns shorter than a gram are a gram themselves."""
+    with the patterns found. Patterns shorter than a gram are a gram themselves.
+
+    Grams whose hash (of GRAM_HASHES values, so bounded whatever the number of
+    patterns) no pattern's gram has are left out where the text is read; only those
+    that can match are shuffled, and none where the patterns fit a broadcast."""
     on, left_key = list(on), list(left_key)
     names = right.select(*on, F.col(pattern_col).alias("_pattern")).where("length(_pattern) > 0").distinct()
     parts = names.select(*on, "_pattern", F.explode(F.array_distinct(
@@ -53,13 +58,17 @@ def substring_join(left: DataFrame, text_col: str, right: DataFrame, pattern_col
     anchored = parts.join(common, [*on, "_gram"]).groupBy(*on, "_pattern").agg(
         F.min(F.struct("_n", "_gram")).alias("_a")).select(*on, "_pattern", F.col("_a._gram").alias("_gram"))
     short = names.where(F.length("_pattern") < GRAM).withColumn("_gram", F.col("_pattern"))
-    lookup = anchored.unionByName(short)
+    # Written, so that its size is known when the join is planned.
+    lookup = staged(anchored.unionByName(short), "name-grams")
     # At most GRAM - 1 lengths.
     lengths = [r[0] for r in short.select(F.length("_pattern")).distinct().collect()]
     text = F.col(text_col)
     keys = F.array_distinct(F.concat(*[_grams(text, n) for n in [GRAM, *lengths]]))
-    found = (left.select(*on, *left_key, F.explode(keys).alias("_gram")).join(lookup, [*on, "_gram"])
-             .select(*on, *left_key, "_pattern").distinct())
+    slot = F.pmod(F.xxhash64(*on, "_gram"), F.lit(GRAM_HASHES)).cast("int").alias("_slot")
+    slots = F.broadcast(lookup.select(slot).distinct())  # at most GRAM_HASHES integers
+    grams = left.select(*on, *left_key, F.explode(keys).alias("_gram"))
+    grams = grams.select("*", slot).join(slots, "_slot", "left_semi").drop("_slot")
+    found = grams.join(lookup, [*on, "_gram"]).select(*on, *left_key, "_pattern").distinct()
     hits = left.join(found, [*on, *left_key]).where(F.instr(text, F.col("_pattern")) > 0)
     return hits.join(right.withColumn("_pattern", F.col(pattern_col)), [*on, "_pattern"]).drop("_pattern")
 

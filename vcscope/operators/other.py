@@ -13,7 +13,7 @@ from ..plans.catalog import register
 from ..tables import Tables
 from .common import DEFAULT_TOP_N, beside, extension, has_keyword, module, r6, ratio, top
 from .stats import running
-from ..functions.timeops import weekday
+from ..functions.timeops import month, weekday
 
 
 @register("timezone_distribution")
@@ -124,6 +124,37 @@ def file_class_counts(t: Tables) -> DataFrame:
     return files.groupBy(*t.scope).agg(F.count("file_path").alias("files"), *[F.count_if(n).alias(n) for n in flags])
 
 
+def named_build(path="file_path") -> F.Column:
+    """A build file by its name, or by the ending of it."""
+    name, ends = F.substring_index(path, "/", -1), F.lit(False)
+    for e in vocab.BUILD_ENDINGS:
+        ends = ends | F.endswith(name, F.lit(e))
+    return name.isin(*vocab.BUILD_NAMES) | ends
+
+
+@register("build_file_activity")
+def build_file_activity(t: Tables) -> DataFrame:
+    """P_BUILD: per build file of the named vocabulary, changes, churn and authors."""
+    fc = t.file_changes.where(named_build())
+    return fc.groupBy(*t.scope, F.substring_index("file_path", "/", -1).alias("build_file")).agg(
+        F.count(F.lit(1)).alias("changes"), F.countDistinct("file_path").alias("files"),
+        F.sum(F.col("additions") + F.col("deletions")).alias("churn"), F.countDistinct("author").alias("authors"))
+
+
+@register("configuration_commits")
+def configuration_commits(t: Tables) -> DataFrame:
+    """K_CONFIG, P_CONFIG: per month, commits that mention configuration or settings
+    or change a configuration file, and those that do both."""
+    own = ["repo_name", "commit_hash"]
+    files = t.file_changes.where(extension("file_path").isin(*vocab.CONFIG_EXTENSIONS)).select(*own).distinct().withColumn(
+        "_file", F.lit(True))
+    c = t.commits.select(*own, "date", has_keyword("message", vocab.CONFIG_KEYWORDS).alias("said")).join(files, own, "left")
+    file = F.coalesce("_file", F.lit(False))
+    return c.where(F.col("said") | file).groupBy(*t.scope, month("date").alias("month")).agg(
+        F.count(F.lit(1)).alias("commits"), F.count_if("said").alias("mentioned"), F.count_if(file).alias("changed"),
+        F.count_if(F.col("said") & file).alias("both"))
+
+
 def keyword_search(t: Tables, terms: Sequence[str] = ("conflict", "readme")) -> DataFrame:
     """Commits whose message or any changed path contains a term
     (case-insensitive); set union of the two hit lists."""

@@ -51,7 +51,8 @@ def productivity_comparison(t: Tables, teams: DataFrame | None = None) -> DataFr
     c = t.commits.select(*t.keys("author", "commit_hash"), churn().alias("lines"))
     unit = "author"
     if teams is not None:
-        c = c.join(teams.select("author", "team"), "author", "left").withColumn(
+        own = [x for x in t.scope if x in teams.columns]  # a list may be of each scope
+        c = c.join(teams.select(*own, "author", "team"), [*own, "author"], "left").withColumn(
             "team", F.coalesce("team", F.lit("(none)")))
         unit = "team"
     g = c.groupBy(*t.scope, unit).agg(F.count(F.lit(1)).alias("commits"), F.sum("lines").alias("churn"))
@@ -63,6 +64,20 @@ def productivity_comparison(t: Tables, teams: DataFrame | None = None) -> DataFr
 register("productivity_comparison")(lambda t: productivity_comparison(t))
 
 
+def home_offsets(t: Tables) -> DataFrame:
+    """author, team: the UTC offset of most of an author's commits (the last in
+    order of several), for where no list of teams is given."""
+    per = t.commits.groupBy(*t.scope, "author", "timezone").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", F.col("timezone"))).alias("m")
+    return per.groupBy(*t.scope, "author").agg(most).select(*t.keys("author"), F.col("m.timezone").alias("team"))
+
+
+@register("productivity_by_team")
+def productivity_by_team(t: Tables) -> DataFrame:
+    """Teams, here of authors of one home offset, compared."""
+    return productivity_comparison(t, home_offsets(t))
+
+
 @register("feature_vs_maintenance")
 def feature_vs_maintenance(t: Tables) -> DataFrame:
     """Per month, maintenance commits (bug-fix or improvement words)

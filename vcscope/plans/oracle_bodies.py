@@ -604,3 +604,44 @@ WHERE c.is_merge = 0 GROUP BY c.repo_name""")
 sql("delimited_rows", f"""
 SELECT 'repo_name, branch_name, is_active, merge_date' AS line
 UNION ALL SELECT concat(repo_name, ', ', branch_name, ', ', is_active, ', ', {iso('merge_date')}) FROM branches""")
+
+# ---------------------------------------------------------------- teams, vocabularies, open SQL
+sql("productivity_by_team", """
+WITH home AS (SELECT author, max({'n': n, 'tz': timezone}).tz AS team
+  FROM (SELECT author, timezone, COUNT(*) AS n FROM commits GROUP BY ALL) GROUP BY author),
+g AS (SELECT team, COUNT(*) AS commits, CAST(SUM(total_additions + total_deletions) AS BIGINT) AS churn
+  FROM commits JOIN home USING (author) GROUP BY team)
+SELECT team, commits, churn, CAST(rank() OVER (ORDER BY commits DESC) AS BIGINT) AS commit_rank,
+  round(percent_rank() OVER (ORDER BY churn), 6) AS churn_percent_rank FROM g""")
+_BUILD_FILE = r"""regexp_matches(split_part(file_path, '/', -1),
+  '(^(pom[.]xml|build[.]gradle|package[.]json|requirements[.]txt|yarn[.]lock|Gemfile|Gemfile[.]lock|Cargo[.]toml|Podfile|Podfile[.]lock)$)|([.](csproj|sln|xcodeproj|gradle)$)|(lock[.](json|yaml|yml)$)')"""
+sql("build_file_activity", f"""
+SELECT split_part(file_path, '/', -1) AS build_file, COUNT(*) AS changes, COUNT(DISTINCT file_path) AS files,
+  CAST(SUM(additions + deletions) AS BIGINT) AS churn, COUNT(DISTINCT author) AS authors
+FROM file_changes WHERE {_BUILD_FILE} GROUP BY 1""")
+sql("configuration_commits", f"""
+WITH hit AS (SELECT c.date, COALESCE(regexp_matches(lower(c.message), 'config files|settings|setup files'), false) AS said,
+    EXISTS (SELECT 1 FROM file_changes f WHERE f.commit_hash = c.commit_hash AND f.repo_name = c.repo_name
+      AND {ext('f.file_path')} IN ('conf', 'cfg', 'ini', 'yaml', 'yml', 'json', 'xml', 'properties', 'toml', 'env')) AS file
+  FROM commits c)
+SELECT strftime(date, '%Y-%m') AS month, COUNT(*) AS commits, COUNT(*) FILTER (WHERE said) AS mentioned,
+  COUNT(*) FILTER (WHERE file) AS changed, COUNT(*) FILTER (WHERE said AND file) AS both
+FROM hit WHERE said OR file GROUP BY 1""")
+sql("adhoc_sql_gaps", """
+SELECT repo_name, year, COUNT(*) AS gaps, round(avg(s) / 86400, 4) AS avg_days, round(max(s) / 86400, 4) AS most_days
+FROM (SELECT repo_name, strftime(date, '%Y') AS year,
+        epoch(date) - epoch(lag(date) OVER (PARTITION BY repo_name ORDER BY date, commit_hash)) AS s FROM commits)
+WHERE s IS NOT NULL GROUP BY repo_name, year""")
+sql("adhoc_sql_releases", f"""
+WITH r AS (SELECT *, lag(tag_name) OVER w AS from_tag, lag(date) OVER w AS from_date FROM ({REL_DATES}) x
+  WINDOW w AS (PARTITION BY repo_name ORDER BY date, tag_name))
+SELECT r.repo_name, r.from_tag, r.tag_name AS to_tag, {iso('r.date')} AS released,
+  CAST(COALESCE(SUM(c.total_additions + c.total_deletions), 0) AS BIGINT) AS churn, COUNT(c.commit_hash) AS commits
+FROM r LEFT JOIN commits c ON c.repo_name = r.repo_name AND c.date > r.from_date AND c.date <= r.date
+WHERE r.from_tag IS NOT NULL GROUP BY ALL""")
+sql("adhoc_sql_patterns", """
+SELECT CASE WHEN file_path GLOB '*/[A-Za-m]*.xml' THEN 'early xml' WHEN starts_with(file_path, 'docs/') THEN 'docs'
+    WHEN lower(file_path) LIKE '%.py' THEN 'python' WHEN instr(file_path, '/') = 0 THEN 'top'
+    ELSE split_part(file_path, '/', 1) END AS kind,
+  COUNT(DISTINCT file_path) AS files, CAST(SUM(additions) AS BIGINT) AS added
+FROM file_changes GROUP BY 1""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -30,6 +31,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("VCSCOPE_DRIVER_MEMORY", "16g"))
     )
     for k, v in SESSION_DEFAULTS.items():
@@ -69,9 +71,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_staged() -> None:
+    for spark, path in _staged:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended; the folder is the cluster's to clean
+            pass
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back:
-    computed once for all readers, and never again when executors are lost."""
+    computed once for all readers, and never again when executors are lost. Removed
+    when the driver's process ends."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vcscope-{name}-{uuid.uuid4().hex}"
+    _staged.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,13 +9,15 @@ the given parquet tables, so the work grows with them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..operators.joins import substring_join
 from ..operators.sequence import segmented_lag
-from ..tables import Tables, clustered
+from ..tables import Store, Tables, clustered
 from .rollup import commit_rollups
 
 
@@ -236,14 +238,17 @@ def index(spark: SparkSession, sf_dir: str, out: str) -> Tables:
     """Write the history tables to ``out`` in stages: file changes first (the
     path classification runs once), then the commit rollups from the written
     file changes, then parents, branches and tags; read everything back."""
-    base = out.rstrip("/")
+    name = uuid.uuid4().hex
+    base = f"{out.rstrip('/')}/{name}"
     cb = commits_base(spark, sf_dir)
     fc = file_changes_from(spark, sf_dir, cb)
     clustered(fc, "file_changes").write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/file_changes")
     fc_w = spark.read.parquet(f"{base}/file_changes")
     commits = commit_rollups(cb.drop("_okey", "_custkey", "_odate"), fc_w)
     clustered(commits, "commits").write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/commits")
-    for name, df in (("commit_parents", parents_from(cb)), ("branches", branches_from(cb)),
-                     ("tags", tags_from(spark, sf_dir))):
-        clustered(df, name).write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/{name}")
-    return Tables.read(spark, base)
+    for table, df in (("commit_parents", parents_from(cb)), ("branches", branches_from(cb)),
+                      ("tags", tags_from(spark, sf_dir))):
+        clustered(df, table).write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/{table}")
+    store = Store(spark, out)
+    store.publish(f"{store.next_number():012d}-{name}")
+    return Tables.read(spark, out)

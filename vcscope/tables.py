@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -79,30 +81,102 @@ class Tables:
         """The scope's columns and ``columns``, each once."""
         return list(dict.fromkeys([*self.scope, *columns]))
 
-    def register_views(self, prefix: str = "") -> None:
-        """Temp views, so that ad-hoc SQL runs over the tables."""
-        for name, df in self.as_dict().items():
-            df.createOrReplaceTempView(prefix + name)
-
     def sql(self, query: str) -> DataFrame:
-        self.register_views()
-        return self.spark.sql(query)
-
-    def write(self, path: str, mode: str = "overwrite") -> None:
+        """Ad-hoc SQL over these tables (E26), under their own names.
+
+        The names are common table expressions before the query, over views of this
+        handle alone: handles side by side (another range, another store) answer
+        each from their own data, and nothing of the session is overwritten. Date and
+        pattern functions of the dialect are there (see ``functions.dialect``)."""
+        from .functions.dialect import register_functions
+        register_functions(self.spark)
+        if "views" not in self.derived:
+            prefix = f"vcscope_{uuid.uuid4().hex}_"
+            for name, df in self.as_dict().items():
+                df.createOrReplaceTempView(prefix + name)
+            self.derived["views"] = ",\n".join(f"{n} AS (SELECT * FROM {prefix}{n})" for n in NAMES)
+        views, own = self.derived["views"], _WITH.match(query)
+        if own is None:
+            return self.spark.sql(f"WITH {views}\n{query}")
+        return self.spark.sql(f"WITH {own.group(1) or ''} {views},\n{query[own.end():]}")
+
+    def write(self, path: str, also: dict[str, DataFrame] | None = None, keep: int = 1) -> str:
         """Table sink: full rebuild, one parquet dataset per table, partitioned
         by repository so per-repo questions prune whole directories. Rows are
         put into ranges of (repository, SORTED_BY) before, so that a repository
         has few files, however many tasks wrote them, and filters on dates or
-        paths skip row groups."""
-        for name, df in self.as_dict().items():
-            clustered(df, name).write.mode(mode).partitionBy("repo_name").parquet(f"{path.rstrip('/')}/{name}")
+        paths skip row groups.
+
+        Every rebuild is a version in a folder of its own, and readers find the
+        newest by a file that is made when all its tables are whole: a rebuild that fails
+        halfway leaves the store as it was, and readers never see tables of two
+        versions. The last ``keep`` versions before stay for jobs that still read them,
+        older ones are removed. ``also``: further datasets of the version. Returns its name."""
+        base, store = path.rstrip("/"), Store(self.spark, path)
+        number, name = store.next_number(), uuid.uuid4().hex
+        for table, df in self.as_dict().items():
+            clustered(df, table).write.partitionBy("repo_name").parquet(f"{base}/{name}/{table}")
+        for table, df in (also or {}).items():
+            df.write.parquet(f"{base}/{name}/{table}")
+        version = f"{number:012d}-{name}"
+        store.publish(version)
+        store.remove_before(number - keep)
+        return version
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> "Tables":
-        base = path.rstrip("/")
+    def read(cls, spark: SparkSession, path: str, version: str | None = None) -> "Tables":
+        """The newest version of a store, or a given one that is still there."""
+        base = data_folder(spark, path, version)
         dfs = {}
         for name in NAMES:
             sch = schema.ALL[name]
             df = spark.read.schema(sch).parquet(f"{base}/{name}")
             dfs[name] = df.select(*sch.fieldNames())  # keep declared column order
         return cls(**dfs)
+
+
+# A query's own WITH (and RECURSIVE), after blanks and comments.
+_WITH = re.compile(r"(?:\s|--[^\n]*\n|/\*.*?\*/)*WITH\s+(RECURSIVE\s)?", re.I | re.S)
+
+
+def data_folder(spark: SparkSession, path: str, version: str | None = None) -> str:
+    """Folder of a version's datasets (the newest one's by default)."""
+    names = Store(spark, path).versions()
+    if version is None and not names:
+        raise FileNotFoundError(f"no finished version of a store in {path}")
+    if version is not None and version not in names:
+        raise FileNotFoundError(f"no version {version} in {path}")
+    return f"{path.rstrip('/')}/{(version or names[-1]).split('-')[1]}"
+
+
+class Store:
+    """The versions of a table store: empty files ``_versions/<number>-<folder>``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path
+        self.base, self.log = path.rstrip("/"), f"{path.rstrip('/')}/_versions"
+        self.fs = self.path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[str]:
+        """Names of the finished versions, oldest first."""
+        if not self.fs.exists(self.path(self.log)):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.path(self.log))]
+        return sorted(n for n in names if re.fullmatch(r"\d{12}-[0-9a-f]{32}", n))
+
+    def next_number(self) -> int:
+        names = self.versions()
+        return int(names[-1].split("-")[0]) + 1 if names else 1
+
+    def publish(self, version: str) -> None:
+        """One file made at once: the version is there, or it is not."""
+        if not self.fs.createNewFile(self.path(f"{self.log}/{version}")):
+            raise FileExistsError(f"{self.log}/{version}")
+
+    def remove_before(self, number: int) -> None:
+        for v in self.versions():
+            n, folder = v.split("-")
+            if int(n) < number:
+                self.fs.delete(self.path(f"{self.log}/{v}"), False)
+                self.fs.delete(self.path(f"{self.base}/{folder}"), True)
