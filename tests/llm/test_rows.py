@@ -61,7 +61,8 @@ def test_redaction(edge, make):
     assert op3_secrets.redacted(edge).count() == edge.count()
 
 
-def test_redaction_of_whole_keys(make):
+def key_texts():
+    """Texts with private keys, and what is left of them."""
     rnd = random.Random(13)
 
     def body(n, last=10, sep="\n"):
@@ -72,7 +73,7 @@ def test_redaction_of_whole_keys(make):
 
     open_ = "-----BEGIN RSA PRIVATE KEY-----\n"
     info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
-    texts = {
+    return {
         1: (f"a\n{key()}\nb", "a\n[R]\nb"),
         2: (f"{key('RSA ')} and {key('EC ')}!", "[R] and [R]!"),
         3: (f"x {open_}{body(3)}==\nAfter the key", "x [R]\nAfter the key"),                    # no END
@@ -88,6 +89,30 @@ def test_redaction_of_whole_keys(make):
         13: (key(text="- " * 50000), "[R]"),
         14: (open_.strip() + body(2, 6, " ") + "= is cut", "[R] is cut"),
     }
+
+
+def test_oracle_finds_the_same_keys(make):
+    import duckdb
+    pairs = [(i, t) for i, (t, _) in key_texts().items()] + [
+        (100, "-----BEGIN PRIVATE KEY-----\nAAAABBBBCCCCDDDDEEEE\nshort\n-----BEGIN EC PRIVATE KEY-----\n------END EC PRIVATE KEY-----"),
+        (101, "-----BEGIN PRIVATE KEY-----\nAAAABBBBCCCCDDDDEEEE==\nshort words follow"),
+        (102, "-----BEGIN PRIVATE KEY-----\r\nAAAABBBBCCCCDDDDEEEE\r\nshort  \r\nwords follow"),
+        (103, "-----BEGIN PRIVATE KEY----- AAAABBBBCCCCDDDDEEEE short=="), (104, None), (105, "-----BEGIN rsa PRIVATE KEY-----")]
+    pairs += [(1000 + i, t) for i, (_, t) in enumerate(edge_pairs())]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", pairs)
+    cur = con.execute(op3_secrets.ORACLE_SQL)
+    names = [d[0] for d in cur.description]
+    want = Counter(tuple(dict(zip(names, r))[c] for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"))
+                   for r in cur.fetchall())
+    got = Counter(map(tuple, op3_secrets.digests(make(pairs)).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()))
+    assert got == want and sum("pem" in k[5] for k in got) > 14
+
+
+def test_redaction_of_whole_keys(make):
+    texts = key_texts()
     docs = make([(i, t) for i, (t, _) in texts.items()])
     got = {r.doc_id: (r.text, r.n_chars) for r in op3_secrets.redacted(docs).collect()}
     want = {i: t.replace("[R]", op3_secrets.REDACTED) for i, (_, t) in texts.items()}

@@ -182,9 +182,30 @@ _SQL_RULES = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
 )
 
+# The rule pem in DuckDB's patterns, which have no references back and no looking
+# ahead: whether the next mark is the END of the same kind follows from positions; else
+# the longer of two ways to read base64, up to a short last line closed by = or by the
+# end of its line.
+_SQL_BREAK = r"(?:[\x20\t\r\n]|\\[rn])"
+_SQL_LINES = (rf"(?:{_SQL_BREAK}*(?:Proc-Type|DEK-Info):[^\r\n\\]*)*"
+              rf"(?:{_SQL_BREAK}*[A-Za-z0-9+/]{{16,}}={{0,2}})+")
+_SQL_INFO = rf"(?:{_SQL_BREAK}*(?:Proc-Type|DEK-Info):[^\r\n\\]*)*"
+_SQL_PEM = rf"""SELECT doc_id, 3 AS nth, 'pem' AS kind, length(head) + CASE
+      WHEN e > 0 AND (b = 0 OR e < b) AND starts_with(substr(rest, e), '-----END ' || key_kind || 'PRIVATE KEY-----')
+        THEN e - 1 + length('-----END ' || key_kind || 'PRIVATE KEY-----')
+      ELSE greatest(length(regexp_extract(rest, '^({_SQL_INFO})', 1)),
+        length(regexp_extract(rest, '^({_SQL_LINES}(?:{_SQL_BREAK}+[A-Za-z0-9+/]+=={{0,1}})?)', 1)),
+        length(regexp_extract(rest, '^({_SQL_LINES}{_SQL_BREAK}+[A-Za-z0-9+/]+)[\x20\t]*(?:[\r\n]|\\[rn]|$)', 1))) END AS n, pos
+    FROM (SELECT *, strpos(rest, '-----BEGIN ') AS b, strpos(rest, '-----END ') AS e,
+            regexp_extract(head, '-----BEGIN ([A-Z ]{{0,40}})PRIVATE KEY-----', 1) AS key_kind
+          FROM (SELECT *, w[i] AS head, substr(t, CAST(pos AS BIGINT) + length(w[i]) + 1) AS rest FROM (
+            SELECT *, list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in w[1:i - 1]]), 0) AS pos
+            FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i
+                  FROM (SELECT doc_id, t, regexp_extract_all(t, '-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----') AS w,
+                          string_split_regex(t, '-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----') AS g FROM d)))))"""
+
 
 def _sql() -> str:
     parts = []
@@ -200,7 +221,7 @@ def _sql() -> str:
     found AS (SELECT doc_id, nth, kind, length(w[i]) AS n,
         list_sum([length(x) for x in g[1:i]])
           + coalesce(list_sum([length(x) for x in w[1:i - 1]]), 0) AS pos
-        FROM each_match WHERE length(p[i]) >= least),
+        FROM each_match WHERE length(p[i]) >= least UNION ALL {_SQL_PEM}),
     per AS (SELECT doc_id, {n}, string_agg(span, ',' ORDER BY pos, nth) AS spans,
         string_agg(span, ',' ORDER BY pos, nth) FILTER (WHERE kind <> 'pem') AS base
         FROM (SELECT *, kind || ':' || CAST(pos AS BIGINT) || ':' || CAST(pos + n AS BIGINT) AS span FROM found) GROUP BY doc_id)
