@@ -8,8 +8,8 @@ EPSILON. Equal sets are one point. The steps:
    shingles missing has no partner. A quarter of all shingles (by hash) shows
    this for most points, all shingles of the rest for most others.
 2. Each point enters the regions of its rarest shingles, as many as make two
-   linked points meet in at least one region. Each region's least point is its
-   pivot; distances to the pivots are exact, a point's nearest pivot is its
+   linked points meet in at least one region. Each region's most central point (that
+   with the most widespread shingles) is its pivot; distances to the pivots are exact, a point's nearest pivot is its
    Voronoi home, and points within EPSILON of a pivot form a class with it.
 3. Regions that hold several classes join across these, recursively. Every point
    meets at most PIVOTS pivots of its region that are of other classes. By the
@@ -18,6 +18,11 @@ EPSILON. Equal sets are one point. The steps:
    boundary of the pivot's cell and is measured against the member. Cells so
    settled leave, and the rest of the region is joined in the same way.
 
+Points meet only where they can still share enough: shingles stand in one order,
+rarest first, so at the first that two sets share nothing before it is common, and
+what is left of either must reach the number that a link takes. A point that differs
+from all its like in shingles of its own meets nobody.
+
 Pairs within a class are never made: they are connected already. Shingles are
 64-bit hashes, sets are known by 128-bit hashes of their shingles. Between tasks
 shingles travel packed by hash bucket, and a shingle counts once per slice of
@@ -43,7 +48,7 @@ from .common import (documents, map_arrow, ship, shuffle_partitions, slices, sta
 
 WORDS = 4
 PERCENT = 85           # link at a similarity of at least so many percent
-BUCKETS_BITS = 10
+BUCKETS_BITS = 10     # shingles travel in 2 ** 10 buckets, more where there is more input
 SAMPLE_MASK = 3        # of the first pass: shingles whose low bits are 0
 PIVOTS = 256           # a region's pivots that are met at one level
 SLICE_SHINGLES = 200_000
@@ -81,11 +86,17 @@ def _may_link(n, missing, percent):
     return (n > 0) & (100 * (n - missing) >= percent * n)
 
 
-def _by_bucket(tokens: np.ndarray):
+def _bucket_bits(df: DataFrame) -> int:
+    """A task holds a bucket at a time: two buckets for each part of the input."""
+    return max(BUCKETS_BITS, (2 * df.rdd.getNumPartitions()).bit_length())
+
+
+def _by_bucket(tokens: np.ndarray, bits: int):
     """(bucket, from, to) of sorted tokens."""
-    cuts = np.searchsorted(tokens >> np.uint64(64 - BUCKETS_BITS), np.arange((1 << BUCKETS_BITS) + 1))
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        yield b, int(cuts[b]), int(cuts[b + 1])
+    bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(bucket) else []
+    for i, j in zip(cuts, [*cuts[1:], len(bucket)]):
+        yield int(bucket[i]), i, j
 
 
 def _runs(batches, key: str):
@@ -110,6 +121,8 @@ _SCAN = "bucket int, ref long, doc_id long, n long, sid binary, tokens binary, r
 def _scan(docs: DataFrame, words: int) -> DataFrame:
     """A row for each document, and for each slice of documents and bucket the
     sampled shingles with the only document of the slice that has them."""
+    bits = _bucket_bits(docs)
+
     def run(batches):
         ref = TaskContext.get().partitionId() << 36
         for b in slices(batches):
@@ -118,7 +131,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
             refs = range(ref, ref + len(sets))
             none = [None] * len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r % (1 << BUCKETS_BITS) for r in refs], pa.int32()), pa.array(refs, pa.int64()),
+                [pa.array([r % (1 << bits) for r in refs], pa.int32()), pa.array(refs, pa.int64()),
                  pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(map(set_id, sets), pa.binary()),
                  pa.array(none, pa.binary()), pa.array(none, pa.binary())], _NAMES)
             row = np.repeat(np.arange(len(sets), dtype=np.uint32), n)
@@ -128,7 +141,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
             order = np.argsort(token, kind="stable")
             token, at, count = np.unique(token[order], return_index=True, return_counts=True)
             row = np.where(count == 1, row[order][at], _MANY).astype("<u4")
-            out = [(k, ref, token[i:j].tobytes(), row[i:j].tobytes()) for k, i, j in _by_bucket(token)]
+            out = [(k, ref, token[i:j].tobytes(), row[i:j].tobytes()) for k, i, j in _by_bucket(token, bits)]
             if out:
                 k, base, t, r = zip(*out)
                 none = [None] * len(out)
@@ -270,6 +283,7 @@ def _counts(points: DataFrame) -> DataFrame:
     def emit(rows, names, types):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
+    bits = _bucket_bits(points)
     types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     names = ["bucket", "slice", "tokens", "counts"]
 
@@ -278,7 +292,7 @@ def _counts(points: DataFrame) -> DataFrame:
             token, n = np.unique(np.concatenate([np.frombuffer(r["tokens"], "<u8") for r in rows]),
                                  return_counts=True)
             n = n.astype("<u4")
-            yield emit([(b, key, token[i:j].tobytes(), n[i:j].tobytes()) for b, i, j in _by_bucket(token)],
+            yield emit([(b, key, token[i:j].tobytes(), n[i:j].tobytes()) for b, i, j in _by_bucket(token, bits)],
                        names, types)
 
     def total(batches):
@@ -304,8 +318,10 @@ def _counts(points: DataFrame) -> DataFrame:
 
 
 def _rarest(points: DataFrame, percent: int) -> DataFrame:
-    """ref, n, tokens, rare: the points that may link, with the shingles others
-    have among as many of the rarest as a linked point cannot all lack."""
+    """ref, n, tokens, missing, rare, common: the points that may link, with the
+    number of shingles that no other has, the shingles others have among as many of
+    the rarest as a linked point cannot all lack (rarest first), and how widespread
+    all of them are."""
     ship(points.sparkSession)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -329,13 +345,16 @@ def _rarest(points: DataFrame, percent: int) -> DataFrame:
             own, c = own[found], count[at[found]]
             length = n + 1 - (percent * n + 99) // 100 - missing  # the missing ones come first
             rare = own[np.lexsort((own, c))[:max(0, length)]]
-            out.append((ref, n, raw, rare.view("<i8").tolist()))
-        ref, n, raw, rare = zip(*out) if out else ((), (), (), ())
+            # Points in the middle of their like have more shingles that many have.
+            common = float(np.log2(c.astype(np.float64)).sum()) / n
+            out.append((ref, n, raw, missing, rare.view("<i8").tolist(), common))
+        ref, n, raw, lack, rare, common = zip(*out) if out else ((), (), (), (), (), ())
         return pa.table([pa.array(ref, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary()),
-                         pa.array(rare, pa.list_(pa.int64()))], ["ref", "n", "tokens", "rare"])
+                         pa.array(lack, pa.int64()), pa.array(rare, pa.list_(pa.int64())),
+                         pa.array(common, pa.float64())], ["ref", "n", "tokens", "missing", "rare", "common"])
 
     pairs = points.groupBy("slice").cogroup(_counts(points).groupBy("slice"))
-    return stage(pairs.applyInArrow(run, "ref long, n long, tokens binary, rare array<long>"),
+    return stage(pairs.applyInArrow(run, "ref long, n long, tokens binary, missing long, rare array<long>, common double"),
                  "jaccard-rarest")
 
 
@@ -370,20 +389,30 @@ def _homes(pivot_links: DataFrame) -> DataFrame:
         F.min(F.struct(at.alias("at"), F.col("y").alias("home"))).alias("h")).select("ref", "h.home", "h.at")
 
 
+def _can_share(n, k, m, j, percent: int):
+    """Whether sets of n and m shingles can link at a region where at most k and j
+    of theirs are still to come (this one included). Shingles come in one order for
+    all sets, rarest first, those of a single set before all others. At the first region
+    two sets share they have nothing in common before it, so at most the lesser of k
+    and j; elsewhere a pair may be left out, since it met there."""
+    return percent * (n + m) <= (100 + percent) * F.least(k, j)
+
+
 def _across(rows: DataFrame, cells: DataFrame, points: DataFrame, percent: int, found: DataFrame) -> DataFrame:
     """``found`` and the links between points of different classes in regions
-    (region, ref, n, cls, home, at), where one of the two is at home with a pivot
-    of ``cells`` (region, home, c, least, most). Every point meets these pivots,
+    (region, ref, n, k, cls, home, at), where one of the two is at home with a pivot
+    of ``cells`` (region, home, c, least, most, best). Every point meets these pivots,
     and classes that get linked so are one from then on. One farther from a pivot
     than a member's distance and EPSILON cannot link to that member; those still
     in another class that stand at the boundary of the pivot's cell are measured
     against it."""
     linked = 100 * F.col("shared") >= percent * F.col("united")
     width = (100 - percent) / 100 + 1e-9
-    fits = ((percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n")))
-    meet = rows.select("region", F.col("ref").alias("x"), "n", "cls").join(cells, "region").where(
+    fits = ((percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n"))
+            & _can_share(F.col("n"), F.col("k"), F.col("least"), F.col("best"), percent))
+    meet = rows.select("region", F.col("ref").alias("x"), "n", "k", "cls").join(cells, "region").where(
         (F.col("cls") != F.col("c")) & (F.col("x") != F.col("home")) & fits).select(
-        "region", "x", "n", F.col("home").alias("y"))
+        "region", "x", "n", "k", F.col("home").alias("y"))
     to_pivot = _measure(meet.select("x", "y").distinct(), points)
     found = found.unionByName(to_pivot.where(linked))
     now = connected_components(found, "x", "y")
@@ -393,10 +422,11 @@ def _across(rows: DataFrame, cells: DataFrame, points: DataFrame, percent: int,
         apart = apart.join(now.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
     apart = apart.where("coalesce(x_label, x) != coalesce(y_label, y)").select("x", "y", "far")
     members = rows.where("ref != home").select(
-        "region", F.col("home").alias("y"), F.col("ref").alias("z"), F.col("n").alias("m"), "at")
+        "region", F.col("home").alias("y"), F.col("ref").alias("z"), F.col("n").alias("m"), F.col("k").alias("j"), "at")
     window = (meet.join(apart, ["x", "y"]).join(members, ["region", "y"])
               .where((F.abs(F.col("far") - F.col("at")) <= width)
-                     & (percent * F.greatest("n", "m") <= 100 * F.least("n", "m"))))
+                     & (percent * F.greatest("n", "m") <= 100 * F.least("n", "m"))
+                     & _can_share(F.col("n"), F.col("k"), F.col("m"), F.col("j"), percent)))
     pairs = window.select(F.greatest("x", "z").alias("x"), F.least("x", "z").alias("y")).distinct()
     return found.unionByName(_measure(pairs, points).where(linked))
 
@@ -406,13 +436,20 @@ def links(points: DataFrame, percent: int = PERCENT, pivots: int = PIVOTS):
     each verified, and the label of every point that has one: (links, labels)."""
     linked = 100 * F.col("shared") >= percent * F.col("united")
     # The regions are the rarest shingles; their pivots give the first classes.
-    regions = points.select(F.explode("rare").alias("region"), "ref", "n").distinct()
-    first = regions.groupBy("region").agg(F.min("ref").alias("pivot"), F.count(F.lit(1)).alias("size"))
-    met = regions.join(first.where("size > 1"), "region").where("ref != pivot")
+    regions = points.select(F.posexplode("rare").alias("place", "region"), "ref", "n", "missing", "common").select(
+        "region", "ref", "n", (F.col("n") - F.col("missing") - F.col("place")).alias("k"), "common").distinct()
+    # The pivot is the point in the middle: most of the others are near to it.
+    middle = F.struct((-F.col("common")).alias("rare"), "ref")
+    first = regions.groupBy("region").agg(F.min(F.struct(middle.alias("m"), "n", "k")).alias("p"),
+                                          F.count(F.lit(1)).alias("size")).where("size > 1")
+    first = stage(first.select("region", F.col("p.m.ref").alias("pivot"), F.col("p.n").alias("m"), F.col("p.k").alias("j")),
+                  "jaccard-first")
+    met = regions.join(first, "region").where(
+        (F.col("ref") != F.col("pivot")) & _can_share(F.col("n"), F.col("k"), F.col("m"), F.col("j"), percent))
     found = _measure(met.select(F.col("ref").alias("x"), F.col("pivot").alias("y")).distinct(), points).where(linked)
     classes = connected_components(found, "x", "y").select(F.col("node").alias("ref"), "label")
     rows = regions.join(classes, "ref", "left").join(_homes(found), "ref", "left").select(
-        "region", "ref", "n", F.coalesce("label", "ref").alias("cls"),
+        "region", "ref", "n", "k", F.coalesce("label", "ref").alias("cls"),
         F.coalesce("home", "ref").alias("home"), F.coalesce("at", F.lit(0.0)).alias("at"))
     while True:
         several = rows.groupBy("region").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
@@ -420,7 +457,7 @@ def links(points: DataFrame, percent: int = PERCENT, pivots: int = PIVOTS):
         if rows.isEmpty():
             return found, connected_components(found, "x", "y")
         cells = rows.groupBy("region", "home").agg(
-            F.min("cls").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+            F.min("cls").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("k").alias("best"))
         taken = stage(cells.withColumn("nth", F.row_number().over(
             Window.partitionBy("region").orderBy("home"))).where(F.col("nth") <= pivots), "jaccard-pivots")
         found = _across(rows, taken, points, percent, found)
@@ -434,13 +471,15 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, pivo
     known = members(docs, words, percent)
     points = _rarest(_points(docs, known, words), percent)
     _, labels = links(points, percent, pivots)
-    # The class of a set: of its point where it links, else its own.
+    # The class of a set: of its point where it links, else its own. Lists are
+    # written, so that the rows of a set or class with many copies can be split.
     refs = _refs(known).select("sid", F.col("ref").alias("node"))
-    named = refs.join(labels, "node").select("sid", "label")
+    named = stage(refs.join(labels, "node").select("sid", "label"), "jaccard-labels")
     rows = known.join(named, "sid", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce(
             F.col("label").cast("string").cast("binary"), F.col("sid"))).alias("class"))
-    least = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    least = stage(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id")),
+                  "jaccard-least")
     return rows.join(least, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
