@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, null_text
+from .common import documents, null_text, stage
 
 
 @dataclass(frozen=True)
@@ -159,7 +159,9 @@ def redacted(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     if findings is None:
         findings, _ = scan(docs)
     order = F.sort_array(F.collect_list(F.struct("start", "end")))
-    spans = findings.groupBy(F.col("blob").alias("_blob")).agg(order.alias("_spans"))
+    # Written, so that the list's size is known: texts stay where they are if it can
+    # be broadcast, and else the rows of a blob with many copies can be split.
+    spans = stage(findings.groupBy(F.col("blob").alias("_blob")).agg(order.alias("_spans")), "secret-spans")
     clean = F.expr(f"""aggregate(_spans, named_struct('at', 0, 'out', ''),
         (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', CASE WHEN s.start >= a.at
             THEN concat(a.out, substring(text, a.at + 1, s.start - a.at), '{REDACTED}') ELSE a.out END),
