@@ -139,6 +139,24 @@ def test_shards(edge):
         start += r.size
 
 
+def test_next_of_many_null_ids(make):
+    """90 % of the rows have no doc_id; they are put into many segments all the same."""
+    rnd = random.Random(17)
+    pairs = [(None if i % 10 else i, " ".join(rnd.choices("abcdefgh", k=9)) + f" {i}") for i in range(1500)]
+    rows = op5_fingerprints.with_next(make(pairs).repartition(6)).collect()
+    own = [r for r in rows if r.guest == 0]
+    sizes = Counter(r.seg for r in own)
+    assert len(own) == 1500 and max(sizes.values()) < 200
+    # From one document to its next, all are reached once, ids descending and nulls last.
+    nexts = Counter(r.next_text for r in own)
+    assert nexts == Counter(t for _, t in pairs)
+    by_text = {t: i for i, t in pairs}
+    steps = [(r.doc_id, by_text[r.next_text]) for r in own]
+    numbered = sorted((a for a, _ in steps if a is not None), reverse=True)
+    assert {(a, b) for a, b in steps if a is not None and b is not None} == set(zip(numbered, numbered[1:]))
+    assert sum(a is None and b is not None for a, b in steps) == 1 == sum(a is not None and b is None for a, b in steps)
+
+
 def bag(t):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", t.lower()) if x]
     return Counter(zip(w, w[1:])) if len(w) > 1 else Counter(w)

@@ -14,7 +14,7 @@ before, so that no sort sees more than a segment and every text moves once.
 Defined results: a null text counts as empty; an empty text has no pairs and the
 fingerprint of only zeros, equal to other empty ones alone; a text of one word
 has that word as its pair; null doc_ids come last; rows of one doc_id follow each
-other by the hash of their text; a single row is its own next document; an empty
+other by the hash of their text, the greatest first; a single row is its own next document; an empty
 table gives no rows; other columns of the input are not read."""
 
 from __future__ import annotations
@@ -84,16 +84,20 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = SEGMENTS_PER_PARTITION * shuffle_partitions(spark)
     # Nulls go below every id; bounds are as many as segments.
-    row = docs.select("doc_id", null_text().alias("text"),
-                      F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place"))
-    tops = [r["top"] for r in row.select("place").repartitionByRange(n, F.desc("place"))
+    # Texts tell rows of one doc_id apart, so that many of them are many segments.
+    row = docs.select("doc_id", null_text().alias("text"), F.struct(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64(null_text()).alias("tie")).alias("place"))
+    tops = [tuple(r["top"]) for r in row.select("place").repartitionByRange(n, F.desc("place"))
             .groupBy(F.spark_partition_id()).agg(F.max("place").alias("top")).collect()]
-    tops = sorted(tops, reverse=True) or [0]
+    tops = sorted(tops, reverse=True) or [(0, 0)]
     # Two steps of lookup: a block of bounds, then within it.
     size = max(1, int(len(tops) ** 0.5))
     blocks = [tops[i:i + size] for i in range(0, len(tops), size)]
-    heads = F.lit([b[0] for b in blocks])
-    lists = F.lit(tops)
+
+    def bounds(rows: list[tuple]) -> Column:
+        return F.arrays_zip(F.lit([r[0] for r in rows]).alias("id"), F.lit([r[1] for r in rows]).alias("tie"))
+
+    heads, lists = bounds([b[0] for b in blocks]), bounds(tops)
     row = row.withColumn("block", F.size(F.filter(heads, lambda x: x >= F.col("place"))) - 1)
     row = row.withColumn("seg", F.col("block") * size + F.size(F.filter(
         F.slice(lists, F.col("block") * size + 1, size), lambda x: x >= F.col("place"))) - 1)
@@ -103,8 +107,8 @@ def with_next(docs: DataFrame) -> DataFrame:
                                   F.struct(before.alias("seg"), F.lit(1).alias("guest")))).otherwise(
         F.array(F.struct("seg", F.lit(0).alias("guest"))))
     row = row.select("doc_id", "text", "place", F.explode(where).alias("at")).select(
-        "at.seg", "at.guest", "doc_id", "place", "text", F.xxhash64("text").alias("tie"))
-    order = Window.partitionBy("seg").orderBy("guest", F.desc("place"), "tie")
+        "at.seg", "at.guest", "doc_id", "place", "text")
+    order = Window.partitionBy("seg").orderBy("guest", F.desc("place"))
     return row.repartition(n, "seg").select(
         "seg", F.row_number().over(order).alias("nth"), "doc_id", "guest", "text",
         F.lead("text").over(order).alias("next_text"))
