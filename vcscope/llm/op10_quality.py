@@ -126,7 +126,10 @@ def _removed(measured: DataFrame, line_documents: int) -> DataFrame:
     lines = measured.select(
         "row", "doc_id", "signature", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select(
         "row", "doc_id", "signature", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("words"))
-    return lines.join(frequent_lines(measured, line_documents), "key").where("signature != owner")
+    # Written, so that both sides are plain exchanges (or the list is broadcast for
+    # its size) and the rows of a very frequent line can be split.
+    frequent = stage(frequent_lines(measured, line_documents), "quality-lines")
+    return lines.join(frequent, "key").where("signature != owner")
 
 
 def _judged(measured: DataFrame, removed: DataFrame) -> DataFrame:
