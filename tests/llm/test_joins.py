@@ -164,11 +164,11 @@ def line_pairs(seed, n=40):
     return pairs
 
 
-@pytest.mark.parametrize("group_pairs", [4096, 6])
-def test_dropped_lines(make, group_pairs):
+@pytest.mark.parametrize("heads, split_over", [(64, 4096), (2, 4), (3, 4096)])
+def test_dropped_lines(make, heads, split_over):
     pairs = line_pairs(5) + [(None, "a line of the null id, twenty"), (2000, None), (2001, "")]
     got = Counter((r.doc_id, tuple(r.dropped)) for r in
-                  op7_lines.dropped_lines(make(pairs).repartition(3), group_pairs=group_pairs).collect())
+                  op7_lines.dropped_lines(make(pairs).repartition(3), heads=heads, split_over=split_over).collect())
     assert got == brute_drops(pairs)
 
 
@@ -190,8 +190,8 @@ def test_dropped_lines_on_edges(make):
     assert all(r.n_chars == len(r.text or "") for r in out.collect())
 
 
-@pytest.mark.parametrize("group_pairs", [4096, 6])
-def test_short_lines(make, group_pairs):
+@pytest.mark.parametrize("heads, split_over", [(64, 4096), (2, 4)])
+def test_short_lines(make, heads, split_over):
     """Equal lines of any length go, near ones from tau + 1 characters on."""
     rnd = random.Random(8)
     lines = ["".join(rnd.choices("abcdefgh", k=rnd.randint(1, 19))) for _ in range(150)]
@@ -203,7 +203,7 @@ def test_short_lines(make, group_pairs):
             if s in seen or any(min(len(s), len(x)) > 2 and distance(s, x) <= 2 for x in seen):
                 want[i].append(n)
             seen.append(s)
-    rows = op7_lines.dropped_lines(make(pairs).repartition(3), group_pairs=group_pairs).collect()
+    rows = op7_lines.dropped_lines(make(pairs).repartition(3), heads=heads, split_over=split_over).collect()
     assert {r.doc_id: r.dropped for r in rows} == want
     out = {r.doc_id: r.text for r in op7_lines.deduped(make([(1, "Les.\nab"), (2, "ab\n Les.\ncd"), (3, "Les.")])).collect()}
     assert out == {1: "Les.\nab", 2: "cd"}
@@ -214,6 +214,59 @@ def test_repeated_rows_of_lines(edge):
     assert op7_lines.deduped(edge).columns == edge.columns
 
 
+def test_deduped_with_repeated_and_null_ids(spark, make):
+    """Rows of one doc_id lose their own lines and no others; null ids come last."""
+    rnd = random.Random(21)
+    lines = [" ".join(rnd.choices(["alpha", "beta", "gamma", "delta", "omega", "sigma"], k=6)) for _ in range(25)]
+    pairs = [(i // 3, "\n".join(rnd.choices(lines, k=4) + [f"own {i} of these many words {i * 7919}"])) for i in range(30)]
+    pairs += [(1, "a start of its own, long enough\n" + lines[0]), (2, lines[0] + "\nanother wholly different start"),
+              (2, "a start of its own, long enoogh\nand what only this row says, seen nowhere else")]
+    pairs += [(None, pairs[0][1])] * 2 + [(None, "only a row without an id says this\n" + lines[3])] * 3
+    pairs += [(7, "said twice in equal rows, and nowhere else")] * 2 + [(50, ""), (50, ""), (51, None), (51, None), (None, " ")]
+    rnd.shuffle(pairs)
+    df = make(pairs)
+    sig = {r.text: r.sig for r in df.select("text", op7_lines._sig()).collect()}
+    rows = sorted(pairs, key=lambda p: (p[0] is None, p[0] or 0, sig[p[1]]))
+    seen, out, told, before = [], Counter(), set(), None
+    for i, t in rows:
+        if (i, t) == before and (t or "").split():
+            continue  # a repeat has nothing that wasn't said before
+        before = (i, t)
+        keep = [no for no, s in enumerate((t or "").split("\n")) if not s.strip()]
+        for no, s in op7_lines.lines_of(t or ""):
+            if s not in told and not any(distance(s, y) <= 2 for y in seen):
+                keep.append(no)
+            if s not in told:
+                told.add(s)
+                seen.append(s)
+        left = "\n".join(s for no, s in enumerate((t or "").split("\n")) if no in keep)
+        if len(keep) == len((t or "").split("\n")):
+            out[i, t] += 1
+        elif left.strip():
+            out[i, left] += 1
+    got = op7_lines.deduped(df.repartition(4))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == out
+    dropped = op7_lines.dropped_lines(df.repartition(4)).where("doc_id = 7 AND n_lines = 1").collect()
+    assert sorted(len(r.dropped) for r in dropped) == [0, 1]
+
+
+def test_lines_of_a_hot_group(spark, make):
+    """Variants of one line in very many documents: rows of a group, not pairs."""
+    rnd = random.Random(22)
+    base = "the very common line that many documents hold"
+    pairs = []
+    for i in range(600):
+        s = list(base)
+        s[rnd.randrange(len(s))] = rnd.choice("xyz")
+        pairs.append((i, "".join(s) + f"\n{rnd.randint(0, 10**12)} and {rnd.randint(0, 10**12)}"))
+    docs = make(pairs).repartition(3)
+    rows = op7_lines.dropped_lines(docs).collect()
+    assert {r.doc_id for r in rows if 0 in r.dropped} == set(range(1, 600))
+    members = op7_lines._members(op7_lines._packed_keys(docs, 2, 10))
+    # Each line is a member once a key: its segments and the starts probed.
+    assert members.count() <= 15 * members.select("id").distinct().count()
+
+
 @pytest.mark.parametrize("op", [op1_jaccard.components, op7_lines.dropped_lines, op7_lines.deduped])
 def test_empty_table(none, op):
     assert op(none).count() == 0
