@@ -84,11 +84,17 @@ def _remove_staged() -> None:
             pass
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder, removed when the driver's process ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vcscope-{name}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back:
     computed once for all readers, and never again when executors are lost. Removed
     when the driver's process ends."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vcscope-{name}-{uuid.uuid4().hex}"
-    _staged.append((df.sparkSession, path))
+    path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -36,6 +36,8 @@ class Tables:
     tags: DataFrame
     # Columns that every key of an operator starts with (see ``by_repo``).
     scope: tuple[str, ...] = ()
+    # Folder of the keyword index that was written with these tables, if one was.
+    search: str | None = None
     # What operators have derived from these tables and written, to be read again.
     derived: dict = field(default_factory=dict, compare=False, repr=False)
 
@@ -62,7 +64,7 @@ class Tables:
 
     def of_repos(self, *repos: str) -> "Tables":
         """The history of some repositories; the filter prunes their folders."""
-        return replace(self, derived={}, **{n: df.where(F.col("repo_name").isin(*repos)) for n, df in self.as_dict().items()})
+        return replace(self, search=None, derived={}, **{n: df.where(F.col("repo_name").isin(*repos)) for n, df in self.as_dict().items()})
 
     def by_repo(self) -> "Tables":
         """The same tables, each repository for itself: operators put ``repo_name``
@@ -100,7 +102,7 @@ class Tables:
             return self.spark.sql(f"WITH {views}\n{query}")
         return self.spark.sql(f"WITH {own.group(1) or ''} {views},\n{query[own.end():]}")
 
-    def write(self, path: str, also: dict[str, DataFrame] | None = None, keep: int = 1) -> str:
+    def write(self, path: str, also: dict[str, DataFrame] | None = None, keep: int = 1, search: bool = False) -> str:
         """Table sink: full rebuild, one parquet dataset per table, partitioned
         by repository so per-repo questions prune whole directories. Rows are
         put into ranges of (repository, SORTED_BY) before, so that a repository
@@ -111,13 +113,17 @@ class Tables:
         newest by a file that is made when all its tables are whole: a rebuild that fails
         halfway leaves the store as it was, and readers never see tables of two
         versions. The last ``keep`` versions before stay for jobs that still read them,
-        older ones are removed. ``also``: further datasets of the version. Returns its name."""
+        older ones are removed. ``also``: further datasets of the version; ``search``:
+        its keyword index too. Returns the version's name."""
         base, store = path.rstrip("/"), Store(self.spark, path)
         number, name = store.next_number(), uuid.uuid4().hex
         for table, df in self.as_dict().items():
             clustered(df, table).write.partitionBy("repo_name").parquet(f"{base}/{name}/{table}")
         for table, df in (also or {}).items():
             df.write.parquet(f"{base}/{name}/{table}")
+        if search:
+            from .operators.search import write_index
+            write_index(self, f"{base}/{name}/search")
         version = f"{number:012d}-{name}"
         store.publish(version)
         store.remove_before(number - keep)
@@ -132,7 +138,8 @@ class Tables:
             sch = schema.ALL[name]
             df = spark.read.schema(sch).parquet(f"{base}/{name}")
             dfs[name] = df.select(*sch.fieldNames())  # keep declared column order
-        return cls(**dfs)
+        index = Store(spark, path).path(f"{base}/search")
+        return cls(**dfs, search=index.toString() if Store(spark, path).fs.exists(index) else None)
 
 
 # A query's own WITH (and RECURSIVE), after blanks and comments.
