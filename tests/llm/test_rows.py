@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from vcscope.llm import op3_secrets, op4_sharding, op5_fingerprints, op6_toxicity, op10_quality
 from .conftest import edge_pairs
@@ -186,6 +188,48 @@ def test_fingerprints(edge):
     assert all(set(r.fingerprint) == {"0"} for r in empty)
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark: each value's hash is the seed of the next."""
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def sampled(t, samples):
+    """Consistent weighted samples of a text, one term after the other."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t.lower()) if x]
+    terms = Counter(spark_hash(*p) & -4 for p in (zip(w, w[1:]) if len(w) > 1 else [(x,) for x in w]))
+
+    def unit(h, shift):
+        return ((h >> shift & 0x1FFFFF) + 0.5) / (1 << 21)
+
+    out = ""
+    for k in range(samples):
+        best = None
+        for term, n in terms.items():
+            h, g = spark_hash(term, (k,)), spark_hash(term, (k,), (1,))
+            r, b = -math.log(unit(h, 0) * unit(h, 21)), unit(h, 42)
+            step = math.floor(math.log(n) / r + b)
+            value = math.log(-math.log(unit(g, 0) * unit(g, 21))) - r * (step - b) - r
+            this = (int((value + 128) * (1 << 23)), spark_hash(term, (k,), step) & 0xFFFFFFFF)
+            best = this if best is None else min(best, this)
+        out += f"{best[1] if best else 0:08X}"
+    return out
+
+
+def test_fingerprints_equal_a_plain_sampler(make):
+    rnd = random.Random(23)
+    texts = [" ".join(rnd.choices(["red", "green", "blue", "cyan", "Rot", "é"], k=rnd.randint(0, 60))) for _ in range(40)]
+    texts += ["one", "", None, "a a a a a a a a a a", "x\ty  z\nx\ty"]
+    for r in op5_fingerprints.fingerprints(make(list(enumerate(texts)))).collect():
+        t, u = texts[r.doc_id] or "", texts[r.doc_id - 1] or ""  # the next in descending doc_id
+        edited = t[:len(t) - len(t) // 3] + u[:len(t) // 3]
+        assert r.fingerprint == sampled(t, op5_fingerprints.SAMPLES), t
+        assert r.edited_fingerprint == sampled(edited, op5_fingerprints.SAMPLES), (t, u)
+
+
 def test_toxicity(spark, make):
     rnd = random.Random(3)
     neutral = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(400)]
