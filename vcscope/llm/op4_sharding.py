@@ -68,3 +68,19 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(documents(spark, sf_dir))
+
+
+# CRC-32 by its rule: eight shifts of a byte make a table's entry.
+ORACLE_SQL = f"""WITH crc_table AS (SELECT list(c ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_prepend(b, range(1, 9)),
+  lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+  FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS b))),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + {FRAME_BYTES} AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(range(0, length(h) // 2), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT))),
+    lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]))) AS BIGINT) AS text_crc32 FROM d, crc_table),
+placed AS (SELECT *, coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    sum(size) OVER () AS total, row_number() OVER o AS nth
+  FROM s WINDOW o AS (ORDER BY doc_id NULLS FIRST, size, text_crc32)),
+cut AS (SELECT *, CAST(least({SHARDS - 1}, (2 * start + size) * {SHARDS} // (2 * total)) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, CAST(start AS BIGINT) AS prefix_bytes FROM cut"""

@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_secret_scans": op3_secrets.ORACLE_SQL,
+    "op4_sharding": op4_sharding.ORACLE_SQL,
     "op10_quality_rules": op10_quality.ORACLE_SQL,
     "op11_exact_dedup": op11_exact.ORACLE_SQL,
     "op12_filter_audit": op12_audit.ORACLE_SQL,
