@@ -96,3 +96,36 @@ def test_only_grams_that_can_match_are_joined(spark):
     assert sorted(r.id for r in got.collect()) == list(range(0, 2000, 100))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_a_query_makes_only_the_tables_it_reads(spark):
+    from vcscope.sources import fixtures
+    from vcscope.tables import NAMES
+    asked = []
+    whole = fixtures.load(spark, SF_SMALL)
+    t = Tables(**{n: lambda n=n: asked.append(n) or getattr(whole, n) for n in NAMES})
+    assert t.by_repo().of_repos("BUILDING").commits.count() == whole.commits.where("repo_name = 'BUILDING'").count()
+    assert asked == ["commits"]
+    assert t.between("1996-01-01", None).tags.count() > 0 and asked == ["commits", "tags"]
+    assert t.sql("SELECT COUNT(*) AS n FROM branches").first().n == whole.branches.count()
+    assert asked == ["commits", "tags", "branches"]
+
+
+def test_totals_of_orders_and_parts_given_twice(spark, tmp_path):
+    from vcscope.sources import fixtures
+    from vcscope.sources.rollup import ROLLUPS, rollup_exprs
+    for name in ("customer", "orders", "lineitem", "part"):
+        df = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        key = df.columns[0]
+        if name == "lineitem":
+            odd = df.limit(20).withColumn(key, F.lit(None).cast("long"))
+        else:
+            odd = df.where(F.col(key) % 3 == 0)
+        df.unionByName(odd).write.parquet(str(tmp_path / f"{name}.parquet"))
+    t = fixtures.load(spark, str(tmp_path))
+    own = ["repo_name", "commit_hash"]
+    sums = {r[:2]: r[2:] for r in t.file_changes.groupBy(*own).agg(*rollup_exprs()).collect()}
+    got = t.commits.select(*own, *ROLLUPS).collect()
+    assert len(got) > 1500 and len({r[:2] for r in got}) < len(got)
+    for r in got:
+        assert r[2:] == sums.get(r[:2], (0,) * len(ROLLUPS))

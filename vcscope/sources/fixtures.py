@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import classify
 from ..operators.joins import substring_join
 from ..operators.sequence import segmented_lag
-from ..tables import Store, Tables, clustered
-from .rollup import commit_rollups
+from ..tables import NAMES, Tables, clustered, read_table
+from .rollup import ROLLUPS, rollup_exprs
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +63,9 @@ def commits_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def file_changes_from(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                                 "l_quantity", "l_discount")
+def parts_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p_partkey, file_path and its classes: the path depends on the part only, so it is
+    built and classified once per part, before the join with the (much larger) line items."""
     p = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     n = F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_"), _s("p_partkey"))
     t = F.lower("p_type")
@@ -79,20 +80,31 @@ def file_changes_from(spark: SparkSession, sf_dir: str, commits: DataFrame) -> D
              .when(k == 7, F.concat(F.lit("db/"), t, F.lit("/"), n, F.lit(".sql")))
              .when(k == 8, F.concat(F.lit("lib/"), t, F.lit("/"), n, F.lit(".py")))
              .otherwise(F.concat(t, F.lit("/README.md"))))
-    # the path depends on the part only: build and classify it once per part,
-    # before the join with the (much larger) line items
-    parts = classify.with_flags(p.select("p_partkey", path.alias("file_path")), "file_path")
+    return classify.with_flags(p.select("p_partkey", path.alias("file_path")), "file_path")
+
+
+def _change_type() -> F.Column:
     ln = F.col("l_linenumber") % 7
+    return F.when(ln == 1, "A").when(ln == 6, "D").when(ln == 0, "R").otherwise("M")
+
+
+def _lines() -> dict[str, F.Column]:
+    return {"additions": F.round("l_quantity").cast("long"), "deletions": F.round(F.col("l_discount") * 100).cast("long")}
+
+
+def file_changes_from(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                 "l_quantity", "l_discount")
+    parts = parts_from(spark, sf_dir)
     cm = commits.select("_okey", "commit_hash", "repo_name", "author")
     j = li.join(cm, li.l_orderkey == cm._okey, "inner").join(parts, li.l_partkey == parts.p_partkey, "inner")
     return j.select(
         F.xxhash64("repo_name", "commit_hash", "file_path", "l_linenumber", "l_partkey", "l_suppkey",
-                   F.round("l_quantity").cast("long"), F.round(F.col("l_discount") * 100).cast("long")).alias("id"),
+                   *_lines().values()).alias("id"),
         "commit_hash", "repo_name", "author",
-        F.when(ln == 1, "A").when(ln == 6, "D").when(ln == 0, "R").otherwise("M").alias("change_type"),
+        _change_type().alias("change_type"),
         "file_path",
-        F.round("l_quantity").cast("long").alias("additions"),
-        F.round(F.col("l_discount") * 100).cast("long").alias("deletions"),
+        *[c.alias(n) for n, c in _lines().items()],
         "is_test_file", "is_build_file", "is_dot_file", "is_documentation_file",
         F.lit(None).cast("int").alias("similarity"), F.lit(None).cast("string").alias("new_path"),
     )
@@ -140,11 +152,9 @@ def parents_from(commits: DataFrame) -> DataFrame:
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     """Lazy history tables derived from the driver tables in ``sf_dir``."""
     cb = commits_base(spark, sf_dir)
-    fc = file_changes_from(spark, sf_dir, cb)
-    commits = commit_rollups(cb.drop("_okey", "_custkey", "_odate"), fc)
     return Tables(
-        commits=commits,
-        file_changes=fc,
+        commits=commits_from(spark, sf_dir, cb),
+        file_changes=file_changes_from(spark, sf_dir, cb),
         commit_parents=parents_from(cb),
         branches=branches_from(cb),
         tags=tags_from(spark, sf_dir),
@@ -234,21 +244,33 @@ SELECT commit_hash, repo_name, p1 AS parent_hash FROM parent_lags WHERE p1 IS NO
 UNION ALL SELECT commit_hash, repo_name, p2 FROM parent_lags WHERE is_merge = 1 AND p2 IS NOT NULL)"""
 
 
-def index(spark: SparkSession, sf_dir: str, out: str) -> Tables:
-    """Write the history tables to ``out`` in stages: file changes first (the
-    path classification runs once), then the commit rollups from the written
-    file changes, then parents, branches and tags; read everything back."""
-    name = uuid.uuid4().hex
-    base = f"{out.rstrip('/')}/{name}"
+def commits_from(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
+    """Commits with their totals, summed per order before any commit is joined. Orders
+    given twice have the changes of either, so a sum counts once for each order of its
+    key in a repository (as it does for the file changes)."""
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", _change_type().alias("change_type"),
+                                                 *[c.alias(n) for n, c in _lines().items()])
+    parts = parts_from(spark, sf_dir)
+    sums = li.join(parts, li.l_partkey == parts.p_partkey).groupBy("l_orderkey").agg(*rollup_exprs())
+    orders = Window.partitionBy("_okey", "repo_name")
+    times = F.when(F.col("repo_name").isNotNull(), F.count(F.lit(1)).over(orders))
+    joined = commits.withColumn("_times", times).join(sums, F.col("_okey") == F.col("l_orderkey"), "left")
+    return joined.withColumns({n: F.coalesce(F.col(n) * F.col("_times"), F.lit(0).cast("long")) for n in ROLLUPS}).select(
+        *schema.COMMITS.fieldNames())
+
+
+def lazy_index(spark: SparkSession, sf_dir: str, out: str) -> Tables:
+    """The history tables, each written below ``out`` and read back when it is first
+    asked for: a query pays for the tables that it reads."""
+    base = f"{out.rstrip('/')}/{uuid.uuid4().hex}"
     cb = commits_base(spark, sf_dir)
-    fc = file_changes_from(spark, sf_dir, cb)
-    clustered(fc, "file_changes").write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/file_changes")
-    fc_w = spark.read.parquet(f"{base}/file_changes")
-    commits = commit_rollups(cb.drop("_okey", "_custkey", "_odate"), fc_w)
-    clustered(commits, "commits").write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/commits")
-    for table, df in (("commit_parents", parents_from(cb)), ("branches", branches_from(cb)),
-                      ("tags", tags_from(spark, sf_dir))):
-        clustered(df, table).write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/{table}")
-    store = Store(spark, out)
-    store.publish(f"{store.next_number():012d}-{name}")
-    return Tables.read(spark, out)
+    make = {"commits": lambda: commits_from(spark, sf_dir, cb), "file_changes": lambda: file_changes_from(spark, sf_dir, cb),
+            "commit_parents": lambda: parents_from(cb), "branches": lambda: branches_from(cb),
+            "tags": lambda: tags_from(spark, sf_dir)}
+
+    def written(name: str) -> DataFrame:
+        clustered(make[name](), name).write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/{name}")
+        return read_table(spark, f"{base}/{name}", name)
+
+    return Tables(**{n: lambda n=n: written(n) for n in NAMES})
+
