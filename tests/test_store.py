@@ -129,3 +129,9 @@ def test_totals_of_orders_and_parts_given_twice(spark, tmp_path):
     assert len(got) > 1500 and len({r[:2] for r in got}) < len(got)
     for r in got:
         assert r[2:] == sums.get(r[:2], (0,) * len(ROLLUPS))
+
+
+def test_releases_meet_commits_by_the_hour(tables):
+    from vcscope.operators.ingestion import adhoc_sql_releases
+    plan = adhoc_sql_releases(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "hour" in plan.split("LeftOuter")[1].split("\n")[0]
