@@ -54,3 +54,10 @@ def test_vocabularies_of_operators_and_oracle_are_one():
     assert all(f"'{e}'" in oracle.BODIES["configuration_commits"] for e in vocab.CONFIG_EXTENSIONS)
     assert all(w in oracle.BODIES["configuration_commits"] for w in vocab.CONFIG_KEYWORDS)
     assert all(n.replace(".", "[.]") in oracle.BODIES["build_file_activity"] for n in vocab.BUILD_NAMES)
+
+
+def test_required_literals():
+    assert classify.required_literal(r".*Test\.(java|kt)$") == "Test."
+    assert classify.required_literal(r".*lock.json$") in ("lock", "json")
+    assert classify.required_literal(classify.DOT_FILE_PATTERN) == "."
+    assert classify.required_literal(r"ab?c+") == ""  # unknown: nothing is required

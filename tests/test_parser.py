@@ -256,3 +256,11 @@ def test_parse_shuffles_for_repeated_records_only(spark):
     records = spark.createDataFrame([], "repo_name string, ordinal struct<file_name:string,row:long>, record string")
     plan = gitlog.parse_commits(records)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_parsed_records_are_not_sorted_to_find_repeated_ones(spark):
+    rows = [("r", ("f", n), f"{h}\nauthor:A\nmessage:\nm{n}\n\nnumstat:\n") for n, h in enumerate(["abc1", "abc2", "abc1"])]
+    records = spark.createDataFrame(rows, "repo_name string, ordinal struct<file_name:string,row:long>, record string")
+    parsed = gitlog.parse_commits(records)
+    assert "min_by" not in parsed._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.commit_hash, r.message) for r in parsed.collect()) == [("abc1", "m0"), ("abc2", "m1")]
