@@ -86,16 +86,23 @@ def defect_risk(t: Tables, cut: float = 0.7, n: int = DEFAULT_TOP_N) -> DataFram
     bounds = t.commits.groupBy(*t.scope).agg((F.min(at) + F.lit(cut) * (F.max(at) - F.min(at))).alias("cut_us"))
     c = beside(fix_flags(t), bounds, t.scope).select("commit_hash", "repo_name", "is_fix",
                                                      (at <= F.col("cut_us")).alias("early"))
-    fc = t.file_changes.join(c, ["commit_hash", "repo_name"])
-    early = lambda x: F.when(F.col("early"), x)
-    files = fc.groupBy(*t.scope, "file_path").agg(
-        F.count_if("early").alias("changes_before"),
-        F.sum(early(F.col("additions") + F.col("deletions"))).alias("churn_before"),
-        F.countDistinct(early(F.col("author"))).alias("authors_before"),
-        F.countDistinct(F.when(~F.col("early") & F.col("is_fix"), F.struct("repo_name", "commit_hash"))).alias("fixes_after"))
-    files = staged(files.where("changes_before > 0"), "defect-risk")
-    rank = mean_percent_rank(files, "file_path", ["changes_before", "churn_before", "authors_before"], "risk", t.scope)
-    r = files.join(rank, t.keys("file_path")).select(*t.keys("file_path"), "changes_before", "churn_before", "authors_before",
+    lines = F.col("additions") + F.col("deletions")
+    fc = t.file_changes.select("commit_hash", "repo_name", "file_path", "author", lines.alias("lines")).join(
+        c, ["commit_hash", "repo_name"]).where("early OR is_fix")
+    # One row of a commit's file and early author, so that nothing is told apart after the
+    # shuffle but the authors of a file.
+    who = F.when(F.col("early"), F.col("author")).alias("who")
+    per = fc.groupBy("commit_hash", "repo_name", "file_path", "early", who).agg(
+        F.count_if("early").alias("changes"), F.sum(F.when(F.col("early"), F.col("lines"))).alias("churn"))
+    by_author = per.groupBy(*t.scope, "file_path", "who").agg(
+        F.sum("changes").alias("changes"), F.sum("churn").alias("churn"), F.count_if(~F.col("early")).alias("fixes"))
+    files = by_author.groupBy(*t.scope, "file_path").agg(
+        F.sum("changes").alias("changes_before"), F.sum("churn").alias("churn_before"),
+        F.count("who").alias("authors_before"), F.sum("fixes").alias("fixes_after"))
+    # Numbers of the written files stand for their paths.
+    files = staged(files.where("changes_before > 0").withColumn("_no", F.monotonically_increasing_id()), "defect-risk")
+    rank = mean_percent_rank(files, "_no", ["changes_before", "churn_before", "authors_before"], "risk", t.scope)
+    r = files.dropna(subset=["file_path"]).join(rank, t.keys("_no")).select(*t.keys("file_path"), "changes_before", "churn_before", "authors_before",
                                              r6("risk").alias("risk_score"), "fixes_after")
     return top(r, n, F.desc("risk_score"), F.asc("file_path"), scope=t.scope)
 
