@@ -71,7 +71,7 @@ def host_key(host: str | None) -> bytes:
 
 
 def _measure(text: bytes, host: bytes):
-    parts = [np.fromiter(map(word_hash.__getitem__, w), dtype=np.uint64, count=len(w))
+    parts = [np.fromiter(map(word_hash, w), dtype=np.uint64, count=len(w))
              for w in word_blocks(text)]
     words = parts[0] if len(parts) == 1 else np.concatenate(parts)
     tri = triples(words) if len(words) >= 3 else words[:0]

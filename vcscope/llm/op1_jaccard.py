@@ -60,7 +60,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the ``words``-word shingles (ASCII letters in
     lower case); of the whole sequence where it is shorter."""
-    parts = [np.fromiter(map(word_hash.__getitem__, w), dtype=np.uint64, count=len(w))
+    parts = [np.fromiter(map(word_hash, w), dtype=np.uint64, count=len(w))
              for w in word_blocks(text.lower())]
     h = parts[0] if len(parts) == 1 else np.concatenate(parts)
     if not len(h):
