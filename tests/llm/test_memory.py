@@ -4,7 +4,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from vcscope.llm import op1_jaccard, op10_quality
+from vcscope.llm import bpe, op1_jaccard, op10_quality
 from vcscope.llm.common import SLICE_BYTES, map_arrow
 
 
@@ -44,3 +44,18 @@ def test_words_of_earlier_texts_are_not_held():
     finally:
         tracemalloc.stop()
     assert held < 4 << 20
+
+
+def test_words_of_a_packing_task_are_not_held():
+    path = bpe.tokenizer_path(bpe.WORD_LEVEL)
+    bpe.load(path, False)
+    tracemalloc.start()
+    try:
+        for k in range(2):
+            text = b" ".join(b"word%d" % i for i in range(50_000 * k, 50_000 * (k + 1)))
+            assert len(bpe.id_bytes_many([text], bpe.word_ids(path))[0]) > 4 * 50_000
+        del text
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 4 << 20

@@ -162,8 +162,8 @@ def byte_ids(path: str) -> ByteLevel:
     return ByteLevel(path, tuple)
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> Pieces:
+    """For one task: a worker holds none of its words while it runs other tasks."""
     return Pieces(_by_library(path, False), lambda ids: np.array(ids, dtype="<u4").tobytes())
 
 
