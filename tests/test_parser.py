@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import tempfile
 
 import pytest
@@ -264,3 +265,35 @@ def test_parsed_records_are_not_sorted_to_find_repeated_ones(spark):
     parsed = gitlog.parse_commits(records)
     assert "min_by" not in parsed._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.commit_hash, r.message) for r in parsed.collect()) == [("abc1", "m0"), ("abc2", "m1")]
+
+
+def test_bodies_are_put_back_where_files_are_read(spark, tmp_path, monkeypatch):
+    """Records are not written as text but at the edges of a file's blocks, whatever batch or block
+    a body's pieces are in. Before, all texts were written twice and joined with their bodies."""
+    r, text, want = random.Random(4), "", {"no record yet": 0}
+    for k in range(400):
+        pieces = [f" piece {k}.{i} " + "x" * r.randrange(60) for i in range(r.choice([0, 0, 0, 1, 2, 30]))]
+        body = "\ncommit:".join([f"m{k}", *pieces])
+        want[f"{k:04x}"] = "\n".join(x for x in body.split("\n") if x.strip()).strip()
+        text += f"commit:{k:04x}\nauthor:A\ndate:2024-01-01T00:00:00Z\nparents:\nmessage:\n{body}\n\nnumstat:\n\n"
+    del want["no record yet"]
+    for name in ("one.log", "two.log"):
+        (tmp_path / name).write_text(f"commit: lost\ncommit: lost too\n{text}")
+    texts, staged = [], gitlog.staged
+    monkeypatch.setattr(gitlog, "staged", lambda df, name: texts.append((name, staged(df, name))) or texts[-1][1])
+    conf = {"spark.sql.files.maxPartitionBytes": "6000", "spark.sql.files.openCostInBytes": "0",
+            "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        parsed, rejects = gitlog.parse_log(spark, str(tmp_path))
+        got = {(x.repo_name, x.commit_hash): x.message for x in parsed.collect()}
+        assert got == {(n, h): m for n in ("one", "two") for h, m in want.items()} and parsed.count() == 800
+        assert sorted((x.repo_name, x.text.strip()) for x in rejects.collect()) == [
+            (n, x) for n in ("one", "two") for x in ("commit: lost".removeprefix("commit:").strip(), "lost too")]
+        size = sum(len(x._text or "") for x in dict(texts)["log-parsed"].select("_text").collect())
+        assert 0 < size < len(text) and "log-fragments" not in dict(texts) and "log-records" not in dict(texts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

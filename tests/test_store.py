@@ -135,3 +135,59 @@ def test_releases_meet_commits_by_the_hour(tables):
     from vcscope.operators.ingestion import adhoc_sql_releases
     plan = adhoc_sql_releases(tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "hour" in plan.split("LeftOuter")[1].split("\n")[0]
+
+
+def test_dumps_are_compressed_and_in_log_order(spark, tables, tmp_path):
+    """Before, dumps were plain text, most of an ingestion's disk, and their texts were moved."""
+    import glob
+    import gzip
+    from vcscope.sources import render
+    render.write_dumps(tables, str(tmp_path / "d"))
+    files = sorted(glob.glob(str(tmp_path / "d" / "*.log" / "part-*")))
+    assert files and all(f.endswith(".gz") for f in files)
+    dates = {r.commit_hash: r.date for r in tables.commits.withColumn(
+        "commit_hash", render.padded(F.col("commit_hash"))).collect()}
+    seen = 0
+    for repo in glob.glob(str(tmp_path / "d" / "*.log")):
+        text = "".join(gzip.open(f, "rt").read() for f in sorted(glob.glob(f"{repo}/part-*")))
+        hashes = [x.split("\n")[0] for x in ("\n" + text).split("\ncommit:")[1:] if x[0] == "c"]
+        assert [dates[h] for h in hashes] == sorted((dates[h] for h in hashes), reverse=True)
+        seen += len(hashes)
+    assert seen == tables.commits.count()
+
+
+def test_staged_writes_leave_no_shuffle_files(spark):
+    import time
+    from vcscope.session import staged
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b.name() for b in [disk.getAllBlocks().apply(i) for i in range(disk.getAllBlocks().size())]
+                        if b.name().startswith("shuffle_")}
+    before = shuffles()
+    out = staged(spark.range(20000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before and out.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_partitions_follow_the_input(spark):
+    from vcscope import session
+    key, before = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", session.partitions(spark)
+    assert before == 8
+    try:
+        session.fit_partitions(spark, 3 * session.PARTITION_BYTES)
+        assert session.partitions(spark) == 8
+        session.fit_partitions(spark, 40 * session.PARTITION_BYTES)
+        assert session.partitions(spark) == 40 and spark.conf.get(key) == "40"
+    finally:
+        spark.conf.unset(key)
+    assert session.partitions(spark) == 8
+
+
+def test_file_changes_move_as_keys(spark):
+    """Before, hashes, authors and empty columns were moved with every change."""
+    from vcscope.sources import fixtures
+    rows = fixtures.change_rows(spark, SF_SMALL, fixtures.commits_base(spark, SF_SMALL))
+    assert not {"commit_hash", "author", "similarity", "new_path"} & set(rows.columns)

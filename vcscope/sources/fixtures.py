@@ -18,7 +18,7 @@ from .. import schema
 from ..functions import classify
 from ..operators.joins import substring_join
 from ..operators.sequence import segmented_lag
-from ..tables import NAMES, Tables, clustered, read_table
+from ..tables import NAMES, Tables, clustered, read_table, write_table
 from .rollup import ROLLUPS, rollup_exprs
 
 
@@ -30,6 +30,16 @@ def _s(c) -> F.Column:
     return F.col(c).cast("string")
 
 
+def _hash(okey: str) -> F.Column:
+    return F.concat(F.lit("c"), _s(okey))
+
+
+def _author(custkey: str) -> F.Column:
+    ck = F.col(custkey)
+    return F.when(ck % 7 == 0, F.concat(F.lit("guest"), _s(custkey))).otherwise(
+        F.concat(F.lit("dev"), (ck % 200).cast("string")))
+
+
 def commits_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One commit per order; keeps ``_okey`` for the line-item join."""
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
@@ -49,10 +59,9 @@ def commits_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return j.select(
         ok.alias("_okey"),
-        F.concat(F.lit("c"), _s("o_orderkey")).alias("commit_hash"),
+        _hash("o_orderkey").alias("commit_hash"),
         F.col("c_mktsegment").alias("repo_name"),
-        F.when(ck % 7 == 0, F.concat(F.lit("guest"), _s("o_custkey")))
-         .otherwise(F.concat(F.lit("dev"), (ck % 200).cast("string"))).alias("author"),
+        _author("o_custkey").alias("author"),
         F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + (ok * 7919) % 86400).alias("date"),
         F.when(ck % 4 == 0, "Z").when(ck % 4 == 1, "+02:00").when(ck % 4 == 2, "-05:00")
          .otherwise("+05:30").alias("timezone"),
@@ -92,19 +101,24 @@ def _lines() -> dict[str, F.Column]:
     return {"additions": F.round("l_quantity").cast("long"), "deletions": F.round(F.col("l_discount") * 100).cast("long")}
 
 
-def file_changes_from(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
+def change_rows(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
+    """What ``file_changes_of`` makes the table of: keys and numbers instead of the texts
+    made of them, so that less is moved."""
     li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                  "l_quantity", "l_discount")
     parts = parts_from(spark, sf_dir)
-    cm = commits.select("_okey", "commit_hash", "repo_name", "author")
+    cm = commits.select("_okey", "_custkey", "repo_name")
     j = li.join(cm, li.l_orderkey == cm._okey, "inner").join(parts, li.l_partkey == parts.p_partkey, "inner")
     return j.select(
-        F.xxhash64("repo_name", "commit_hash", "file_path", "l_linenumber", "l_partkey", "l_suppkey",
+        F.xxhash64("repo_name", _hash("_okey"), "file_path", "l_linenumber", "l_partkey", "l_suppkey",
                    *_lines().values()).alias("id"),
-        "commit_hash", "repo_name", "author",
-        _change_type().alias("change_type"),
-        "file_path",
-        *[c.alias(n) for n, c in _lines().items()],
+        "_okey", "_custkey", "repo_name", "l_linenumber", "file_path", "l_quantity", "l_discount", *classify.CLASSES)
+
+
+def file_changes_of(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "id", _hash("_okey").alias("commit_hash"), "repo_name", _author("_custkey").alias("author"),
+        _change_type().alias("change_type"), "file_path", *[c.alias(n) for n, c in _lines().items()],
         "is_test_file", "is_build_file", "is_dot_file", "is_documentation_file",
         F.lit(None).cast("int").alias("similarity"), F.lit(None).cast("string").alias("new_path"),
     )
@@ -154,7 +168,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     cb = commits_base(spark, sf_dir)
     return Tables(
         commits=commits_from(spark, sf_dir, cb),
-        file_changes=file_changes_from(spark, sf_dir, cb),
+        file_changes=file_changes_of(change_rows(spark, sf_dir, cb)),
         commit_parents=parents_from(cb),
         branches=branches_from(cb),
         tags=tags_from(spark, sf_dir),
@@ -264,12 +278,13 @@ def lazy_index(spark: SparkSession, sf_dir: str, out: str) -> Tables:
     asked for: a query pays for the tables that it reads."""
     base = f"{out.rstrip('/')}/{uuid.uuid4().hex}"
     cb = commits_base(spark, sf_dir)
-    make = {"commits": lambda: commits_from(spark, sf_dir, cb), "file_changes": lambda: file_changes_from(spark, sf_dir, cb),
+    make = {"commits": lambda: commits_from(spark, sf_dir, cb), "file_changes": lambda: change_rows(spark, sf_dir, cb),
             "commit_parents": lambda: parents_from(cb), "branches": lambda: branches_from(cb),
             "tags": lambda: tags_from(spark, sf_dir)}
 
     def written(name: str) -> DataFrame:
-        clustered(make[name](), name).write.mode("overwrite").partitionBy("repo_name").parquet(f"{base}/{name}")
+        df = clustered(make[name](), name)
+        write_table(file_changes_of(df) if name == "file_changes" else df, f"{base}/{name}")
         return read_table(spark, f"{base}/{name}", name)
 
     return Tables(**{n: lambda n=n: written(n) for n in NAMES})
