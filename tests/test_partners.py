@@ -3,6 +3,7 @@
 import itertools
 import random
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,42 @@ def test_pairs_of_authors_are_not_shuffled(spark, rows):
         plan = query(t)._jdf.queryExecution().optimizedPlan().toString()
         above = plan[:plan.index("MapInArrow")]
         assert "Aggregate" not in above and "Repartition" not in above and "bitmap" not in plan
+
+
+def test_blocks_follow_what_they_are_sent(spark, monkeypatch):
+    """Before, there were two blocks a shuffle partition, and short lists went to nearly as many as they are long."""
+    from vcscope.operators import partners
+    monkeypatch.setattr(partners, "BLOCK_NUMBERS", 100)
+    df = spark.createDataFrame([(list(range(4)), None), (list(range(40)), [1, 2])], "authors array<int>, more array<int>")
+    count = lambda columns, to, least=2: partners.block_count(df, columns, to, least)
+    # 44 numbers in 2 blocks are sent twice; with ``more`` 46; lists are sent to 8 blocks at most 4 and 8 times.
+    assert count(["authors"], ("authors",)) == 2 and count(["authors"], ("authors",), 16) == 16
+    monkeypatch.setattr(partners, "BLOCK_NUMBERS", 41)
+    assert count(["authors"], ("authors",)) == 16 and count(["authors", "more"], ("authors",)) == 64
+    assert partners.block_count(df.where("false"), ["authors"], ("authors",), 6) == 6
+
+
+def test_files_of_a_commit_move_once(spark, rows):
+    """Before, distinct changes were found twice, numbered, counted and joined with themselves."""
+    more = [("r0", None, "dev1", "f1"), ("r0", "c2", "dev1", "f2")]
+    t = history(spark, rows)
+    t = replace(t, file_changes=t.file_changes.unionByName(spark.createDataFrame(
+        [(r, c, a, f) for r, c, a, f in more], "repo_name string, commit_hash string, author string, file_path string")))
+    pairs = collab._supports(t, 2)
+    lists = collab.commit_files(t, 2).collect()
+    numbers = {r.no: r.file_path for r in collab.file_numbers(t).collect()}
+    changed, often = {}, Counter(r[3] for r in rows + more)
+    for r, c, _, f in rows + more:
+        if f and often[f] > 1:
+            changed.setdefault((r, c), set()).add(f)
+    assert {(x.repo_name, x.commit_hash): {numbers[f] for f in x.files} for x in lists} == changed
+    want = Counter(p for (_, c), fs in changed.items() if c for p in itertools.combinations(sorted(fs), 2))
+    assert {tuple(sorted((numbers[x.a], numbers[x.b]))): x.support for x in pairs.collect()} == want and want
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_long_lists(spark):
+    lists = [sorted(random.Random(k).sample(range(900), k)) for k in (1, 2, 9, 10, 11, 35, 60)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "g long, l array<long>")
+    got = sorted(tuple(r) for r in collab.pairs_of(df, "l", ["g"], block=10).collect())
+    assert got == sorted((k, a, b) for k, x in enumerate(lists) for a, b in itertools.combinations(x, 2))
