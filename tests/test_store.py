@@ -160,8 +160,7 @@ def test_staged_writes_leave_no_shuffle_files(spark):
     import time
     from vcscope.session import staged
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    shuffles = lambda: {b.name() for b in [disk.getAllBlocks().apply(i) for i in range(disk.getAllBlocks().size())]
-                        if b.name().startswith("shuffle_")}
+    shuffles = lambda: {b for b in disk.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
     before = shuffles()
     out = staged(spark.range(20000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "test")
     for _ in range(50):
